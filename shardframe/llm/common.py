@@ -83,3 +83,24 @@ def numbered(df: DataFrame, order: list, column: str, label: str) -> DataFrame:
     first = spark.createDataFrame(starts, "_part long, _first long")
     at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return rows.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(column, F.col("_first") + at).drop("_part", "_at", "_first")
+
+
+#: A key is hot from this share of all rows on: so there are at most a thousand hot keys.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows left join groups, which has one row for each key and its number of rows in ``rows``.
+
+    Hot keys (a thousandth of all rows or more, so a thousand keys at most) are joined by broadcast and the others by
+    sort-merge, so that no task gets a hot key's rows."""
+    groups = written(groups, "groups")
+    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    is_hot = F.col("rows") * HOT_SHARE >= max(total, HOT_SHARE * HOT_SHARE)
+    others = [c for c in groups.columns if c not in (key, "rows")]
+    hot = F.broadcast(groups.where(is_hot).select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_{c}") for c in others)))
+    dealt = rows.join(hot, key, "left")
+    of_hot = dealt.where("_hot").select(*rows.columns, *(F.col(f"_{c}").alias(c) for c in others))
+    cold = groups.where(~is_hot).drop("rows").hint("merge")
+    of_others = dealt.where("_hot is null").select(*rows.columns).join(cold, key, "left").select(*rows.columns, *others)
+    return of_hot.unionByName(of_others)

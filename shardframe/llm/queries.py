@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardframe.llm import exact_dedup, langid, media, mixing, packing, secret_scan, token_counts, training_order
+from shardframe.llm import exact_dedup, langid, media, mixing, ngram_join, packing, secret_scan, substring_dedup, token_counts, training_order
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -44,12 +48,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_exact_dedup, op3_media, op4_packing, op5_language_id, op7_token_counts, op8_mixing, op10_training_order]
+    own = [op1_secret_scan, op2_exact_dedup, op3_media, op4_packing, op5_language_id, op6_substring_dedup, op7_token_counts, op8_mixing, op9_ngram_join, op10_training_order]
     return {f.__name__: f for f in own}
 
 
