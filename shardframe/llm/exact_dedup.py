@@ -81,7 +81,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     n = partitions_for(docs)
     index = index or DigestIndex(spark, scratch_path(spark, "digest-index"), n)
     rows = written(digests(docs), "digests")
-    index.append_new(by_digest(rows))
+    index.append_new(written(by_digest(rows), "digest-groups"))  # written, as the optimizer would put the anti-join first
     groups = index.read()
 
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
