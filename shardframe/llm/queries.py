@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from shardframe.llm import exact_dedup, langid, media, mixing, ngram_join, packing, secret_scan, substring_dedup, token_counts, training_order
 
 
+#: DuckDB: doc_id and its words, cut at runs of space and the control characters 9 to 13.
+WORDS = r"""SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents"""
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -69,4 +74,25 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents""",
+        "op6_substring_dedup": f"""
+            WITH d AS ({WORDS}),
+            starts AS (SELECT doc_id, unnest(range(1, greatest(len(words) - 48, 1))) AS i FROM d),
+            windows AS (SELECT s.doc_id, s.i, min(s.doc_id) OVER (PARTITION BY array_to_string(d.words[s.i:s.i + 49], ' ')) AS earliest
+                        FROM starts s JOIN d USING (doc_id)),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM windows WHERE earliest < doc_id),
+            word AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS j FROM d),
+            kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+            SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+            FROM d LEFT JOIN kept USING (doc_id)""",
+        "op9_ngram_join": f"""
+            WITH RECURSIVE d AS ({WORDS.replace("coalesce(text, '')", LOWER)}),
+            shingle AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+                        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)),
+            size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+            link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+                     GROUP BY a.doc_id, b.doc_id
+                     HAVING 100 * count(*) >= 75 * ((SELECT n FROM size WHERE doc_id = a.doc_id) + (SELECT n FROM size WHERE doc_id = b.doc_id) - count(*))),
+            reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+            SELECT d.doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id
+            FROM d LEFT JOIN size USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id""",
     }
