@@ -3,8 +3,9 @@
 Equal sets are one unit. The exchange tells each unit which of its shingles other units have too; a unit with a link has at
 least the threshold's share of those, so the other units are done, and those left are joined on their shared shingles alone.
 
-Their order is global: shingles of one unit alone first, then the shared ones by hash. Two sets over the threshold meet in
-the first (size - least overlap + 1) places of both, so only those are indexed. A list of the index is sorted by size and
+Their order is global: shingles of one unit alone first, then the shared ones from the rarest on, as a table of counters
+of fixed size has them (any one order is right; a good one keeps passages of many documents out of the index). Two sets
+over the threshold meet in the first (size - least overlap + 1) places of both, so only those are indexed. A list of the index is sorted by size and
 position and cut into blocks: a set skips the blocks whose sizes or positions rule out the overlap. In a long list the sets
 are first compared with the list's first set alone; sets that turn out similar to it form a component, and their answers
 follow from its answer: only sets of other components are compared with them afterwards. All links between components are
@@ -36,6 +37,8 @@ from shardframe.llm.wordhash import EMPTY, mix, text_hash, window_hashes, word_h
 SHORT = 4
 #: Entries of a list that are skipped together.
 BLOCK = 64
+#: Counters of the shingles' order, and the slices that they are summed up in.
+COUNTERS, SLICES = 1 << 22, 64
 
 
 def sets_of(found: list[str], width: int) -> Iterator[tuple[int, np.ndarray, None]]:
@@ -70,11 +73,37 @@ def overlap_needed(a, b, percent: int):
     return -((-percent * (a + b)) // (100 + percent))
 
 
-INDEX = "at int, units binary, sizes binary, alone binary, firsts binary, keys binary"
+def counters(sets: DataFrame) -> np.ndarray:
+    """How many sets have a key, by the key's counter: COUNTERS numbers, summed up by slices on the executors."""
+    size = COUNTERS // SLICES
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.uint32)
+        for b in batches:
+            for k in b.column("keys"):
+                np.add.at(total, counter_of(np.frombuffer(k.as_buffer(), "<u8")), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, size)], pa.binary())], ["slice", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint64)
+        for n in table["n"].to_pylist():
+            total += np.frombuffer(n, np.uint32)
+        return pa.table({"slice": pa.array(table["slice"][:1]), "n": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    found = sets.select("keys").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, n binary")
+    total = np.zeros((SLICES, size), np.uint32)
+    for r in found.collect():
+        total[r["slice"]] = np.frombuffer(r["n"], np.uint32)
+    return total.ravel()
+
+
+def counter_of(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def index_entries(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
     """The first places of each set (unit, n, keys), dealt by key: at, and packed arrays."""
+    sent = sets.sparkSession.sparkContext.broadcast(counters(sets))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,7 +111,7 @@ def index_entries(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
             keys = [np.frombuffer(k, "<u8") for k in b.column("keys").to_pylist()]
             alone = n - np.fromiter(map(len, keys), np.int64, len(keys))
             first = np.maximum(0, n - -(-percent * n // 100) + 1 - alone)
-            keys = [k[:f] for k, f in zip(keys, first, strict=True)]
+            keys = [k[np.lexsort((k, sent.value[counter_of(k)]))[:f]] for k, f in zip(keys, first, strict=True)]
             who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             key = np.concatenate([EMPTY, *keys])
             place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)]) + alone[who]
