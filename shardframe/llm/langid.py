@@ -38,15 +38,15 @@ def letters() -> np.ndarray:
 def subwords(text: str) -> np.ndarray:
     """How often each bucket occurs in the text; all zero without a letter."""
     counts = np.zeros(BUCKETS, np.int64)
-    for first in range(0, len(text), BLOCK):
-        own = text[max(0, first - 2) : first + BLOCK].lower()
-        c = np.frombuffer(f" {own} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    padded = f" {text.lower()} "
+    for first in range(0, len(padded) - 1, BLOCK):  # blocks overlap by what their last subwords reach into
+        c = np.frombuffer(padded[first : first + BLOCK + 2].encode("utf-32-le", "surrogatepass"), "<u4")
         is_letter = letters()[c]
         x = np.where(is_letter, c, 0).astype(np.uint64)
         two = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         three = two[:-1] * np.uint64(0x165667B19E3779F9) + x[2:] * np.uint64(0x27D4EB2F165667C5) + np.uint64(1)
-        for grams, has in ((two, is_letter[:-1] | is_letter[1:]), (three, is_letter[1:-1])):
-            grams = grams[has]
+        for grams, has in ((two[:BLOCK], is_letter[:-1] | is_letter[1:]), (three[:BLOCK], is_letter[1:-1])):
+            grams = grams[has[: len(grams)]]
             grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             counts += np.bincount((grams >> np.uint64(51)).astype(np.int64), minlength=BUCKETS)
     return counts

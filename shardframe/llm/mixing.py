@@ -24,15 +24,16 @@ HASH_PARTS = 64
 
 
 def fit(lengths: list[int], spare: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take, so that their words come as near to budget as can be, from below."""
+    """How many documents of each length to take, so that their words come as near to budget as can be."""
     take = [0] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         if budget > FITTED_WORDS and 0 < lengths[i] <= budget:
             take[i] = min(spare[i], max(0, (budget - FITTED_WORDS // 2) // lengths[i]))
             budget -= take[i] * lengths[i]
-    reach, steps, full = 1, [], (1 << (budget + 1)) - 1
+    most = budget + min(budget, max((n for n, s, t in zip(lengths, spare, take, strict=True) if s > t), default=0))
+    reach, steps, full = 1, [], (1 << (most + 1)) - 1  # bit n of reach: n words can be taken
     for i, length in enumerate(lengths):
-        left, k = min(spare[i] - take[i], budget // length if length else 0), 1
+        left, k = min(spare[i] - take[i], most // length if length else 0), 1
         while left > 0 and not reach >> budget & 1:
             n = min(k, left)
             new = (reach << n * length) & full & ~reach
@@ -40,7 +41,10 @@ def fit(lengths: list[int], spare: list[int], budget: int) -> list[int]:
                 steps.append((i, n, new))
                 reach |= new
             left, k = left - n, 2 * k
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    beyond = reach >> (budget + 1)
+    if beyond and (above := (beyond & -beyond).bit_length()) < budget - at:
+        at = budget + above
     for i, n, new in reversed(steps):
         if new >> at & 1:
             take[i] += n
