@@ -24,6 +24,8 @@ BUCKETS, WIDTH = 8192, 16
 #: Characters hashed at a time.
 BLOCK = 1 << 20
 UNKNOWN = "und"
+#: Ids are sampled by parts of their hashes, 2 to the power of this.
+PART_BITS = 12
 
 _letters: list[np.ndarray] = []
 
@@ -137,8 +139,12 @@ def fit(docs: DataFrame, sample_rows: int = 2000, seed: int = 11) -> LanguageMod
     ids = usable.select("doc_id", "lang").groupBy("doc_id").agg(F.min("lang").alias("lang"))
     names = ids.agg(F.count_distinct("lang")).first()[0]
     each = max(1, sample_rows // max(1, names))
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
-    chosen = ids.withColumn("at", at).where(F.col("at") <= each).orderBy("at", "lang").limit(sample_rows).select("doc_id", "lang")
+    ids = ids.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("part", F.shiftrightunsigned("h", 64 - PART_BITS))
+    earlier = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ids.groupBy("lang", "part").count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    few = ids.join(parts.where(F.col("before") < each), ["lang", "part"], "left_semi")  # so that no task ranks a whole language
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("part", "h", "doc_id"))
+    chosen = few.withColumn("at", at).where(F.col("at") <= each).orderBy("at", "lang").limit(sample_rows).select("doc_id", "lang")
     sample = usable.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
