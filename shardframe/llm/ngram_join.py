@@ -7,9 +7,10 @@ Their order is global: shingles of one unit alone first, then the shared ones fr
 of fixed size has them (any one order is right; a good one keeps passages of many documents out of the index). Two sets
 over the threshold meet in the first (size - least overlap + 1) places of both, so only those are indexed. A list of the index is sorted by size and
 position and cut into blocks: a set skips the blocks whose sizes or positions rule out the overlap. In a long list the sets
-are first compared with the list's first set alone; sets that turn out similar to it form a component, and their answers
-follow from its answer: only sets of other components are compared with them afterwards. All links between components are
-tried, so that none is lost.
+are compared with one of them at a time; sets that turn out similar to it form a component, and their answers follow from its
+answer: only sets of other components are compared with them afterwards. When few pairs between components are left, or a
+round has hardly made them fewer, all of those are tried whose bounds and parity sketches allow the overlap, so that no link
+is lost.
 
 Defined cases: words are taken after lower-casing A-Z only; null text counts as empty, has an empty set, links with nothing
 and is its own component; with fewer words than the shingle's, the whole sequence is the one shingle. Each input row gives
@@ -36,7 +37,11 @@ from shardframe.llm.wordhash import EMPTY, mix, text_hash, window_hashes, word_h
 #: component.
 SHORT = 4
 #: Entries of a list that are skipped together.
-BLOCK = 64
+BLOCK = 256
+#: Pairs between components for each row of the long lists that are left to the last round.
+FEW_PAIRS = 4
+#: Rows of a list's part.
+PART_ROWS = 4096
 #: Counters of the shingles' order, and the slices that they are summed up in.
 COUNTERS, SLICES = 1 << 22, 64
 
@@ -133,15 +138,38 @@ def may_link(n_a, at_a, n_b, at_b, percent: int):
     return most >= overlap_needed(n_a, n_b, percent)
 
 
-def list_pairs(n: np.ndarray, at: np.ndarray, percent: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """The parities of the keys' counts in bits of their hashes, at least four bits a key: two sets differ in as many keys
+    as their sketches in bits, or in more."""
+    bits = 1 << max(6, (4 * len(keys) - 1).bit_length())
+    at = (mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def folded(sketches: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """By length: a matrix with the sketches of that length, and those of larger ones folded to it; the others are zero."""
+    lengths = np.array([len(x) for x in sketches])
+    found = {}
+    for length in np.unique(lengths).tolist():
+        m = np.zeros((len(sketches), length), np.uint64)
+        for k in np.flatnonzero(lengths >= length):
+            m[k] = np.bitwise_xor.reduce(sketches[k].reshape(-1, length), axis=0)
+        found[length] = m
+    return found
+
+
+def list_pairs(n: np.ndarray, at: np.ndarray, percent: int, apart: np.ndarray | None = None, shared: np.ndarray | None = None, sketches: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a list's entries, sorted by size and position, that its blocks' bounds and then the entries' own leave;
-    with apart, only pairs of different numbers in it."""
+    with apart, only pairs of different numbers in it; with sketches (and the numbers of shared keys), only those whose
+    sketches allow the overlap."""
     left, right = [], []
     starts = np.arange(0, len(n), BLOCK)
     lengths = np.diff(np.append(starts, len(n)))
     least_n, most_n = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
     most_at, most_rest = np.maximum.reduceat(at, starts), np.maximum.reduceat(n - at, starts)
     one = np.where(np.minimum.reduceat(apart, starts) == np.maximum.reduceat(apart, starts), apart[starts], -1) if apart is not None else None
+    by_length = folded(sketches) if sketches else {}
+    size = np.array([len(x) for x in sketches]) if sketches else None
     for i in range(len(n)):
         possible = (most_n * 100 >= percent * n[i]) & (least_n * percent <= 100 * n[i]) & (starts + lengths > i + 1)
         possible &= np.minimum(most_at, at[i]) + np.minimum(most_rest, n[i] - at[i]) >= overlap_needed(n[i], least_n, percent)
@@ -152,6 +180,14 @@ def list_pairs(n: np.ndarray, at: np.ndarray, percent: int, apart: np.ndarray |
             j = j[may_link(n[i], at[i], n[j], at[j], percent)]
             if apart is not None:
                 j = j[apart[j] != apart[i]]
+            if sketches and len(j):
+                common, good = np.minimum(size[j], size[i]), np.zeros(len(j), bool)
+                for length in np.unique(common).tolist():
+                    own = np.flatnonzero(common == length)
+                    m = by_length[length]
+                    differ = np.bitwise_count(m[j[own]] ^ m[i]).sum(1, dtype=np.int64)
+                    good[own] = shared[i] + shared[j[own]] - differ >= 2 * overlap_needed(n[i], n[j[own]], percent)
+                j = j[good]
             if len(j):
                 left.append(np.full(len(j), i))
                 right.append(j)
@@ -217,24 +253,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def across(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a < b) of the long lists that may link and are in different components so far."""
-    at = lists.join(label.select(F.col("node").alias("unit"), "component"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+def mixed_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """key, unit, n, place, component of the lists that hold more than one component, and how many rows each list has."""
+    at = lists.select("key", "unit", "n", "place").join(label, "unit")
+    kinds = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"))
+    return at.join(kinds.where("x <> y").select("key", "rows"), "key")
+
+
+def pairs_left(mixed: DataFrame) -> tuple[int, int]:
+    """Rows, and the pairs of different components in the lists (bounds do not count)."""
+    same = mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.max("rows").alias("rows"))
+    row = same.agg(F.sum("c"), F.sum(F.col("c").cast("double") * (F.col("rows") - F.col("c"))) / 2).first()
+    return row[0] or 0, row[1] or 0
+
+
+def by_pivot(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """The pairs (a < b) of each list's pivot, which differs from turn to turn, and the sets of other components."""
+    pivot = mixed.groupBy("key").agg(F.min_by(F.struct("unit", "n", "place", "component"), F.xxhash64("unit", F.lit(turn))).alias("p"))
+    both = mixed.join(pivot, "key").where("component <> p.component")
+    most = F.least("place", "p.place") + F.least(F.col("n") - F.col("place"), F.col("p.n") - F.col("p.place"))
+    able = both.where(most * (100 + percent) >= (F.col("n") + F.col("p.n")) * percent)
+    return able.select(F.least("unit", "p.unit").alias("a"), F.greatest("unit", "p.unit").alias("b")).distinct()
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """unit, shared (the number of its keys), sketch."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.frombuffer(k.as_buffer(), "<u8") for k in b.column("keys")]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(map(len, keys), pa.int64()), pa.array([sketch(k).tobytes() for k in keys], pa.binary())], ["unit", "shared", "sketch"])
+
+    return sets.select("unit", "keys").mapInArrow(make, "unit long, shared long, sketch binary")
+
+
+def across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a < b) of different components that a list's bounds and the sets' sketches leave. Long lists are cut into parts, and each pair
+    of parts is a task's work, so that no task gathers a long list."""
+    parts = F.ceil(F.col("rows") / PART_ROWS).cast("int")
+    cut = mixed.join(sketched(sets), "unit").withColumn("part", F.pmod(F.xxhash64("unit"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = cut.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
 
     def pair(table: pa.Table) -> pa.Table:
-        unit, n, place, component = (table[c].to_numpy() for c in ("unit", "n", "place", "component"))
+        unit, n, place, component, part, shared = (table[c].to_numpy() for c in ("unit", "n", "place", "component", "part", "shared"))
         order = np.lexsort((unit, place, n))
-        unit, n, place = unit[order], n[order], place[order]
+        unit, n, place, part, shared = unit[order], n[order], place[order], part[order], shared[order]
+        sketches = [np.frombuffer(x, np.uint64) for x in table["sketch"].take(order).to_pylist()]
         _, number = np.unique(component[order], return_inverse=True)
-        i, j = list_pairs(n, place, percent, number)
+        i, j = list_pairs(n, place, percent, number, shared, sketches)
+        if table["low"][0] != table["high"][0]:
+            i, j = i[part[i] != part[j]], j[part[i] != part[j]]
         return pa.table({"a": np.minimum(unit[i], unit[j]), "b": np.maximum(unit[i], unit[j])})
 
-    return at.join(mixed, "key", "left_semi").select("key", "unit", "n", "place", "component").groupBy("key").applyInArrow(pair, "a long, b long").distinct()
+    return cut.select("key", "low", "high", "unit", "n", "place", "component", "part", "shared", "sketch").groupBy("key", "low", "high").applyInArrow(pair, "a long, b long").distinct()
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (unit, component) after more links."""
+    at = links.join(label.select(F.col("unit").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("unit").alias("b"), F.col("component").alias("y")), "b")
+    to = components(at.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    new = label.join(to.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return written(new.select("unit", F.coalesce("to", "component").alias("component")), "label")
 
 
 def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """Of docs: doc_id, n_shingles, unit; and node, component of the units that link."""
+    """Of docs: doc_id, n_shingles, unit; and unit, component of the units that may link."""
     ranges = partitions_for(docs, 2)
     rows = written(units(docs, width), "units")
     shared = written(shared_keys(texts(docs), lambda found: sets_of(found, width), ranges), "shared")
@@ -242,17 +325,29 @@ def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75) ->
     near = shared.join(sizes, "unit").where(F.octet_length("keys") / 8 * 100 >= percent * F.col("n"))
     sets = written(near, "sets")
     found = written(candidates(index_entries(sets, ranges, percent), percent), "candidates")
-    first = written(verified(found.where("a is not null").select("a", "b").distinct(), sets, percent), "first-links")
-    label = components(first)
-    later = written(verified(across(found.where("a is null").select("key", "unit", "n", "place"), label, percent), sets, percent), "later-links")
-    return rows, (components(first.unionByName(later)) if not later.isEmpty() else label)
+    first = written(verified(found.where("a is not null").select("a", "b").distinct(), sets, percent), "links")
+    label = joined(sets.select("unit", F.col("unit").alias("component")), first)
+    lists, turn, before = found.where("a is null"), 0, float("inf")
+    while True:
+        lists = written(mixed_lists(lists, label), "lists")
+        n, left = pairs_left(lists)
+        if not n:
+            return rows, label
+        last = left <= FEW_PAIRS * n or left > 0.8 * before
+        pairs = across(lists, sets, percent) if last else by_pivot(lists, turn, percent)
+        links = written(verified(pairs, sets, percent), "links")
+        if not links.isEmpty():
+            label = joined(label, links)
+        if last:
+            return rows, label
+        turn, before = turn + 1, left
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     rows, label = links_and_components(docs, width, percent)
     least = rows.where("n_shingles > 0").groupBy("unit").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    named = least.join(label.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    named = least.join(label, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     of_component = named.groupBy("component").agg(F.min("least").alias("component_id"))
     groups = named.join(of_component, "component").select("unit", "component_id", "rows")
     return join_groups(rows, groups, "unit").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

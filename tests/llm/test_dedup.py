@@ -243,6 +243,31 @@ def test_skipped_blocks_hold_no_pairs(monkeypatch, block):
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), min_size=1, max_size=120))
+def test_sketches_differ_in_no_more_bits_than_sets(a, b):
+    keys = [np.array(sorted(x), np.uint64) for x in (a, b)]
+    sketches = [ngram_join.sketch(k) for k in keys]
+    m = ngram_join.folded(sketches)[min(map(len, sketches))]
+    assert np.bitwise_count(m[0] ^ m[1]).sum() <= len(a ^ b)
+
+
+def test_lists_with_sketches_lose_no_link():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 40, 90).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        own = base.copy()
+        own[rng.choice(90, rng.integers(0, 40), replace=False)] = rng.integers(0, 1 << 40, 1)
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 40, rng.integers(0, 30)).astype(np.uint64)])))
+    sets.sort(key=len)
+    n, at, apart = np.array([len(x) for x in sets]), np.zeros(120, np.int64), np.arange(120)
+    i, j = ngram_join.list_pairs(n, at, 75, apart, n, [ngram_join.sketch(x) for x in sets])
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert links <= found and len(found) < 2 * len(links) + 200
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (5, 5), (20, 21), (21, 20)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
