@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardframe.sources.scratch import shared_dir
+
 #: Words, as the contracts state them: runs of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        base = "file://" + tempfile.mkdtemp(prefix="shardframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/shardframe/{label}-{uuid.uuid4().hex}"
 
