@@ -287,11 +287,25 @@ def sketched(sets: DataFrame) -> DataFrame:
     return sets.select("unit", "keys").mapInArrow(make, "unit long, shared long, sketch binary")
 
 
+def meet_first(i: np.ndarray, j: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
+    """Whether the pairs (sorted by i) meet in no earlier list; earlier has the keys of each entry's earlier lists."""
+    good = np.ones(len(i), bool)
+    bounds = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        own = [earlier[k] for k in j[a:b]]
+        met = np.isin(np.concatenate(own), earlier[i[a]])
+        who = np.repeat(np.arange(b - a), [len(x) for x in own])
+        good[a:b] = np.bincount(who[met], minlength=b - a) == 0
+    return good
+
+
 def across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a < b) of different components that a list's bounds and the sets' sketches leave. Long lists are cut into parts, and each pair
-    of parts is a task's work, so that no task gathers a long list."""
+    """All pairs (a < b) of different components that a list's bounds and the sets' sketches leave, each from the first
+    list where they meet. Long lists are cut into parts, and each pair of parts is a task's work, so that no task gathers
+    a long list."""
     parts = F.ceil(F.col("rows") / PART_ROWS).cast("int")
-    cut = mixed.join(sketched(sets), "unit").withColumn("part", F.pmod(F.xxhash64("unit"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    lists = mixed.groupBy("unit").agg(F.sort_array(F.collect_set("key")).alias("lists"))  # as many as the set's first places
+    cut = mixed.join(sketched(sets), "unit").join(lists, "unit").withColumn("part", F.pmod(F.xxhash64("unit"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     cut = cut.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
 
     def pair(table: pa.Table) -> pa.Table:
@@ -303,9 +317,13 @@ def across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         i, j = list_pairs(n, place, percent, number, shared, sketches)
         if table["low"][0] != table["high"][0]:
             i, j = i[part[i] != part[j]], j[part[i] != part[j]]
+        key = table["key"][0].as_py()
+        earlier = [x[: np.searchsorted(x, key)] for x in (np.array(k, np.int64) for k in table["lists"].take(order).to_pylist())]
+        good = meet_first(i, j, earlier)
+        i, j = i[good], j[good]
         return pa.table({"a": np.minimum(unit[i], unit[j]), "b": np.maximum(unit[i], unit[j])})
 
-    return cut.select("key", "low", "high", "unit", "n", "place", "component", "part", "shared", "sketch").groupBy("key", "low", "high").applyInArrow(pair, "a long, b long").distinct()
+    return cut.select("key", "low", "high", "unit", "n", "place", "component", "part", "shared", "sketch", "lists").groupBy("key", "low", "high").applyInArrow(pair, "a long, b long").distinct()
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:

@@ -268,6 +268,29 @@ def test_lists_with_sketches_lose_no_link():
     assert links <= found and len(found) < 2 * len(links) + 200
 
 
+def test_pairs_come_from_the_first_list_where_they_meet():
+    earlier = [np.array(x, np.int64) for x in ([1, 5], [5, 7], [], [2, 3])]
+    i, j = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 2, 3, 2, 3, 3])
+    assert ngram_join.meet_first(i, j, earlier).tolist() == [False, True, True, True, True, True]
+    assert ngram_join.meet_first(i[:0], j[:0], earlier).tolist() == []
+
+
+def test_a_family_without_a_common_link_is_joined(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 16)  # lists in parts
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    want = brute_join(list(enumerate(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(texts)).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 2
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (5, 5), (20, 21), (21, 20)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
