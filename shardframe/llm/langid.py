@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, WIDTH = 8192, 16
@@ -126,7 +126,7 @@ def train(counts: np.ndarray, labels: list[str], epochs: int = 40, rate: float =
     return model
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """The rows that nothing is learned from: crc32 of the id as text leaves 2 by 4."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
