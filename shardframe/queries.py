@@ -372,6 +372,13 @@ def insert_route(spark, sf_dir):  # A12 A25
     return e.meta.tables["ranges"].select("start", "end", "connection", F.array_join("replicas", ",").alias("replicas"))
 
 
+@query
+def insert_ranges(spark, sf_dir):  # A12 A25: insert_route over all orders
+    e = engine(spark, "db_range", range_size=250)
+    writes.insert(orders(spark, sf_dir, e=e), read(spark, sf_dir, "orders", "o_orderkey"))
+    return e.meta.tables["ranges"].select("start", "end", "connection", F.array_join("replicas", ",").alias("replicas"))
+
+
 @query
 def insert_slots(spark, sf_dir):  # A12 A26
     e = engine(spark, "db_hash_range", slot_size=100_000_000)
