@@ -412,6 +412,24 @@ def update_or_create(spark, sf_dir):  # A15 K8
     return t.query(include_replicas=True).df.select("o_orderkey", "o_orderstatus", F.col(SHARD).alias("shard"), REPLICA)
 
 
+def wanted_whole(spark: SparkSession, sf_dir: str) -> tuple[ShardedTable, DataFrame]:
+    """Orders without those of status P as the table, and all orders as candidates."""
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    return engine(spark).shard("orders", rows.where("o_orderstatus <> 'P'")), rows.select("o_orderkey")
+
+
+@query
+def first_or_create_whole(spark, sf_dir):  # A14 K8
+    _, rows = writes.first_or_create(*wanted_whole(spark, sf_dir), ["o_orderkey"], {"o_orderstatus": "new"})
+    return rows.select("o_orderkey", "o_orderstatus", F.col(SHARD).alias("shard"))
+
+
+@query
+def update_or_create_whole(spark, sf_dir):  # A15 K8
+    t, _ = writes.update_or_create(*wanted_whole(spark, sf_dir), ["o_orderkey"], lambda df: df.withColumn("o_orderstatus", F.concat(F.lit("u"), "o_orderkey")))
+    return t.query(include_replicas=True).df.select("o_orderkey", "o_orderstatus", F.col(SHARD).alias("shard"), REPLICA)
+
+
 @query
 def seq_ids(spark, sf_dir):  # C16 C17 K4
     rows = read(spark, sf_dir, "nation", "n_nationkey").withColumn("id", F.when(F.col("n_nationkey") % 5 == 0, F.col("n_nationkey").cast("long") + 1000))
