@@ -71,10 +71,11 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, max_repe
     return table.select("skey", "total", F.least(F.col("weight") * rate, (max_repeats * F.col("total")).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs; taken is a multiple of size."""
+def decided(docs: DataFrame, row: list[str], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, seed: int = 1) -> DataFrame:
+    """mix with the columns of row beside its own; they settle ties of doc_id."""
     sized = written(
         docs.select(
+            *row,
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
             "source",
@@ -103,14 +104,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     earlier = Window.partitionBy("skey", "size").orderBy("hb").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     place = before.join(written(chosen, "chosen"), ["skey", "size"])
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "hb").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "hb").orderBy("h", "doc_id", *row))
     ranked = parted.withColumn("rank", rank).join(place, ["skey", "size", "hb"])
     extra = (F.col("before") + F.col("rank") <= F.col("first")).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + extra)).alias("taken"))
+    return ranked.select(*row, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + extra)).alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs; taken is a multiple of size."""
+    return decided(docs, [], **options)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns; one taken k times has k rows."""
-    copies = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_doc_id"), F.expr("cast(taken div size as int)").alias("_copies"))
-    once = copies.groupBy("_doc_id").agg(F.max("_copies").alias("_copies"))
-    return docs.join(once, docs["doc_id"] == once["_doc_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The documents of the mix with all their columns; one taken k times has k rows.
+
+    Rows are told apart by a key that is made once and written, so null and repeated doc_ids are rows of their own."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    copies = decided(rows, ["_row"], **options).where("taken > 0").select("_row", F.expr("cast(taken div size as int)").alias("_copies"))
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

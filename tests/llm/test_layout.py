@@ -161,6 +161,20 @@ def test_mixing_takes_odd_rows(odd, nothing, docs):
     assert [(r["size"], r["target"], r["taken"]) for r in rows] == [(0, 0.0, 0)] * 2
 
 
+def test_rows_with_null_and_repeated_ids_are_mixed_by_row(docs):
+    texts = [f"w{i} " * (1 + i % 7) for i in range(300)]
+    ids = [None if i % 3 == 0 else i % 20 for i in range(300)]
+    table = docs(texts, ids=ids, sources=["ab"[i % 2] for i in range(300)])
+    goal = {r["source_size"]: r["target"] for r in mixing.mix(table).collect()}
+    sizes = {s: sum(1 + i % 7 for i in range(300) if "ab"[i % 2] == s) for s in "ab"}
+    found = mixing.mixed(table).collect()
+    assert len(goal) == 2 and any(r["doc_id"] is None for r in found)
+    for s in "ab":
+        assert abs(sum(len(r["text"].split()) for r in found if r["source"] == s) - goal[sizes[s]]) <= 1
+    own = dict(zip(texts, ids, strict=True))
+    assert all(own[r["text"]] == r["doc_id"] for r in found)
+
+
 # training order ---------------------------------------------------------------------------------------------------
 
 
