@@ -27,8 +27,9 @@ from shardframe.llm.common import bounded_sample, texts
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a whole run, as [0-9a-f]+ takes it
-#: Runs that the models look at: at least this long, with a digit, and letters of both kinds or more digits than one.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs that the models score: all that are at least this long. The margin alone keeps identifiers out.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 KINDS = ("assign", "access", "hex", "random")
 
 CHARS = string.ascii_letters + string.digits + "+/_=-"
@@ -109,6 +110,31 @@ def ordinary_identifiers(n: int, seed: int) -> list[str]:
     return found
 
 
+#: Folders that paths are made of.
+FOLDERS = "usr local lib bin etc var opt home share include python site packages tmp log dev proc src main java resources static assets docs build dist target node modules".split()
+
+
+def ordinary_runs(n: int, seed: int) -> list[str]:
+    """Labelled samples of the ordinary kind that are no names: numbers, dates, rulers, alphabets and paths."""
+    rng = random.Random(seed)
+    alphabet = string.ascii_lowercase * 2
+    found = []
+    for i in range(n):
+        kind, k, at = i % 5, rng.randint(16, 64), rng.randrange(26)
+        if kind == 0:
+            found.append("".join(rng.choices(string.digits, k=rng.randint(10, 24))))
+        elif kind == 1:
+            found.append("-".join(f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}" for _ in range(2)))
+        elif kind == 2:
+            found.append(rng.choice(CHARS) * k)
+        elif kind == 3:
+            run = alphabet[at : at + 26]
+            found.append(rng.choice([run, run.upper(), string.digits * 3]))
+        else:
+            found.append(rng.choice(["/", "/", ""]) + "/".join(rng.choices(FOLDERS + WORDS, k=rng.randint(3, 6))) + rng.choice(["", "", str(rng.randrange(10))]))
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns, leftmost and non-overlapping for each kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -118,17 +144,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def uncovered(base: list[tuple[int, int, int]], runs: Iterable[re.Match]) -> Iterator[tuple[int, int]]:
+    """The parts of the runs that no span of base touches; both are in order of their starts."""
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    k = 0
+    for m in runs:
+        a, b = m.span()
+        while k < len(covered) and covered[k][0] < b:
+            s, e = covered[k]
+            if a < s:
+                yield a, s
+            a = max(a, e)
+            if e > b:  # it may reach into the next run too
+                break
+            k += 1
+        if a < b:
+            yield a, b
+
+
 def scan(text: str, pair: MarkovPair) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The pattern spans, and the spans that the models add beside them."""
-    base, added = base_spans(text), []
-    for m in CANDIDATE.finditer(text):
-        token, a, b = m[0], m.start(), m.end()
-        if token.isalpha() or not any(c.isdigit() for c in token) or token.isdigit():
-            continue
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        if pair.is_secret(token):
-            added.append((a, 3, b))
+    """The pattern spans, and the spans that the models add beside them: whole runs, or what pattern spans leave of them."""
+    base = base_spans(text)
+    added = [(a, 3, b) for a, b in uncovered(base, CANDIDATE.finditer(text)) if b - a >= LEAST and pair.is_secret(text[a:b])]
     return base, added
 
 
@@ -151,7 +193,7 @@ def corpus_samples(docs: DataFrame, rows: int, seed: int, tokens: int) -> list[t
 
 def fit_models(docs: DataFrame | None = None, sample_rows: int = 1500, sample_tokens: int = 20_000, seed: int = 7) -> MarkovPair:
     """Trained on generated labelled samples and, with docs, on labelled tokens of at most sample_rows documents."""
-    labelled = [(t, 1) for t in random_strings(6000, seed)] + [(t, 0) for t in ordinary_identifiers(6000, seed)]
+    labelled = [(t, 1) for t in random_strings(6000, seed)] + [(t, 0) for t in ordinary_identifiers(6000, seed) + ordinary_runs(3000, seed)]
     return train(labelled + (corpus_samples(docs, sample_rows, seed, sample_tokens) if docs is not None else []))
 
 
