@@ -14,8 +14,9 @@ is lost.
 
 Defined cases: words are taken after lower-casing A-Z only; null text counts as empty, has an empty set, links with nothing
 and is its own component; with fewer words than the shingle's, the whole sequence is the one shingle. Each input row gives
-one row; rows with one doc_id share a component if any of them links. A row with null doc_id passes links on, and its
-component is the smallest id that there is, else null. An empty table gives no rows. Shingles are told apart by 64-bit
+one row, and components go by texts: rows of one doc_id with texts that do not link are in components of their own (the SQL
+goes by doc_id, and agrees where ids are not repeated). A row with null doc_id passes links on, and its component is the
+smallest id that there is, else null. An empty table gives no rows. Shingles are told apart by 64-bit
 hashes, of which 48 bits and the range of the hash space travel. Columns beside doc_id and text are not read.
 """
 
@@ -61,16 +62,16 @@ def sets_of(found: list[str], width: int) -> Iterator[tuple[int, np.ndarray, Non
         yield text_hash(own) if n else 0, own, None
 
 
-def units(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, unit of each row of docs."""
+def units(docs: DataFrame, width: int, *more: str) -> DataFrame:
+    """doc_id, n_shingles, unit of each row of docs, and its columns named by more, which are long."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in batches_of(batches):
             for b in held:
                 got = [(unit, len(own)) for unit, own, _ in sets_of(b.column("text").to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in got], pa.int64()), pa.array([u for u, _ in got], pa.int64())], ["doc_id", "n_shingles", "unit"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n in got], pa.int64()), pa.array([u for u, _ in got], pa.int64()), *(b.column(c) for c in more)], ["doc_id", "n_shingles", "unit", *more])
 
-    return texts(docs).mapInArrow(measure, "doc_id long, n_shingles long, unit long")
+    return texts(docs, *more).mapInArrow(measure, ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "unit", *more)))
 
 
 def overlap_needed(a, b, percent: int):
@@ -334,10 +335,10 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(new.select("unit", F.coalesce("to", "component").alias("component")), "label")
 
 
-def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """Of docs: doc_id, n_shingles, unit; and unit, component of the units that may link."""
+def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Of docs: doc_id, n_shingles, unit and more; and unit, component of the units that may link."""
     ranges = partitions_for(docs, 2)
-    rows = written(units(docs, width), "units")
+    rows = written(units(docs, width, *more), "units")
     shared = written(shared_keys(texts(docs), lambda found: sets_of(found, width), ranges), "shared")
     sizes = rows.groupBy("unit").agg(F.max("n_shingles").alias("n"))
     near = shared.join(sizes, "unit").where(F.octet_length("keys") / 8 * 100 >= percent * F.col("n"))
@@ -372,6 +373,16 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of their component."""
-    kept = ngram_join(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+    """Of each component the rows of docs, with all their columns, that have its smallest doc_id (null comes last) and one
+    text; of those with null doc_id one row. Rows without shingles all stay."""
+    own = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rows, label = links_and_components(own, width, percent, "_digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_digest")).alias("first")
+    of_unit = rows.where("n_shingles > 0").groupBy("unit").agg(first).join(label, "unit", "left")
+    of_component = of_unit.groupBy(F.coalesce("component", "unit").alias("component")).agg(F.min("first").alias("first"))
+    full = of_component.select(F.col("first.doc_id").alias("_doc_id"), F.col("first._digest").alias("_kept"), F.lit(True).alias("_full"))
+    empty = rows.where("n_shingles = 0").select(F.col("doc_id").alias("_doc_id"), F.col("_digest").alias("_kept"), F.lit(False).alias("_full")).distinct()
+    kept = written(full.unionByName(empty), "kept")
+    found = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_digest") == F.col("_kept")))
+    alone = F.col("doc_id").isNull() & F.col("_full")
+    return found.where(~alone).unionByName(found.where(alone).dropDuplicates(["_digest"])).select(*docs.columns)

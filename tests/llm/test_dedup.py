@@ -221,6 +221,18 @@ def test_links_take_odd_rows(odd, nothing, docs):
     assert sorted((r["n_shingles"], r["component_id"] or 0) for r in found) == [(0, 0), (1, 4), (1, 4)]
 
 
+def test_one_row_stays_where_ids_are_null_or_repeated(docs):
+    near = " ".join(f"n{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(None, "alone with no id"), (None, near + " x"), (3, near), (5, near + " y"), (5, "five alone"), (None, other), (None, other + " z"), (None, other), (7, "a b c"), (7, "A b c"), (8, "again"), (8, "again"), (None, ""), (None, None)]
+    found = ngram_join.keep_one(docs([t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    kept = [(r["doc_id"], r["text"]) for r in found]
+    assert len([x for x in kept if x[0] is None and x[1] and x[1].startswith("o0 ")]) == 1
+    assert len([x for x in kept if x[0] == 7]) == 1
+    others = [x for x in kept if x[0] != 7 and not (x[1] or "").startswith("o0 ")]
+    assert sorted(others, key=repr) == sorted([(None, "alone with no id"), (3, near), (5, "five alone"), (8, "again"), (8, "again"), (None, ""), (None, None)], key=repr)
+
+
 def test_the_threshold_is_exact(docs):
     common = [f"c{i}" for i in range(94)]
     texts = [" ".join([*common, *(f"a{i}" for i in range(n))]) for n in (0, 30, 31)]  # 90 of 120 and 90 of 121 shingles
