@@ -126,11 +126,10 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
             rep_at = range_of(reps, ranges)
             rep_above = (((reps >> np.uint64(32)) & upper) | (np.where(rep_mark, flag, np.uint64(0)) if marked else np.uint64(0))).astype(high)
             rep_low = (reps & LOW).astype("<u4")
-            bounds, run_bounds, rep_bounds = (np.searchsorted(x, np.arange(ranges + 1)) for x in (at, run_at, rep_at))
-            for r in range(ranges):
-                a, b, c, d, e, f = bounds[r], bounds[r + 1], run_bounds[r], run_bounds[r + 1], rep_bounds[r], rep_bounds[r + 1]
-                if b > a or f > e:
-                    rows.append((r, False, run_unit[c:d].tobytes(), run_size[c:d].tobytes(), low[a:b].tobytes(), above[a:b].tobytes(), rep_low[e:f].tobytes(), rep_above[e:f].tobytes()))
+            found = np.union1d(at, rep_at)  # the ranges that have a row
+            bounds, run_bounds, rep_bounds = (zip(np.searchsorted(x, found), np.searchsorted(x, found, "right"), strict=True) for x in (at, run_at, rep_at))
+            for r, (a, b), (c, d), (e, f) in zip(found.tolist(), bounds, run_bounds, rep_bounds, strict=True):
+                rows.append((r, False, run_unit[c:d].tobytes(), run_size[c:d].tobytes(), low[a:b].tobytes(), above[a:b].tobytes(), rep_low[e:f].tobytes(), rep_above[e:f].tobytes()))
             trimmed = (all_keys & LOW) | (((all_keys >> np.uint64(32)) & upper) << np.uint64(32)) | (range_of(all_keys, ranges).astype(np.uint64) << np.uint64(48))
             for h, who, sizes, own in by_home(unit[several], trimmed, ranges):
                 rows.append((h, True, who, sizes, own, None, None, None))

@@ -34,17 +34,20 @@ from shardframe.llm.components import components
 from shardframe.llm.exchange import batches_of, range_of, shared_keys
 from shardframe.llm.wordhash import EMPTY, mix, text_hash, window_hashes, word_hashes
 
-#: Sets of a list that are all compared with each other at once; longer lists are compared by their first set, then by
-#: component.
+#: Lists of so many entries are compared at once, all with each other; longer ones if their blocks leave few pairs.
 SHORT = 4
 #: Entries of a list that are skipped together.
-BLOCK = 256
-#: Pairs between components for each row of the long lists that are left to the last round.
+BLOCK = 64
+#: Few: pairs for each entry of a list.
 FEW_PAIRS = 4
-#: Rows of a list's part.
+#: Entries of a list's part.
 PART_ROWS = 4096
-#: Counters of the shingles' order, and the slices that they are summed up in.
-COUNTERS, SLICES = 1 << 22, 64
+#: Bytes of keys in a part of a family, or of its asks.
+PART_BYTES = 2 << 20
+#: Cut families whose number of parts is sent to every task; beyond it they are joined.
+SENT_FAMILIES = 100_000
+#: Counters of the shingles' order.
+COUNTERS = 1 << 22
 
 
 def sets_of(found: list[str], width: int) -> Iterator[tuple[int, np.ndarray, None]]:
@@ -80,27 +83,19 @@ def overlap_needed(a, b, percent: int):
 
 
 def counters(sets: DataFrame) -> np.ndarray:
-    """How many sets have a key, by the key's counter: COUNTERS numbers, summed up by slices on the executors."""
-    size = COUNTERS // SLICES
+    """How many sets have a key, by the key's counter: COUNTERS numbers. Only the counts over SHORT leave the executors,
+    as rows; 1 stands for the others."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
         for b in batches:
-            for k in b.column("keys"):
-                np.add.at(total, counter_of(np.frombuffer(k.as_buffer(), "<u8")), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, size)], pa.binary())], ["slice", "n"])
+            keys = np.frombuffer(b"".join(k.as_buffer() for k in b.column("keys")), "<u8")
+            at, n = np.unique(counter_of(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["counter", "n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.uint64)
-        for n in table["n"].to_pylist():
-            total += np.frombuffer(n, np.uint32)
-        return pa.table({"slice": pa.array(table["slice"][:1]), "n": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    found = sets.select("keys").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, n binary")
-    total = np.zeros((SLICES, size), np.uint32)
-    for r in found.collect():
-        total[r["slice"]] = np.frombuffer(r["n"], np.uint32)
-    return total.ravel()
+    found = sets.select("keys").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT).toArrow()
+    total = np.ones(COUNTERS, np.uint32)
+    total[found["counter"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+    return total
 
 
 def counter_of(keys: np.ndarray) -> np.ndarray:
@@ -108,29 +103,43 @@ def counter_of(keys: np.ndarray) -> np.ndarray:
 
 
 def index_entries(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """The first places of each set (unit, n, keys), dealt by key: at, and packed arrays."""
+    """The first places of each set (unit, n, keys), dealt by key: at, and packed arrays.
+
+    A list that the counters show to be long is dealt in parts by unit, and its entries say so. An entry's weight is how
+    common its set's shingles are: the set in the middle of a family of near copies has the most."""
     sent = sets.sparkSession.sparkContext.broadcast(counters(sets))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = sent.value
         for b in batches:
             unit, n = b.column("unit").to_numpy(), b.column("n").to_numpy()
-            keys = [np.frombuffer(k, "<u8") for k in b.column("keys").to_pylist()]
+            keys = [np.frombuffer(k.as_buffer(), "<u8") for k in b.column("keys")]
+            counts = [count[counter_of(k)] for k in keys]
+            weight = np.array([np.log2(c).sum() for c in counts]) / np.maximum(n, 1)
             alone = n - np.fromiter(map(len, keys), np.int64, len(keys))
             first = np.maximum(0, n - -(-percent * n // 100) + 1 - alone)
-            keys = [k[np.lexsort((k, sent.value[counter_of(k)]))[:f]] for k, f in zip(keys, first, strict=True)]
+            order = [np.lexsort((k, c))[:f] for k, c, f in zip(keys, counts, first, strict=True)]
+            keys, counts = [k[o] for k, o in zip(keys, order, strict=True)], [c[o] for c, o in zip(counts, order, strict=True)]
             who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             key = np.concatenate([EMPTY, *keys])
+            parts = -(-np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64) // PART_ROWS)
+            salt = mix(unit.view(np.uint64))[who] % parts.astype(np.uint64)
             place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)]) + alone[who]
-            at = range_of(mix(key), ranges)
+            at = range_of(mix(key + mix(salt)), ranges)
             order = np.argsort(at, kind="stable")
-            bounds = np.searchsorted(at[order], np.arange(ranges + 1))
+            bounds = np.flatnonzero(np.diff(at[order], prepend=-1, append=-1))
             rows = []
-            for r in np.flatnonzero(np.diff(bounds)):
-                o = order[bounds[r] : bounds[r + 1]]
-                rows.append((int(r), unit[who[o]].tobytes(), n[who[o]].astype(np.uint32).tobytes(), place[o].astype(np.uint32).tobytes(), key[o].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), *[pa.binary()] * 4))], ["at", "units", "sizes", "places", "keys"])
+            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+                o = order[x:y]
+                own = who[o]
+                rows.append((int(at[o[0]]), unit[own].tobytes(), n[own].astype("<u4").tobytes(), place[o].astype("<u4").tobytes(), key[o].tobytes(), weight[own].astype("<f4").tobytes(), (parts[o] > 1).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), *[pa.binary()] * len(PACKED)))], ["at", *PACKED])
+
+    return sets.select("unit", "n", "keys").mapInArrow(deal, f"at int, {', '.join(f'{c} binary' for c in PACKED)}")
+
 
-    return sets.select("unit", "n", "keys").mapInArrow(deal, "at int, units binary, sizes binary, places binary, keys binary")
+#: An index entry's fields, as packed arrays.
+PACKED = {"units": "<i8", "sizes": "<u4", "places": "<u4", "keys": "<u8", "weights": "<f4", "cut": "?"}
 
 
 def may_link(n_a, at_a, n_b, at_b, percent: int):
@@ -139,192 +148,203 @@ def may_link(n_a, at_a, n_b, at_b, percent: int):
     return most >= overlap_needed(n_a, n_b, percent)
 
 
-def sketch(keys: np.ndarray) -> np.ndarray:
-    """The parities of the keys' counts in bits of their hashes, at least four bits a key: two sets differ in as many keys
-    as their sketches in bits, or in more."""
-    bits = 1 << max(6, (4 * len(keys) - 1).bit_length())
-    at = (mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
-
-
-def folded(sketches: list[np.ndarray]) -> dict[int, np.ndarray]:
-    """By length: a matrix with the sketches of that length, and those of larger ones folded to it; the others are zero."""
-    lengths = np.array([len(x) for x in sketches])
-    found = {}
-    for length in np.unique(lengths).tolist():
-        m = np.zeros((len(sketches), length), np.uint64)
-        for k in np.flatnonzero(lengths >= length):
-            m[k] = np.bitwise_xor.reduce(sketches[k].reshape(-1, length), axis=0)
-        found[length] = m
-    return found
-
-
-def list_pairs(n: np.ndarray, at: np.ndarray, percent: int, apart: np.ndarray | None = None, shared: np.ndarray | None = None, sketches: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a list's entries, sorted by size and position, that its blocks' bounds and then the entries' own leave;
-    with apart, only pairs of different numbers in it; with sketches (and the numbers of shared keys), only those whose
-    sketches allow the overlap."""
-    left, right = [], []
+def block_pairs(n: np.ndarray, at: np.ndarray, percent: int, most: float = float("inf")) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs (i < j) of a list's entries, sorted by size and position, that can reach the overlap, or None if they are
+    more than ``most``. An entry skips the blocks whose sizes or positions rule it out, and in the others goes by entry."""
+    left, right, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     starts = np.arange(0, len(n), BLOCK)
-    lengths = np.diff(np.append(starts, len(n)))
+    ends = np.append(starts[1:], len(n))
     least_n, most_n = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
     most_at, most_rest = np.maximum.reduceat(at, starts), np.maximum.reduceat(n - at, starts)
-    one = np.where(np.minimum.reduceat(apart, starts) == np.maximum.reduceat(apart, starts), apart[starts], -1) if apart is not None else None
-    by_length = folded(sketches) if sketches else {}
-    size = np.array([len(x) for x in sketches]) if sketches else None
     for i in range(len(n)):
-        possible = (most_n * 100 >= percent * n[i]) & (least_n * percent <= 100 * n[i]) & (starts + lengths > i + 1)
+        possible = (most_n * 100 >= percent * n[i]) & (least_n * percent <= 100 * n[i]) & (ends > i + 1)
         possible &= np.minimum(most_at, at[i]) + np.minimum(most_rest, n[i] - at[i]) >= overlap_needed(n[i], least_n, percent)
-        if one is not None:
-            possible &= one != apart[i]
         for k in np.flatnonzero(possible):
-            j = np.arange(max(i + 1, starts[k]), starts[k] + lengths[k])
+            j = np.arange(max(i + 1, starts[k]), ends[k])
             j = j[may_link(n[i], at[i], n[j], at[j], percent)]
-            if apart is not None:
-                j = j[apart[j] != apart[i]]
-            if sketches and len(j):
-                common, good = np.minimum(size[j], size[i]), np.zeros(len(j), bool)
-                for length in np.unique(common).tolist():
-                    own = np.flatnonzero(common == length)
-                    m = by_length[length]
-                    differ = np.bitwise_count(m[j[own]] ^ m[i]).sum(1, dtype=np.int64)
-                    good[own] = shared[i] + shared[j[own]] - differ >= 2 * overlap_needed(n[i], n[j[own]], percent)
-                j = j[good]
-            if len(j):
-                left.append(np.full(len(j), i))
-                right.append(j)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+            left.append(np.full(len(j), i))
+            right.append(j)
+            found += len(j)
+        if found > most:
+            return None
+    return np.concatenate(left), np.concatenate(right)
 
 
 def candidates(index: DataFrame, percent: int) -> DataFrame:
-    """Of each range: the pairs (a < b) to compare first, and as key's rows (unit, n, place) the lists that are too long
-    for all pairs at once."""
+    """Of each range: as family and unit the pairs to compare first, and as key's rows (unit, n, place, weight) the lists
+    that are open. A list is done if its blocks leave few pairs; else each of its sets is paired with the one of the
+    largest weight, and it stays open. So does each part of a list that is cut."""
 
     def pair(table: pa.Table) -> pa.Table:
-        unit, n, place, key = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("units", np.int64), ("sizes", np.uint32), ("places", np.uint32), ("keys", np.uint64)))
+        unit, n, place, key, weight, cut = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in PACKED.items())
         n, place = n.astype(np.int64), place.astype(np.int64)
-        order = np.lexsort((unit, key))  # equal hashes are together, the smallest unit first
-        unit, n, place, key = unit[order], n[order], place[order], key[order]
+        order = np.lexsort((unit, place, n, key))
+        unit, n, place, key, weight, cut = unit[order], n[order], place[order], key[order], weight[order], cut[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        pairs = []
-        for width in range(2, SHORT + 1):  # all pairs of the short lists
-            at = first[size == width]
+        whole = ~np.logical_or.reduceat(cut, first)
+        pairs = [np.zeros((2, 0), np.int64)]
+        for width in range(2, SHORT + 1):  # one block each: the entries' own bounds are enough
+            at = first[whole & (size == width)]
             for i in range(width):
                 for j in range(i + 1, width):
                     good = may_link(n[at + i], place[at + i], n[at + j], place[at + j], percent)
                     pairs.append(np.stack([unit[at + i][good], unit[at + j][good]]))
-        lead = np.repeat(first, size)
-        long = np.repeat(size > SHORT, size)
-        other = np.flatnonzero(long & (lead != np.arange(len(key))))
+        is_open = ~whole
+        for k in np.flatnonzero(whole & (size > SHORT)):
+            own = slice(first[k], first[k] + size[k])
+            few = block_pairs(n[own], place[own], percent, FEW_PAIRS * size[k])
+            if few is None:
+                is_open[k] = True
+            else:
+                pairs.append(np.stack([unit[own][few[0]], unit[own][few[1]]]))
+        long = np.repeat(is_open, size)
+        lead = np.repeat(np.lexsort((unit, -weight, key))[first], size)
+        other = np.flatnonzero(long & (unit[lead] != unit))
         good = may_link(n[lead[other]], place[lead[other]], n[other], place[other], percent)
         pairs.append(np.stack([unit[lead[other]][good], unit[other][good]]))
         found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        kept = np.flatnonzero(long)
-        none = [None] * found.shape[1]
-        return pa.table({
-            "a": pa.array([*found[0].tolist(), *[None] * len(kept)], pa.int64()),
-            "b": pa.array([*found[1].tolist(), *[None] * len(kept)], pa.int64()),
-            "key": pa.array([*none, *key[kept].view(np.int64).tolist()], pa.int64()),
-            "unit": pa.array([*none, *unit[kept].tolist()], pa.int64()),
-            "n": pa.array([*none, *n[kept].tolist()], pa.int64()),
-            "place": pa.array([*none, *place[kept].tolist()], pa.int64()),
-        })
-
-    return index.groupBy("at").applyInArrow(pair, "a long, b long, key long, unit long, n long, place long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their sets' exact overlap. Common shingles are shared ones, so the shared are enough."""
-    own = sets.select("unit", "n", "keys")
-    both = pairs.join(own.select(F.col("unit").alias("a"), F.col("n").alias("n_a"), F.col("keys").alias("keys_a")), "a").join(
-        own.select(F.col("unit").alias("b"), F.col("n").alias("n_b"), F.col("keys").alias("keys_b")), "b"
-    )
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            n_a, n_b = r.column("n_a").to_numpy(), r.column("n_b").to_numpy()
-            common = np.zeros(len(n_a), np.int64)
-            for i, (x, y) in enumerate(zip(r.column("keys_a"), r.column("keys_b"), strict=True)):
-                both = np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")])
-                both.sort(kind="stable")
-                common[i] = np.count_nonzero(both[1:] == both[:-1])
-            yield r.select(["a", "b"]).filter(pa.array(100 * common >= percent * (n_a + n_b - common)))
-
-    return both.mapInArrow(compare, "a long, b long")
-
-
-def mixed_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """key, unit, n, place, component of the lists that hold more than one component, and how many rows each list has."""
-    at = lists.select("key", "unit", "n", "place").join(label, "unit")
-    kinds = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"))
-    return at.join(kinds.where("x <> y").select("key", "rows"), "key")
-
-
-def pairs_left(mixed: DataFrame) -> tuple[int, int]:
-    """Rows, and the pairs of different components in the lists (bounds do not count)."""
-    same = mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.max("rows").alias("rows"))
-    row = same.agg(F.sum("c"), F.sum(F.col("c").cast("double") * (F.col("rows") - F.col("c"))) / 2).first()
-    return row[0] or 0, row[1] or 0
-
-
-def by_pivot(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """The pairs (a < b) of each list's pivot, which differs from turn to turn, and the sets of other components."""
-    pivot = mixed.groupBy("key").agg(F.min_by(F.struct("unit", "n", "place", "component"), F.xxhash64("unit", F.lit(turn))).alias("p"))
-    both = mixed.join(pivot, "key").where("component <> p.component")
+        kept, none = np.flatnonzero(long), np.full(found.shape[1], -1)
+        columns = {"family": found[0], "unit": found[1], "key": none, "n": none, "place": none, "weight": none.astype("<f4")}
+        rows = {"family": np.full(len(kept), -1), "unit": unit[kept], "key": key[kept].view("<i8"), "n": n[kept], "place": place[kept], "weight": weight[kept]}
+        opened = pa.array(np.repeat([False, True], [found.shape[1], len(kept)]))
+        return pa.table({c: pa.array(np.concatenate([columns[c], rows[c]])) for c in columns} | {"open": opened})
+
+    return index.groupBy("at").applyInArrow(pair, "family long, unit long, key long, n long, place long, weight float, open boolean")
+
+
+def answers(members: list[np.ndarray], sizes: np.ndarray, asks: list[np.ndarray], ask_sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """(ask, member): for each ask that links to a member, one that it links to.
+
+    The asks are counted against one of the members, the middle of the family. Another member's overlaps follow from those
+    by its difference: less what it lacks of the middle, and what it has beside it. Members whose bounds rule out an ask
+    are skipped; so an ask that is far from the middle costs no more than its count."""
+    middle = members[0]
+    if len(members) > 1:
+        _, at, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+        first = np.cumsum([0, *map(len, members[:-1])])
+        middle = members[int((np.add.reduceat(count[at], first) / sizes).argmax())]
+
+    def against(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each set's bits in the middle, and the keys that it has beside it with their owners."""
+        key, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(middle, key)
+        inside = (at < len(middle)) & (middle[np.minimum(at, len(middle) - 1)] == key)
+        bits = np.zeros((len(sets), len(middle)), bool)
+        bits[who[inside], at[inside]] = True
+        return np.packbits(np.pad(bits, ((0, 0), (0, -len(middle) % 64))), axis=1).view(np.uint64), key[~inside], who[~inside]
+
+    ask_bits, ask_more, ask_who = against(asks)
+    common = np.bitwise_count(ask_bits).sum(1, dtype=np.int64)
+    if len(members) == 1:
+        for z in np.flatnonzero(common >= overlap_needed(sizes[0], ask_sizes, percent)).tolist():
+            yield z, 0
+        return
+    bits, more, who = against(members)
+    extra, ask_extra = np.bincount(who, minlength=len(members)), np.bincount(ask_who, minlength=len(asks))
+    order = np.argsort(more)
+    more, who = more[order], who[order]
+    ask_first = np.concatenate([[0], np.cumsum(ask_extra)])
+    for z in range(len(asks)):
+        need = overlap_needed(sizes, ask_sizes[z], percent)
+        near = np.flatnonzero(common[z] + np.minimum(extra, ask_extra[z]) >= need)
+        if not len(near):
+            continue
+        own = ask_more[ask_first[z] : ask_first[z + 1]]
+        a, b = np.searchsorted(more, own), np.searchsorted(more, own, "right")
+        beside = np.bincount(who[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True) if y > x] or [np.zeros(0, np.int64)])], minlength=len(members))
+        overlap = np.bitwise_count(bits[near] & ask_bits[z]).sum(1, dtype=np.int64) + beside[near]
+        linked = near[overlap >= need[near]]
+        if len(linked):
+            yield z, int(linked[0])
+
+
+def compared(members: DataFrame, asks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (family, unit, n) and asks (family, unit, n) of the same family, by exact overlap: one
+    for each ask and task. Common shingles are shared ones, so the sets' shared keys are enough.
+
+    A family's keys are sent once, not once for each pair. Families and asks of more than PART_BYTES are cut in parts, and
+    each pair of parts is a task's work; the number of tasks follows from the bytes to send."""
+    spark = sets.sparkSession
+    own = members.groupBy("family").agg(F.sum(8 * F.col("n")).alias("own"))
+    loads = written(own.join(asks.groupBy("family").agg(F.sum(8 * F.col("n")).alias("asked")), "family"), "loads")
+    loads = loads.select("family", "own", "asked", F.ceil((F.col("own") + 1) / PART_BYTES).alias("own_parts"), F.ceil((F.col("asked") + 1) / PART_BYTES).alias("ask_parts"))
+    total = loads.agg(F.sum(F.col("own") * F.col("ask_parts") + F.col("asked") * F.col("own_parts"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PART_BYTES))
+    cut = loads.where("own_parts > 1 or ask_parts > 1").select("family", "own_parts", "ask_parts")
+    cut = F.broadcast(cut) if cut.count() <= SENT_FAMILIES else cut.hint("merge")
+
+    def dealt(rows: DataFrame, is_ask: bool) -> DataFrame:
+        at = rows.join(cut, "family", "left").na.fill(1, ["own_parts", "ask_parts"])
+        parts, others = ("ask_parts", "own_parts") if is_ask else ("own_parts", "ask_parts")
+        part, other = F.pmod(F.xxhash64("unit"), F.col(parts)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1))
+        at = at.select("family", "unit", part.alias("part"), other.alias("other"))
+        i, j = ("other", "part") if is_ask else ("part", "other")
+        return at.select("family", F.col(i).alias("i"), F.col(j).alias("j"), "unit", F.lit(is_ask).alias("is_ask"))
+
+    rows = dealt(members, False).unionByName(dealt(asks, True)).join(sets.select("unit", "n", "keys"), "unit")
+
+    def compare(table: pa.Table) -> pa.Table:
+        family, i, j, unit, n = (table[c].to_numpy() for c in ("family", "i", "j", "unit", "n"))
+        is_ask = table["is_ask"].to_numpy()
+        keys = [np.frombuffer(k.as_buffer(), "<u8") for k in table["keys"]]
+        order = np.lexsort((unit, is_ask, j, i, family))
+        tasks = np.stack([family, i, j])[:, order]
+        bounds = np.flatnonzero(np.concatenate([[True], (tasks[:, 1:] != tasks[:, :-1]).any(0), [True]])) if len(order) else []
+        a, b = [], []
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            o = order[x:y]
+            m = len(o) - int(is_ask[o].sum())
+            if 0 < m < len(o):
+                for z, k in answers([keys[r] for r in o[:m]], n[o[:m]], [keys[r] for r in o[m:]], n[o[m:]], percent):
+                    a.append(unit[o[k]])
+                    b.append(unit[o[m + z]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    at = F.pmod(F.xxhash64("family", "i", "j"), F.lit(buckets)).cast("int").alias("at")
+    return rows.select(at, "family", "i", "j", "unit", "is_ask", "n", "keys").repartition(buckets, "at").groupBy("at").applyInArrow(compare, "a long, b long")
+
+
+def with_lead(asks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of asks (family, unit) whose family is one set's unit."""
+    sized = asks.join(sets.select("unit", "n"), "unit")
+    return compared(asks.select("family", F.col("family").alias("unit"), F.lit(0).cast("long").alias("n")).distinct(), sized.select("family", "unit", "n"), sets, percent)
+
+
+def mixed_lists(lists: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """key, unit, n, place, weight, component of the lists that hold more than one component, and p: in each turn the set of
+    the largest weight in another of the list's components."""
+    at = written(lists.select("key", "unit", "n", "place", "weight").join(label, "unit"), "open-lists")
+    middle = F.max_by(F.struct("unit", "n", "place", "component"), F.struct(F.xxhash64("component", F.lit(turn)), "weight", "unit"))
+    kinds = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), middle.alias("p"))
+    return written(join_groups(at, kinds.where("x <> y").select("key", "rows", "p"), "key").where("p is not null"), "mixed-lists")
+
+
+def by_pivot(mixed: DataFrame, percent: int) -> DataFrame:
+    """The asks of each list's sets in other components than its p."""
     most = F.least("place", "p.place") + F.least(F.col("n") - F.col("place"), F.col("p.n") - F.col("p.place"))
-    able = both.where(most * (100 + percent) >= (F.col("n") + F.col("p.n")) * percent)
-    return able.select(F.least("unit", "p.unit").alias("a"), F.greatest("unit", "p.unit").alias("b")).distinct()
+    able = mixed.where("component <> p.component").where(most * (100 + percent) >= (F.col("n") + F.col("p.n")) * percent)
+    return able.select(F.col("p.unit").alias("family"), "unit").distinct()
 
 
-def sketched(sets: DataFrame) -> DataFrame:
-    """unit, shared (the number of its keys), sketch."""
-
-    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [np.frombuffer(k.as_buffer(), "<u8") for k in b.column("keys")]
-            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(map(len, keys), pa.int64()), pa.array([sketch(k).tobytes() for k in keys], pa.binary())], ["unit", "shared", "sketch"])
-
-    return sets.select("unit", "keys").mapInArrow(make, "unit long, shared long, sketch binary")
+def blocks_of(mixed: DataFrame) -> DataFrame:
+    """Each list cut into blocks by component, with the bounds of the block's sizes and positions."""
+    rest = F.col("n") - F.col("place")
+    return mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("place").alias("most_at"), F.max(rest).alias("most_rest"))
 
 
-def meet_first(i: np.ndarray, j: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
-    """Whether the pairs (sorted by i) meet in no earlier list; earlier has the keys of each entry's earlier lists."""
-    good = np.ones(len(i), bool)
-    bounds = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        own = [earlier[k] for k in j[a:b]]
-        met = np.isin(np.concatenate(own), earlier[i[a]])
-        who = np.repeat(np.arange(b - a), [len(x) for x in own])
-        good[a:b] = np.bincount(who[met], minlength=b - a) == 0
-    return good
-
-
-def across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a < b) of different components that a list's bounds and the sets' sketches leave, each from the first
-    list where they meet. Long lists are cut into parts, and each pair of parts is a task's work, so that no task gathers
-    a long list."""
-    parts = F.ceil(F.col("rows") / PART_ROWS).cast("int")
-    lists = mixed.groupBy("unit").agg(F.sort_array(F.collect_set("key")).alias("lists"))  # as many as the set's first places
-    cut = mixed.join(sketched(sets), "unit").join(lists, "unit").withColumn("part", F.pmod(F.xxhash64("unit"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cut = cut.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-
-    def pair(table: pa.Table) -> pa.Table:
-        unit, n, place, component, part, shared = (table[c].to_numpy() for c in ("unit", "n", "place", "component", "part", "shared"))
-        order = np.lexsort((unit, place, n))
-        unit, n, place, part, shared = unit[order], n[order], place[order], part[order], shared[order]
-        sketches = [np.frombuffer(x, np.uint64) for x in table["sketch"].take(order).to_pylist()]
-        _, number = np.unique(component[order], return_inverse=True)
-        i, j = list_pairs(n, place, percent, number, shared, sketches)
-        if table["low"][0] != table["high"][0]:
-            i, j = i[part[i] != part[j]], j[part[i] != part[j]]
-        key = table["key"][0].as_py()
-        earlier = [x[: np.searchsorted(x, key)] for x in (np.array(k, np.int64) for k in table["lists"].take(order).to_pylist())]
-        good = meet_first(i, j, earlier)
-        i, j = i[good], j[good]
-        return pa.table({"a": np.minimum(unit[i], unit[j]), "b": np.maximum(unit[i], unit[j])})
-
-    return cut.select("key", "low", "high", "unit", "n", "place", "component", "part", "shared", "sketch", "lists").groupBy("key", "low", "high").applyInArrow(pair, "a long, b long").distinct()
+def across(mixed: DataFrame, blocks: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that meet in a list: each set outside its list's largest block asks the components of
+    the other blocks, unless a block's bounds rule it out. So no link between components is lost."""
+    largest = blocks.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.sum("c").alias("rows"))
+    outside = written(join_groups(mixed.drop("p"), largest, "key").where("component <> main"), "outside")
+    block = blocks.select("key", F.col("component").alias("family"), "least_n", "most_n", "most_at", "most_rest")
+    meet = outside.join(block, "key").where("family <> component and (family = main or component < family)")
+    most = F.least("most_at", "place") + F.least("most_rest", F.col("n") - F.col("place"))
+    able = meet.where((F.col("most_n") * 100 >= percent * F.col("n")) & (F.col("least_n") * percent <= 100 * F.col("n")) & (most * (100 + percent) >= (F.col("n") + F.col("least_n")) * percent))
+    asks = written(able.select("family", "unit", "n").distinct(), "asks")
+    members = label.withColumnRenamed("component", "family").join(asks.select("family").distinct(), "family").join(sets.select("unit", "n"), "unit")
+    return compared(members.select("family", "unit", "n"), asks, sets, percent)
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,22 +364,22 @@ def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *mo
     near = shared.join(sizes, "unit").where(F.octet_length("keys") / 8 * 100 >= percent * F.col("n"))
     sets = written(near, "sets")
     found = written(candidates(index_entries(sets, ranges, percent), percent), "candidates")
-    first = written(verified(found.where("a is not null").select("a", "b").distinct(), sets, percent), "links")
+    first = written(with_lead(found.where("not open").select("family", "unit").distinct(), sets, percent), "links")
     label = joined(sets.select("unit", F.col("unit").alias("component")), first)
-    lists, turn, before = found.where("a is null"), 0, float("inf")
+    lists, turn, before = found.where("open"), 0, float("inf")
     while True:
-        lists = written(mixed_lists(lists, label), "lists")
-        n, left = pairs_left(lists)
-        if not n:
+        mixed = mixed_lists(lists, label, turn)
+        blocks = written(blocks_of(mixed), "blocks")
+        of_list = blocks.groupBy("key").agg(F.sum("c").alias("rows"), F.max("c").alias("main"), F.count(F.lit(1)).alias("blocks"))
+        row = of_list.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows").cast("double") * F.col("blocks") - F.col("main") * F.col("blocks")).alias("left")).first()
+        if not row["rows"]:
             return rows, label
-        last = left <= FEW_PAIRS * n or left > 0.8 * before
-        pairs = across(lists, sets, percent) if last else by_pivot(lists, turn, percent)
-        links = written(verified(pairs, sets, percent), "links")
-        if not links.isEmpty():
-            label = joined(label, links)
+        last = row["left"] <= FEW_PAIRS * row["rows"] or row["left"] > 0.5 * before
+        links = across(mixed, blocks, label, sets, percent) if last else with_lead(by_pivot(mixed, percent), sets, percent)
+        label = joined(label, written(links, "links"))
         if last:
             return rows, label
-        turn, before = turn + 1, left
+        lists, turn, before = mixed, turn + 1, row["left"]
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

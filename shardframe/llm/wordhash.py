@@ -1,17 +1,25 @@
 """Vectorised 64-bit hashes of words and of windows of words, over many texts at a time.
 
-A word's hash is a polynomial over random numbers for its bytes; a window's is a polynomial over its words' mixed hashes.
-Both come from running sums, modulo 2 to the 64, so that each costs a few operations however long the window is.
+A word's hash mixes its bytes eight at a time; a window's is a tree over its words' hashes, mixed at every node. None is a
+sum or a polynomial, so that patterns of repeated letters or words do not cancel out. A lane is one of several independent
+hash functions.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BLOCK = 1 << 18
+#: Words longer than this many bytes are hashed one by one.
+LONG = 256
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
 EMPTY = np.zeros(0, np.uint64)
+ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+#: What of 8 bytes belongs to a word with 0 to 8 bytes left.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,35 +29,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse, as many as have been asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
-        self.up = self.down = EMPTY
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a node from those of its left and right part."""
+    return mix(a * ODD[1] + (b ^ (b >> np.uint64(29))) * ODD[2])
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, BLOCK + 64)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(self.n, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
-        return self.up[:n], self.down[:n]
 
+def digest(data: bytes, lane: int = 0) -> int:
+    """A signed 64-bit hash of bytes."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=bytes([lane])).digest(), "little", signed=True)
 
-BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-IN_WORD, IN_WINDOW = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
 
+def hashes_of(own: np.ndarray, first: np.ndarray, last: np.ndarray, lane: int) -> np.ndarray:
+    """The hash of each run of bytes own[first:last]."""
+    size = last - first
+    data = np.concatenate([own, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(own) + 1,), "<u8", data, 0, (1,))  # the 8 bytes from each place on
+    h = mix(size.astype(np.uint64) + ODD[0] * np.uint64(lane + 1))
+    left, at, who = size, first, slice(None)
+    while len(at):
+        h[who] = pair(h[who], eight[at] & MASKS[np.minimum(left, 8)])
+        more = np.flatnonzero((left > 8) & (left <= LONG) if isinstance(who, slice) else left > 8)
+        left, at = left[more] - 8, at[more] + 8
+        who = more if isinstance(who, slice) else who[more]
+    for k in np.flatnonzero(size > LONG):
+        h[k] = np.uint64(digest(own[first[k] : last[k]].tobytes(), lane) % 2**64)
+    return h
 
-def sums(values: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return total, down
 
-
-def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: list[bytes], lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and where each text's words begin (one more than there are texts)."""
     buffer = b"\n".join(data) + b"\n"
     a = np.frombuffer(buffer, np.uint8)
@@ -63,8 +70,7 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         apart = SEPARATOR[own]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], apart]).astype(np.int8)))
         first, last = edge[::2], edge[1::2]  # a block begins a word or a separator, and ends with a separator
-        total, down = sums(BYTES[own], IN_WORD)
-        hashes.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        hashes.append(hashes_of(own, first, last, lane))
         starts.append(first + at)
         at = end
     begin = np.cumsum([0] + [len(d) + 1 for d in data])
@@ -72,21 +78,25 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """The hash of every window of ``width`` words; windows that reach into the next text are the caller's to drop."""
-    n = len(words) - width + 1
+    """The hash of every window of ``width`` words; windows that reach into the next text are the caller's to drop.
+
+    Windows of 1, 2, 4, ... words are made from two halves each; one of ``width`` from those that width's bits name."""
     out = [EMPTY]
-    for at in range(0, n, BLOCK):
+    for at in range(0, len(words) - width + 1, BLOCK):
         own = words[at : at + BLOCK + width - 1]
-        total, down = sums(own, IN_WINDOW)
-        k = len(own) - width + 1
-        out.append(mix((total[width:] - total[:k]) * down[:k] + np.uint64(width)))
+        n, level, size, done, found = len(own) - width + 1, own, 1, 0, None
+        while True:
+            if width & size:
+                part = level[done : done + n]
+                found = mix(part + ODD[0]) if found is None else pair(found, part)
+                done += size
+            if 2 * size > width:
+                break
+            level, size = pair(level[: len(level) - size], level[size:]), 2 * size
+        out.append(found)
     return np.concatenate(out)
 
 
-def text_hash(words: np.ndarray) -> int:
+def text_hash(words: np.ndarray, lane: int = 0) -> int:
     """The signed 64-bit hash of a whole sequence of words."""
-    h = len(words)
-    for at in range(0, len(words), BLOCK):
-        total, _ = sums(words[at : at + BLOCK], IN_WINDOW)
-        h = int(mix(np.array([(h * 0x9E3779B97F4A7C15 + int(total[-1])) % 2**64], np.uint64))[0])
-    return h - 2**64 if h >= 2**63 else h
+    return digest(words.astype("<u8").tobytes(), lane)

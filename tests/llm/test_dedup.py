@@ -248,59 +248,78 @@ def test_skipped_blocks_hold_no_pairs(monkeypatch, block):
     rng = np.random.default_rng(4)
     n = np.sort(rng.integers(1, 60, 80))
     at = rng.integers(0, 20, 80) % n
-    apart = rng.integers(0, 3, 80)
-    for groups in (None, apart):
-        i, j = ngram_join.list_pairs(n, at, 75, groups)
-        want = {(a, b) for a in range(80) for b in range(a + 1, 80) if ngram_join.may_link(n[a], at[a], n[b], at[b], 75) and (groups is None or apart[a] != apart[b])}
-        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    i, j = ngram_join.block_pairs(n, at, 75)
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if ngram_join.may_link(n[a], at[a], n[b], at[b], 75)}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) < 80 * 79 / 4
+    assert ngram_join.block_pairs(n, at, 75, len(want)) is not None and ngram_join.block_pairs(n, at, 75, 10) is None
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), min_size=1, max_size=120))
-def test_sketches_differ_in_no_more_bits_than_sets(a, b):
-    keys = [np.array(sorted(x), np.uint64) for x in (a, b)]
-    sketches = [ngram_join.sketch(k) for k in keys]
-    m = ngram_join.folded(sketches)[min(map(len, sketches))]
-    assert np.bitwise_count(m[0] ^ m[1]).sum() <= len(a ^ b)
-
-
-def test_lists_with_sketches_lose_no_link():
-    rng = np.random.default_rng(9)
+@pytest.mark.parametrize("edits", [0, 8, 40])
+def test_answers_follow_from_the_middle(edits):
+    """Overlaps derived from the middle's are those of a direct count, for near and for far asks."""
+    rng = np.random.default_rng(edits)
     base = rng.integers(0, 1 << 40, 90).astype(np.uint64)
-    sets = []
-    for _ in range(120):
+
+    def near():
         own = base.copy()
-        own[rng.choice(90, rng.integers(0, 40), replace=False)] = rng.integers(0, 1 << 40, 1)
-        sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 40, rng.integers(0, 30)).astype(np.uint64)])))
-    sets.sort(key=len)
-    n, at, apart = np.array([len(x) for x in sets]), np.zeros(120, np.int64), np.arange(120)
-    i, j = ngram_join.list_pairs(n, at, 75, apart, n, [ngram_join.sketch(x) for x in sets])
-    found = set(zip(i.tolist(), j.tolist(), strict=True))
-    links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
-    assert links <= found and len(found) < 2 * len(links) + 200
-
-
-def test_pairs_come_from_the_first_list_where_they_meet():
-    earlier = [np.array(x, np.int64) for x in ([1, 5], [5, 7], [], [2, 3])]
-    i, j = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 2, 3, 2, 3, 3])
-    assert ngram_join.meet_first(i, j, earlier).tolist() == [False, True, True, True, True, True]
-    assert ngram_join.meet_first(i[:0], j[:0], earlier).tolist() == []
-
-
-def test_a_family_without_a_common_link_is_joined(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PART_ROWS", 16)  # lists in parts
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
-    rng = random.Random(8)
+        own[rng.choice(90, rng.integers(0, edits + 1), replace=False)] = rng.integers(0, 60, 1)
+        return np.unique(np.concatenate([own, rng.integers(0, 60, rng.integers(0, 6)).astype(np.uint64)]))
+
+    members, asks = [near() for _ in range(40)], [near() for _ in range(40)] + [np.arange(50, dtype=np.uint64)]
+    alone = rng.integers(0, 5, 81)  # shingles that no other set has count in the sizes
+    sizes = np.array([len(x) for x in [*members, *asks]]) + alone
+    linked = {(z, i) for z, t in enumerate(asks) for i, s in enumerate(members) if 100 * (c := len(np.intersect1d(s, t))) >= 75 * (sizes[i] + sizes[40 + z] - c)}
+    found = list(ngram_join.answers(members, sizes[:40], asks, sizes[40:], 75))
+    assert set(found) <= linked and {z for z, _ in found} == {z for z, _ in linked} and len(found) == len({z for z, _ in found})
+    for i in range(3):
+        assert set(ngram_join.answers(members[i : i + 1], sizes[i : i + 1], asks, sizes[40:], 75)) == {(z, 0) for z, k in linked if k == i}
+
+
+def run_by_method(monkeypatch, docs, texts, **limits):
+    """The join's result with other limits, and how often each step ran."""
+    ran = defaultdict(int)
+    for name in ("with_lead", "across"):
+        real = getattr(ngram_join, name)
+
+        def counted(*args, real=real, name=name):
+            ran[name] += 1
+            return real(*args)
+
+        monkeypatch.setattr(ngram_join, name, counted)
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(texts)).collect()}, ran
+
+
+def spread_family(seed, n, edits):
+    rng = random.Random(seed)
     base = [f"b{i}" for i in range(120)]
     texts = []
-    for _ in range(70):
+    for _ in range(n):
         w = list(base)
-        for _ in range(rng.randrange(2, 7)):
+        for _ in range(rng.randrange(*edits)):
             w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
         texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("limits", [{}, {"PART_ROWS": 8}, {"PART_BYTES": 4000}, {"PART_BYTES": 4000, "SENT_FAMILIES": 0, "PART_ROWS": 8}, {"FEW_PAIRS": 0}, {"SHORT": 2, "BLOCK": 3, "FEW_PAIRS": 1000}])
+def test_the_method_decides(docs, monkeypatch, limits):
+    """A family whose sets are near a middle that is not among them: links are found by leads, by blocks, or by derived
+    answers, as the limits have it, and by nothing else."""
+    texts = spread_family(8, 70, (2, 7)) + spread_family(9, 12, (1, 3)) + [f"o{i} " * 3 + "x y z" for i in range(5)]
     want = brute_join(list(enumerate(texts)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(texts)).collect()}
+    got, ran = run_by_method(monkeypatch, docs, texts, **limits)
     assert got == want and len({c for _, c in want.values()}) > 2
+    assert ran["across"] == (limits.get("FEW_PAIRS") != 1000)
+
+
+def test_the_method_is_not_bypassed(docs, monkeypatch):
+    """Without its derived answers the join finds fewer links."""
+    texts = spread_family(8, 70, (2, 7))
+    monkeypatch.setattr(ngram_join, "answers", lambda members, *a: iter(()))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs(texts)).collect()}
+    assert len(set(got.values())) == 70
 
 
 def test_components(spark):
