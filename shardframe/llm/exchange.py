@@ -175,13 +175,13 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
     return replies.groupBy("at").applyInArrow(gather, "unit long, keys binary")
 
 
-def gathered(table: pa.Table, name: str) -> pa.Table:
-    """One row for each unit, its keys sorted and without repeats."""
+def gathered(table: pa.Table, name: str, lanes: int = 1) -> pa.Table:
+    """One row for each unit, its keys sorted and without repeats; with more lanes, the rows of its keys as they come."""
     units = [np.repeat(np.frombuffer(u, np.int64), np.frombuffer(s, np.uint32)) for u, s in zip(table["units"].to_pylist(), table["sizes"].to_pylist(), strict=True)]
     unit = np.concatenate(units)
     key = np.concatenate([np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()])
     place = np.argsort(unit, kind="stable")
-    unit, key = unit[place], key[place]
+    unit, key = unit[place], key.reshape(-1, lanes)[place]
     first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-    own = [np.unique(x).astype("<u8").tobytes() for x in np.split(key, first[1:])]
+    own = [(np.unique(x) if lanes == 1 else x).astype("<u8").tobytes() for x in np.split(key, first[1:])]
     return pa.table([pa.array(unit[first], pa.int64()), pa.array(own, pa.binary())], names=["unit", name])

@@ -10,7 +10,10 @@ Documents with one sequence of words are one unit, judged once with its smallest
 
 Defined cases: null text counts as empty: no words; a text shorter than a window repeats nothing; documents with one id do
 not repeat each other, a repeated row has the same result; a row with null id neither loses words nor makes others lose
-them; an empty table gives no rows. Windows are compared by 64-bit hashes. Columns beside doc_id and text are not read.
+them; an empty table gives no rows. Documents are one unit if the SHA-256 of their words is the same. Words are removed
+where 128 bits of hash say so: two independent lanes over the window's words; anchors, which only propose windows, go by
+64 bits and sequences of words travel under 64 bits, so a chance collision there can leave a repeat but removes nothing.
+Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -48,18 +51,18 @@ def probes_of(found: list[str], block: int, window: int) -> Iterator[tuple[int,
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, unit, sha of each row: sha of all its words joined by a space."""
+    """doc_id, mark (a hash of the text as it is), n_words, unit, sha of each row: sha of all its words joined by a space."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in batches_of(batches):
             for b in held:
                 data = [t.encode() for t in b.column("text").to_pylist()]
                 words, begin = word_hashes(data)
-                sha = [hashlib.sha256(b" ".join(d.split())).hexdigest() for d in data]
+                sha = [hashlib.sha256(b" ".join(d.split())).digest() for d in data]
                 unit = [text_hash(words[x:y]) for x, y in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(begin), pa.int64()), pa.array(unit, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "unit", "sha"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(np.diff(begin), pa.int64()), pa.array(unit, pa.int64()), pa.array(sha, pa.binary())], ["doc_id", "mark", "n_words", "unit", "sha"])
 
-    return texts(docs).mapInArrow(measure, "doc_id long, n_words long, unit long, sha string")
+    return texts(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(measure, "doc_id long, mark long, n_words long, unit long, sha binary")
 
 
 def sent_form(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -67,6 +70,21 @@ def sent_form(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return (hashes & np.uint64(0xFFFFFFFF)) | (((hashes >> np.uint64(32)) & UPPER) << np.uint64(32)) | (range_of(hashes, ranges).astype(np.uint64) << np.uint64(48))
 
 
+def both_lanes(data: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes, where each text's begin, and the windows' hashes in two lanes: a row for each window."""
+    words, begin = word_hashes(data)
+    again, _ = word_hashes(data, lane=1)
+    return words, begin, np.stack([window_hashes(words, window), window_hashes(again, window)], axis=1)
+
+
+def by_key(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc and key (two lanes) sorted by key and doc, whether each row is its key's first, and its key's smallest doc."""
+    order = np.lexsort((doc, key[:, 1], key[:, 0]))
+    doc, key = doc[order], key[order]
+    first = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])[: len(key)]
+    return doc, key, first, doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+
+
 def extended(anchored: DataFrame, ranges: int, block: int, window: int) -> DataFrame:
     """doc_id and keys: the hashes of the windows around its anchors that a document with a smaller id has too.
 
@@ -74,28 +92,24 @@ def extended(anchored: DataFrame, ranges: int, block: int, window: int) -> DataF
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in batches_of(batches):
-            docs, keys = [np.zeros(0, np.int64)], [EMPTY]
+            docs, keys = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
             for b in held:
-                words, begin = word_hashes([t.encode() for t in b.column("text").to_pylist()])
-                small, large = sent_form(window_hashes(words, block), ranges), window_hashes(words, window)
+                words, begin, large = both_lanes([t.encode() for t in b.column("text").to_pylist()], window)
+                small = sent_form(window_hashes(words, block), ranges)
                 for doc, unit, anchors, x, y in zip(b.column("doc_id").to_pylist(), b.column("unit").to_pylist(), b.column("keys"), begin[:-1], begin[1:], strict=True):
                     if y - x < window or text_hash(words[x:y]) != unit:
                         continue  # another row with this id
                     hit = np.isin(small[x : y - block + 1], np.frombuffer(anchors.as_buffer(), "<u8"))
                     sums = np.concatenate([[0], np.cumsum(hit)])
                     near = sums[window - block + 1 :] > sums[: y - x - window + 1]
-                    own = np.unique(large[x : y - window + 1][near])
+                    own = large[x : y - window + 1][near]
                     docs.append(np.full(len(own), doc))
                     keys.append(own)
-            doc, key = np.concatenate(docs), np.concatenate(keys)
-            order = np.lexsort((doc, key))
-            doc, key = doc[order], key[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-            least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+            doc, key, first, least = by_key(np.concatenate(docs), np.concatenate(keys))
             told = doc > least
             rows = [(h, True, who, sizes, own) for h, who, sizes, own in by_home(doc[told], key[told], ranges)]
             doc, key = doc[first], key[first]
-            at = range_of(key, ranges)
+            at = range_of(key[:, 0], ranges)
             order = order_by(at, ranges)
             order = order[np.lexsort((doc[order], at[order]))]
             doc, key, at = doc[order], key[order], at[order]
@@ -114,19 +128,16 @@ def extended(anchored: DataFrame, ranges: int, block: int, window: int) -> DataF
                 out.append((at, who, sizes, own))
             else:
                 docs.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(sizes, np.uint32)))
-                keys.append(np.frombuffer(own, np.uint64))
+                keys.append(np.frombuffer(own, np.uint64).reshape(-1, 2))
         if docs:
-            doc, key = np.concatenate(docs), np.concatenate(keys)
-            order = np.argsort(key)
-            doc, key = doc[order], key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            told = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(key))))
+            doc, key, _, least = by_key(np.concatenate(docs), np.concatenate(keys))
+            told = doc > least
             out += list(by_home(doc[told], key[told], ranges))
         return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["at", "units", "sizes", "keys"])
 
     asked = anchored.mapInArrow(ask, "at int, reply boolean, units binary, sizes binary, keys binary")
     replies = asked.groupBy("at").applyInArrow(answer, REPLY)
-    return replies.groupBy("at").applyInArrow(lambda t: gathered(t, "keys"), "unit long, keys binary").withColumnRenamed("unit", "doc_id")
+    return replies.groupBy("at").applyInArrow(lambda t: gathered(t, "keys", 2), "unit long, keys binary").withColumnRenamed("unit", "doc_id")
 
 
 def repeats(begin: int, end: int, hit: np.ndarray, window: int) -> np.ndarray:
@@ -145,12 +156,12 @@ def cut(anchored: DataFrame, found: DataFrame, window: int) -> DataFrame:
         for held in batches_of(batches):
             for b in held:
                 data = [t.encode() for t in b.column("text").to_pylist()]
-                words, begin = word_hashes(data)
-                large, rows = window_hashes(words, window), []
+                (words, begin, large), rows = both_lanes(data, window), []
                 for doc, unit, keys, d, x, y in zip(b.column("doc_id").to_pylist(), b.column("unit").to_pylist(), b.column("found"), data, begin[:-1], begin[1:], strict=True):
                     if y - x < window or text_hash(words[x:y]) != unit:
                         continue
-                    gone = repeats(x, y, np.isin(large[x : y - window + 1], np.frombuffer(keys.as_buffer(), "<u8")), window)
+                    own, said = large[x : y - window + 1], np.frombuffer(keys.as_buffer(), "<u8").reshape(-1, 2)
+                    gone = repeats(x, y, np.isin(own[:, 0], said[:, 0]) & np.isin(own[:, 1], said[:, 1]), window)
                     left = [w for w, g in zip(d.split(), gone.tolist(), strict=True) if not g]
                     rows.append((doc, unit, int(gone.sum()), b" ".join(left).decode()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -161,11 +172,11 @@ def cut(anchored: DataFrame, found: DataFrame, window: int) -> DataFrame:
 
 
 def passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Of docs: its rows (doc_id, n_words, unit, sha, keep_id: the unit's smallest id), and what is cut from the units'
-    first documents (doc_id, unit, n_removed, kept)."""
+    """Of docs: its rows (doc_id, mark, n_words, unit, sha, keep_id: the smallest id with the same words), and what is cut
+    from those first documents (doc_id, unit, n_removed, kept)."""
     block, ranges = window // 2, partitions_for(docs, 2)
     rows = written(units(docs), "units")
-    first = rows.where("doc_id is not null").groupBy("unit").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))
+    first = rows.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.min("unit").alias("unit"), F.count(F.lit(1)).alias("rows"))
     shared = shared_keys(texts(docs), lambda found: probes_of(found, block, window), ranges, np.uint8, marked=True)
     anchors = written(shared.join(first, "unit").select(F.col("keep_id").alias("doc_id"), "unit", "keys"), "anchors")
     own = texts(docs)
@@ -173,7 +184,7 @@ def passages(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
         own = own.join(F.broadcast(anchors.select("doc_id").distinct()), "doc_id", "left_semi")
     anchored = written(own.join(anchors.hint("merge"), "doc_id"), "anchored")
     found = written(extended(anchored, ranges, block, window), "repeats")
-    return join_groups(rows, first, "unit"), cut(anchored, found.hint("merge"), window)
+    return join_groups(rows, first.drop("unit"), "sha"), cut(anchored, found.hint("merge"), window)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -186,7 +197,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         "doc_id",
         "n_words",
         F.when(again, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(again, F.lit(nothing)).otherwise(F.coalesce("less", "sha")).alias("kept_sha256"),
+        F.when(again, F.lit(nothing)).otherwise(F.coalesce("less", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
 
 
@@ -194,7 +205,7 @@ def cut_documents(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with all its columns, the text of documents that lose words replaced by the words left."""
     rows, cuts = passages(docs, window)
     again = (F.col("n_words") >= window) & (F.col("doc_id") > F.col("keep_id"))
-    new = rows.join(cuts, ["doc_id", "unit"]).select("doc_id", "n_words", "kept").unionByName(rows.where(again).select("doc_id", "n_words", F.lit("").alias("kept")))
-    new = new.select(F.col("doc_id").alias("_doc_id"), F.col("n_words").alias("_n"), F.col("kept").alias("_kept")).dropDuplicates(["_doc_id", "_n"])
-    joined = docs.join(new, (docs["doc_id"] == new["_doc_id"]) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) == new["_n"]), "left")
+    new = rows.join(cuts, ["doc_id", "unit"]).select("doc_id", "mark", "kept").unionByName(rows.where(again).select("doc_id", "mark", F.lit("").alias("kept")))
+    new = new.select(F.col("doc_id").alias("_doc_id"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept")).dropDuplicates(["_doc_id", "_mark"])
+    joined = docs.join(new, (docs["doc_id"] == new["_doc_id"]) & (F.xxhash64(F.coalesce("text", F.lit(""))) == new["_mark"]), "left")
     return joined.select(*(F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
