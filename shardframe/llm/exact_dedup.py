@@ -1,26 +1,25 @@
 """Exact dedup over a persistent digest index (DataFrame operations only).
 
-The index is a table bucketed and sorted by digest. A batch is summed up by digest before the shuffle, held against
-the index by a sort-merge anti-join that reads the buckets in place, and its new digests are appended.
+The index is a table bucketed and sorted by digest. New data comes in batches, the largest ids first: a batch is summed up
+by digest before the shuffle, held against the index by a sort-merge anti-join that reads the buckets in place, and its new
+digests are appended. So the first batch that has a text has its largest id, and later batches meet a filled index.
 
 Defined cases: null text counts as empty, and empty texts equal each other. Rows are compared by the SHA-256 of their
 UTF-8 bytes, without normalisation. Of equal rows the largest doc_id stays; a repeated (doc_id, text) row is equal to
-itself, so each such row reads kept. A null doc_id never beats a number; a group of null ids only keeps them all. An
-empty table gives no rows. Columns beside doc_id and text are not read.
+itself, so each such row reads kept (keep_one keeps one of them). A null doc_id never beats a number; a group of null ids
+only reads kept in all its rows (keep_one keeps one). An empty table gives no rows. Columns beside doc_id and text are not
+read.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardframe.llm.common import partitions_for, scratch_path, written
-
-#: A group is hot from this share of all rows on: so there are at most a thousand of them, and their list may be sent
-#: to every executor.
-HOT_SHARE = 1000
+from shardframe.llm.common import join_groups, partitions_for, scratch_path, written
 
 
 class DigestIndex:
@@ -59,8 +58,14 @@ class DigestIndex:
         )
 
 
-def digests(docs: DataFrame) -> DataFrame:
+    def drop(self) -> None:
+        """Takes the index out of the catalogue; its files stay until the folder is cleaned."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def digests(docs: DataFrame, row: list[str]) -> DataFrame:
     return docs.select(
+        *row,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)).alias("digest"),
     )
@@ -71,29 +76,40 @@ def by_digest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs, dropped rows included.
+def in_batches(rows: DataFrame, batches: int) -> list[DataFrame]:
+    """rows cut by doc_id into about even batches, the largest ids first and null ids last."""
+    at = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)] or [0.5])).first()[0] or []
+    bounds = sorted(set(at[: batches - 1]), reverse=True)
+    least = [F.col("doc_id") >= x for x in bounds]
+    below = [F.col("doc_id") < x for x in bounds]
+    return [rows.where(x) for x in [*least[:1], *(a & b for a, b in zip(least[1:], below, strict=False)), F.col("doc_id").isNull() | (below[-1] if below else F.lit(True))]]
 
-    With an index that already holds digests, a text seen in an earlier batch keeps the row that batch kept, and
-    group_size is the size of its group in that batch.
-    """
+
+def decided(docs: DataFrame, row: list[str], index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+    """row, doc_id, digest, keep_id, group_size of each row of docs."""
     spark = docs.sparkSession
     n = partitions_for(docs)
-    index = index or DigestIndex(spark, scratch_path(spark, "digest-index"), n)
-    rows = written(digests(docs), "digests")
-    index.append_new(written(by_digest(rows), "digest-groups"))  # written, as the optimizer would put the anti-join first
-    groups = index.read()
-
-    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    hot = F.broadcast(
-        groups.where(F.col("group_size") * HOT_SHARE >= max(total, HOT_SHARE * HOT_SHARE)).select(
-            "digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")
-        )
-    )
-    dealt = rows.join(hot, "digest", "left")
-    of_hot = dealt.where("hot_size is not null").select("doc_id", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
-    others = dealt.where("hot_size is null").select("doc_id", "digest").join(groups.hint("merge"), "digest").select("doc_id", "digest", "keep_id", "group_size")
-    return of_hot.unionByName(others).select(
+    own = index or DigestIndex(spark, scratch_path(spark, "digest-index"), n)
+    rows = written(digests(docs, row), "digests")
+    counted = []
+    for batch in in_batches(rows, batches):
+        counted.append(written(by_digest(batch), "digest-groups"))  # written, as the optimizer would put the anti-join first
+        own.append_new(counted[-1])
+    sizes = reduce(DataFrame.unionByName, counted).groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    kept = own.read().select("digest", "keep_id").hint("merge")
+    groups = written(sizes.join(kept, "digest").withColumn("rows", F.col("group_size")), "decisions")
+    if index is None:
+        own.drop()
+    return join_groups(rows, groups, "digest")
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs, dropped rows included.
+
+    With an index that already holds digests, a text seen in an earlier call keeps the row that was kept then, and
+    group_size is the size of its group in this call.
+    """
+    return decided(docs, [], index, batches).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -102,8 +118,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each group of equal texts."""
-    verdict = exact_dedup(docs, index).where("kept").select(F.col("doc_id").alias("_doc_id"), F.col("text_sha256").alias("_digest")).distinct()
-    own = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (own == F.col("_digest")), "left_semi")
+def keep_one(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: one that has the group's keep_id. Of repeated rows, and of
+    a group of null ids, it is one of them; with an index, a group whose row was kept in an earlier call has none.
+
+    Rows are told apart by a key that is made once and written."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    verdict = decided(rows, ["_row"], index, batches).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return rows.join(verdict.groupBy("digest").agg(F.min("_row").alias("_row")).select("_row"), "_row", "left_semi").select(*docs.columns)
