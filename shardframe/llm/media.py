@@ -3,7 +3,10 @@
 A text's bytes are padded with spaces to a positive multiple of 192 and stored as the samples of a mono 8-bit WAV file,
 which the wave module writes and reads; that is lossless. Of the spectrum, each frame's strongest local peaks are taken,
 and each peak is paired with the next ones in time: (frequency, later frequency, distance) is a code, stored with the
-frame where it starts.
+frame where it starts. The last frame has none after it, so its peaks are paired with each other at distance 0, and its
+mean level is a code of frequency 0: so texts of one frame and even ones have a fingerprint too.
+
+The files are written to the shared folder as a column, and what is analysed is what is read back from there.
 
 Defined cases: null text counts as empty, whose payload is 192 spaces; each input row gives one row, repeated rows and
 null ids included; equal texts give equal values; an empty table gives no rows. Long texts are transformed in blocks of
@@ -22,12 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shardframe.llm.common import texts
+from shardframe.llm.common import texts, written
 
 UNIT, RATE = 192, 8000
 HOP = UNIT // 2
 #: Frames transformed at a time; peaks of a frame; later peaks that each is paired with, and how many frames they may be away.
 BLOCK, PEAKS, FAN_OUT, REACH = 4096, 2, 3, 8
+#: Files that are analysed at a time.
+FILES = 256
+#: Peaks of the last frame.
+LAST_PEAKS = 8
 WINDOW = np.hanning(UNIT).astype(np.float64)
 
 
@@ -50,18 +57,22 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def levels(frames: np.ndarray) -> np.ndarray:
+    """Of each frame the strength by frequency (less 3) where it is a local peak, else -1."""
+    power = np.abs(np.fft.rfft((frames.astype(np.float64) - 128.0) * WINDOW, axis=1))[:, 2:]  # not the mean level
+    level = np.round(np.log2(power + 1.0) * 64).astype(np.int32)
+    inner = level[:, 1:-1]
+    return np.where((inner > level[:, :-2]) & (inner >= level[:, 2:]), inner, -1)
+
+
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frame and frequency of the spectral peaks, by frame and then strength."""
-    frames = max(1, (len(samples) - UNIT) // HOP + 1)
+    frames = (len(samples) - UNIT) // HOP + 1
     when, where = [], []
     for first in range(0, frames, BLOCK):
         n = min(BLOCK, frames - first)
-        own = samples[first * HOP : (first + n - 1) * HOP + UNIT].astype(np.float64) - 128.0
-        cut = np.lib.stride_tricks.sliding_window_view(own, UNIT)[::HOP]
-        power = np.abs(np.fft.rfft(cut * WINDOW, axis=1))[:, 2:]  # not the mean level
-        level = np.round(np.log2(power + 1.0) * 64).astype(np.int32)
-        inner = level[:, 1:-1]
-        top = np.where((inner > level[:, :-2]) & (inner >= level[:, 2:]), inner, -1)
+        own = samples[first * HOP : (first + n - 1) * HOP + UNIT]
+        top = levels(np.lib.stride_tricks.sliding_window_view(own, UNIT)[::HOP])
         for k in range(PEAKS):
             best = top.argmax(axis=1)  # the lowest frequency of equals
             rows = np.arange(n)
@@ -74,10 +85,19 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[0][order], f[order]
 
 
+def last_codes(samples: np.ndarray) -> list[int]:
+    """The last frame's codes: its mean level, and its strongest peaks, each with the next one."""
+    top = levels(samples[-UNIT:][None, :])[0]
+    strong = [int(k) + 3 for k in np.argsort(-top, kind="stable")[:LAST_PEAKS] if top[k] > 0]
+    return [int(samples[-UNIT:].mean()) << 4, *(a << 12 | b << 4 for a, b in zip(strong, [*strong[1:], 0], strict=True))]
+
+
 def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Time-coded arrays: the frame at which each pair starts, and its code (frequency, later frequency, distance)."""
-    t, f = peaks(np.frombuffer(payload, np.uint8))
-    starts, codes = [], []
+    samples = np.frombuffer(payload, np.uint8)
+    t, f = peaks(samples)
+    codes = [np.array(last_codes(samples))]
+    starts = [np.full(len(codes[0]), (len(samples) - UNIT) // HOP)]
     for k in range(1, FAN_OUT + 1):
         ahead = k + PEAKS - 1  # beyond the frame's own peaks
         if len(t) <= ahead:
@@ -86,8 +106,6 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         good = (gap > 0) & (gap <= REACH)
         starts.append(t[:-ahead][good])
         codes.append(((f[:-ahead] << 12) | (f[ahead:] << 4) | gap)[good])
-    if not starts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     t, c = np.concatenate(starts), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)
@@ -104,41 +122,33 @@ def encode(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
+#: analyse's columns after doc_id and n_bytes.
+FOUND = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("fp_time", pa.list_(pa.int32())), ("fp_code", pa.list_(pa.int32()))]
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fp_time array<int>, fp_code array<int>"
+
+
 def analyse(media: DataFrame) -> DataFrame:
-    """From encode's columns: what the stored files hold and their fingerprints (fp_time, fp_code arrays)."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fp_time array<int>, fp_code array<int>"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: map(analysed, batches), schema)
+    """From encode's columns: what the stored files hold, their fingerprints (fp_time, fp_code arrays) and the digest of
+    those as feature."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, FILES):
+                own = b.slice(first, FILES)
+                found = [described(m.as_buffer().to_pybytes()) for m in own.column("media")]
+                columns = [pa.array([x[i] for x in found], kind) for i, (_, kind) in enumerate(FOUND)]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("n_bytes"), *columns], ["doc_id", "n_bytes", *(n for n, _ in FOUND)])
 
-def analysed(b: pa.RecordBatch) -> pa.RecordBatch:
-    media = b.column("media").to_pylist()
-    found = [described(m) for m in media]
-    types = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("fp_time", pa.list_(pa.int32())), ("fp_code", pa.list_(pa.int32()))]
-    columns = [pa.array([x[i] for x in found], kind) for i, (_, kind) in enumerate(types)]
-    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *columns], ["doc_id", "n_bytes", *(n for n, _ in types)])
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
 
 
 def described(media: bytes) -> tuple:
     payload = from_wav(media)
     t, c = fingerprint(payload)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), t, c
+    feature = hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, t, c
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """The columns of analyse with the fingerprint's digest as feature, in one pass over the texts: each file is made,
-    read back and analysed before the next."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pairs"]
-
-    def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = text.encode()
-                n, sha, tail, size, media_sha, t, c = described(to_wav(pad(data)))
-                feature = hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest()
-                rows.append((doc_id, len(data), n, sha, tail, size, media_sha, feature, len(t)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
-
-    return texts(docs).mapInArrow(report, schema)
+    """Stores the files of docs as a column in the shared folder, and analyses what it reads back."""
+    return analyse(written(encode(docs), "media"))
