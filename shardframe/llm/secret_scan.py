@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model is trained on labelled random strings, the other on labelled ordinary identifiers. A run of token characters
-that no pattern covers is a secret if the random model explains it better than the ordinary one by a margin that the
-labelled samples set.
+that no pattern covers is a secret if the random model explains it better than the ordinary one by a margin. The margin
+comes from labelled samples that the models were not trained on: over all but a small share of the ordinary ones, and
+halfway from there to the random ones if there is a gap.
 
 Defined cases: null text counts as empty (no spans); offsets are code points, end exclusive; each input row gives one row,
 repeated rows and null ids included; an empty table gives no rows. Texts are scanned whole. Columns beside doc_id and text
@@ -30,6 +31,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a whole run, as [0-9a-f]+ takes it
 #: Runs that the models score: all that are at least this long. The margin alone keeps identifiers out.
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Characters of a labelled token of a document that are learnt from.
+SAMPLE_CHARS = 64
 KINDS = ("assign", "access", "hex", "random")
 
 CHARS = string.ascii_letters + string.digits + "+/_=-"
@@ -74,16 +77,20 @@ def log_model(tokens: Iterable[str], backoff: float = 2.0) -> np.ndarray:
     return np.log(second / second.sum(2, keepdims=True)).ravel()
 
 
-def train(labelled: Iterable[tuple[str, int]], false_alarms: float = 0.0005) -> MarkovPair:
-    """From (token, 1 for random or 0 for ordinary). The margin lets at most that share of the ordinary samples pass."""
+def train(labelled: Iterable[tuple[str, int]], false_alarms: float = 0.001, missed: float = 0.01) -> MarkovPair:
+    """From (token, 1 for random or 0 for ordinary). At most the share false_alarms of the ordinary samples that are held out
+    is over the margin; it rises above that towards the score under which the share missed of the random ones is."""
     labelled = sorted(set(labelled))
     held = labelled[::5]  # for the margin
     fit = [x for i, x in enumerate(labelled) if i % 5]
     ratio = log_model(t for t, y in fit if y) - log_model(t for t, y in fit if not y)
     pair = MarkovPair(ratio, 0.0)
-    ordinary = sorted(pair.score(t) for t, y in held if not y and len(t) >= 12)
+    ordinary = sorted(pair.score(t) for t, y in held if not y and len(t) >= LEAST)
+    keys = sorted(pair.score(t) for t, y in held if y and len(t) >= LEAST)
     if ordinary:
-        pair.margin = max(0.1, ordinary[min(len(ordinary) - 1, int(len(ordinary) * (1 - false_alarms)))] + 1e-9)
+        pair.margin = ordinary[min(len(ordinary) - 1, int(len(ordinary) * (1 - false_alarms)))] + 1e-9
+        if keys:
+            pair.margin = max(pair.margin, (pair.margin + keys[int(len(keys) * missed)]) / 2)
     return pair
 
 
@@ -114,24 +121,42 @@ def ordinary_identifiers(n: int, seed: int) -> list[str]:
 FOLDERS = "usr local lib bin etc var opt home share include python site packages tmp log dev proc src main java resources static assets docs build dist target node modules".split()
 
 
+#: Beginnings, middles and ends that syllables are made of.
+ONSETS = "b bl br c ch d dr f fl g gr h j k kl l m n p pl pr qu r s sch sh sp st t th tr v w z".split()
+NUCLEI = "a e i o u y ie ei au ou ea ee io".split()
+CODAS = "n r s t l m nd ng nt rt st ch ck gs ss ff ld".split()
+
+
 def ordinary_runs(n: int, seed: int) -> list[str]:
-    """Labelled samples of the ordinary kind that are no names: numbers, dates, rulers, alphabets and paths."""
+    """Labelled samples of the ordinary kind that are no names: numbers, dates, rulers, alphabets, paths, versions, UUIDs
+    and long words."""
     rng = random.Random(seed)
-    alphabet = string.ascii_lowercase * 2
     found = []
     for i in range(n):
-        kind, k, at = i % 5, rng.randint(16, 64), rng.randrange(26)
+        kind, k, at = i % 8, rng.randint(16, 64), rng.randrange(26)
+        digit = rng.choice(["", "", "", str(rng.randrange(10))])
         if kind == 0:
             found.append("".join(rng.choices(string.digits, k=rng.randint(10, 24))))
         elif kind == 1:
-            found.append("-".join(f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}" for _ in range(2)))
+            day = f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+            clock = rng.choice(["-", ""]).join(f"{rng.randrange(60):02d}" for _ in range(3))
+            found.append(rng.choice([day, day.replace("-", ""), day.replace("-", "/")]) + rng.choice(["T", "_", "-", "/"]) + clock + rng.choice(["", "Z", "Z0"]))
         elif kind == 2:
             found.append(rng.choice(CHARS) * k)
         elif kind == 3:
-            run = alphabet[at : at + 26]
-            found.append(rng.choice([run, run.upper(), string.digits * 3]))
+            run = (rng.choice([string.ascii_lowercase, string.ascii_uppercase, string.digits]) * 4)[at : at + rng.randint(16, 30)]
+            found.append(rng.choice([run, run[::-1]]) + digit)
+        elif kind == 4:
+            found.append(rng.choice(["/", "/", ""]) + "/".join(rng.choices(FOLDERS + WORDS, k=rng.randint(3, 6))) + digit)
+        elif kind == 5:
+            number = rng.choice(["-", "_"]).join(str(rng.randrange(rng.choice([10, 100]))) for _ in range(rng.randint(2, 4)))
+            found.append(rng.choice(WORDS) + rng.choice(["-", "_", "/"]) + rng.choice(["v", "", "release-", "rc"]) + number + rng.choice(["", "-beta", "-alpha1", "-rc2", "-final"]))
+        elif kind == 6:
+            digits = "".join(rng.choices("0123456789abcdef", k=32))
+            found.append("-".join((digits[:8], digits[8:12], digits[12:16], digits[16:20], digits[20:])))
         else:
-            found.append(rng.choice(["/", "/", ""]) + "/".join(rng.choices(FOLDERS + WORDS, k=rng.randint(3, 6))) + rng.choice(["", "", str(rng.randrange(10))]))
+            word = "".join(rng.choice(ONSETS) + rng.choice(NUCLEI) + rng.choice(CODAS + [""] * 12) for _ in range(rng.randint(5, 12)))
+            found.append(rng.choice([word, word.title(), word + digit]))
     return found
 
 
@@ -175,15 +200,16 @@ def scan(text: str, pair: MarkovPair) -> tuple[list[tuple[int, int, int]], list[
 
 
 def corpus_samples(docs: DataFrame, rows: int, seed: int, tokens: int) -> list[tuple[str, int]]:
-    """Labelled tokens of a bounded sample of documents: those inside pattern spans are random, words are ordinary."""
+    """Labelled tokens of a bounded sample of documents: those inside pattern spans are random, words are ordinary. Of a
+    token the SAMPLE_CHARS at the end (random) or the beginning (ordinary) are learnt from; scans take whole runs."""
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[tuple[str, int]] = set()
             for text in b.column("text").to_pylist():
                 base = base_spans(text)
-                found.update((text[s:e][-64:] if k else ASSIGN.match(text, s)[2][-64:], 1) for s, k, e in base)
-                found.update((m[0][:64], 0) for m in re.finditer(r"[A-Za-z][A-Za-z_/-]{7,}[0-9]{0,4}(?![A-Za-z0-9+/_=-])", text) if not any(s < m.end() and m.start() < e for s, _, e in base))
+                found.update((text[s:e][-SAMPLE_CHARS:] if k else ASSIGN.match(text, s)[2][-SAMPLE_CHARS:], 1) for s, k, e in base)
+                found.update((m[0][:SAMPLE_CHARS], 0) for m in re.finditer(r"[A-Za-z][A-Za-z_/-]{7,}[0-9]{0,4}(?![A-Za-z0-9+/_=-])", text) if not any(s < m.end() and m.start() < e for s, _, e in base))
             rows = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], ["token", "label"])
 
@@ -193,7 +219,7 @@ def corpus_samples(docs: DataFrame, rows: int, seed: int, tokens: int) -> list[t
 
 def fit_models(docs: DataFrame | None = None, sample_rows: int = 1500, sample_tokens: int = 20_000, seed: int = 7) -> MarkovPair:
     """Trained on generated labelled samples and, with docs, on labelled tokens of at most sample_rows documents."""
-    labelled = [(t, 1) for t in random_strings(6000, seed)] + [(t, 0) for t in ordinary_identifiers(6000, seed) + ordinary_runs(3000, seed)]
+    labelled = [(t, 1) for t in random_strings(6000, seed)] + [(t, 0) for t in ordinary_identifiers(6000, seed) + ordinary_runs(8000, seed)]
     return train(labelled + (corpus_samples(docs, sample_rows, seed, sample_tokens) if docs is not None else []))
 
 
@@ -213,7 +239,6 @@ def find_secrets(docs: DataFrame, pair: MarkovPair) -> DataFrame:
     return texts(docs).mapInArrow(find, "doc_id long, spans array<struct<kind:string,start:long,end:long,text:string>>")
 
 
-
 def secret_report(docs: DataFrame, pair: MarkovPair) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans: one row for each document."""
     spans = find_secrets(docs, pair)
