@@ -22,7 +22,7 @@ hashes, of which 48 bits and the range of the hash space travel. Columns beside
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ FEW_PAIRS = 4
 #: Entries of a list's part.
 PART_ROWS = 4096
 #: Bytes of keys in a part of a family, or of its asks.
-PART_BYTES = 2 << 20
+PART_BYTES = 256 << 10
 #: Cut families whose number of parts is sent to every task; beyond it they are joined.
 SENT_FAMILIES = 100_000
 #: Counters of the shingles' order.
@@ -148,9 +148,50 @@ def may_link(n_a, at_a, n_b, at_b, percent: int):
     return most >= overlap_needed(n_a, n_b, percent)
 
 
-def block_pairs(n: np.ndarray, at: np.ndarray, percent: int, most: float = float("inf")) -> tuple[np.ndarray, np.ndarray] | None:
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """The parities of the keys' counts in bits of their hashes, at least four bits a key: two sets differ in as many keys
+    as their sketches in bits, or in more."""
+    bits = 1 << max(6, (4 * len(keys) - 1).bit_length())
+    at = (mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """unit, shared (the number of its keys), sketch."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.frombuffer(k.as_buffer(), "<u8") for k in b.column("keys")]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(map(len, keys), pa.int64()), pa.array([sketch(k).tobytes() for k in keys], pa.binary())], ["unit", "shared", "sketch"])
+
+    return sets.select("unit", "keys").mapInArrow(make, "unit long, shared long, sketch binary")
+
+
+class Sketches:
+    """Of a list's entries: which of them may reach the overlap with one of them, by their sketches."""
+
+    def __init__(self, n: np.ndarray, shared: np.ndarray, sketches: list[np.ndarray], percent: int):
+        self.n, self.shared, self.percent = n, shared, percent
+        self.size = np.array([len(x) for x in sketches])
+        self.folds = {}  # by length: the sketches of that length, and larger ones folded to it
+        for length in np.unique(self.size).tolist():
+            m = self.folds[length] = np.zeros((len(sketches), length), np.uint64)
+            for k in np.flatnonzero(self.size >= length):
+                m[k] = np.bitwise_xor.reduce(sketches[k].reshape(-1, length), axis=0)
+
+    def allow(self, i: int, j: np.ndarray) -> np.ndarray:
+        common, good = np.minimum(self.size[j], self.size[i]), np.zeros(len(j), bool)
+        for length in np.unique(common).tolist():
+            own = np.flatnonzero(common == length)
+            differ = np.bitwise_count(self.folds[length][j[own]] ^ self.folds[length][i]).sum(1, dtype=np.int64)
+            good[own] = self.shared[i] + self.shared[j[own]] - differ >= 2 * overlap_needed(self.n[i], self.n[j[own]], self.percent)
+        return good
+
+
+def block_pairs(n: np.ndarray, at: np.ndarray, percent: int, most: float = float("inf"), allow: Callable | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """The pairs (i < j) of a list's entries, sorted by size and position, that can reach the overlap, or None if they are
-    more than ``most``. An entry skips the blocks whose sizes or positions rule it out, and in the others goes by entry."""
+    more than ``most``. An entry skips the blocks whose sizes or positions rule it out, and in the others goes by entry;
+    allow(i, j) says which of those stay."""
     left, right, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     starts = np.arange(0, len(n), BLOCK)
     ends = np.append(starts[1:], len(n))
@@ -162,6 +203,7 @@ def block_pairs(n: np.ndarray, at: np.ndarray, percent: int, most: float = float
         for k in np.flatnonzero(possible):
             j = np.arange(max(i + 1, starts[k]), ends[k])
             j = j[may_link(n[i], at[i], n[j], at[j], percent)]
+            j = j[allow(i, j)] if allow and len(j) else j
             left.append(np.full(len(j), i))
             right.append(j)
             found += len(j)
@@ -333,18 +375,52 @@ def blocks_of(mixed: DataFrame) -> DataFrame:
     return mixed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("place").alias("most_at"), F.max(rest).alias("most_rest"))
 
 
+def outside_pairs(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The asks of sets outside their lists' largest blocks, of different components, that blocks and sketches leave.
+
+    Of a list with more than PART_ROWS such sets, each pair of parts is a task's work."""
+    size = outside.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    parts = F.ceil(F.col("rows") / PART_ROWS).cast("int")
+    dealt = join_groups(outside.select("key", "unit", "n", "place", "component"), size.withColumn("parts", parts).where("rows > 1"), "key").where("parts is not null")
+    cut = dealt.withColumn("part", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cut = cut.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).join(sketched(sets), "unit")
+    load = size.agg(F.sum(F.col("rows") * parts)).first()[0] or 0
+    buckets = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(load // PART_ROWS))
+
+    def pair(table: pa.Table) -> pa.Table:
+        unit, n, place, component, part, shared, key, low, high = (table[c].to_numpy() for c in ("unit", "n", "place", "component", "part", "shared", "key", "low", "high"))
+        order = np.lexsort((unit, place, n, high, low, key))
+        tasks = np.stack([key, low, high])[:, order]
+        bounds = np.flatnonzero(np.concatenate([[True], (tasks[:, 1:] != tasks[:, :-1]).any(0), [True]]))
+        found = [np.zeros((2, 0), np.int64)]
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            o = order[x:y]
+            sketches = Sketches(n[o], shared[o], [np.frombuffer(table["sketch"][int(k)].as_buffer(), np.uint64) for k in o], percent)
+            apart, own, across_parts = component[o], part[o], low[o[0]] != high[o[0]]
+
+            def allow(i: int, j: np.ndarray, sketches=sketches, apart=apart, own=own, across_parts=across_parts) -> np.ndarray:
+                return (apart[j] != apart[i]) & ((own[j] != own[i]) | ~across_parts) & sketches.allow(i, j)
+
+            i, j = block_pairs(n[o], place[o], percent, allow=allow)
+            found.append(np.stack([unit[o][i], unit[o][j]]))
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.table({"family": pa.array(pairs[0]), "unit": pa.array(pairs[1])})
+
+    at = F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)).cast("int").alias("at")
+    return cut.select(at, "key", "low", "high", "unit", "n", "place", "component", "part", "shared", "sketch").groupBy("at").applyInArrow(pair, "family long, unit long").distinct()
+
+
 def across(mixed: DataFrame, blocks: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components that meet in a list: each set outside its list's largest block asks the components of
-    the other blocks, unless a block's bounds rule it out. So no link between components is lost."""
-    largest = blocks.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.sum("c").alias("rows"))
-    outside = written(join_groups(mixed.drop("p"), largest, "key").where("component <> main"), "outside")
-    block = blocks.select("key", F.col("component").alias("family"), "least_n", "most_n", "most_at", "most_rest")
-    meet = outside.join(block, "key").where("family <> component and (family = main or component < family)")
-    most = F.least("most_at", "place") + F.least("most_rest", F.col("n") - F.col("place"))
-    able = meet.where((F.col("most_n") * 100 >= percent * F.col("n")) & (F.col("least_n") * percent <= 100 * F.col("n")) & (most * (100 + percent) >= (F.col("n") + F.col("least_n")) * percent))
-    asks = written(able.select("family", "unit", "n").distinct(), "asks")
+    """Links between the components that meet in a list, so that none is lost: each set outside its list's largest block
+    asks that block's component, unless the block's bounds rule it out, and the others outside that sketches allow."""
+    largest = blocks.groupBy("key").agg(F.max(F.struct("c", "component", "least_n", "most_n", "most_at", "most_rest")).alias("main"), F.sum("c").alias("rows"))
+    outside = written(join_groups(mixed.drop("p"), largest, "key").where("component <> main.component"), "outside")
+    most = F.least("main.most_at", "place") + F.least("main.most_rest", F.col("n") - F.col("place"))
+    able = outside.where((F.col("main.most_n") * 100 >= percent * F.col("n")) & (F.col("main.least_n") * percent <= 100 * F.col("n")) & (most * (100 + percent) >= (F.col("n") + F.col("main.least_n")) * percent))
+    asks = written(able.select(F.col("main.component").alias("family"), "unit", "n").distinct(), "asks")
     members = label.withColumnRenamed("component", "family").join(asks.select("family").distinct(), "family").join(sets.select("unit", "n"), "unit")
-    return compared(members.select("family", "unit", "n"), asks, sets, percent)
+    pairs = written(outside_pairs(outside, sets, percent), "outside-pairs")
+    return compared(members.select("family", "unit", "n"), asks, sets, percent).unionByName(with_lead(pairs, sets, percent))
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,7 +450,7 @@ def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *mo
         row = of_list.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows").cast("double") * F.col("blocks") - F.col("main") * F.col("blocks")).alias("left")).first()
         if not row["rows"]:
             return rows, label
-        last = row["left"] <= FEW_PAIRS * row["rows"] or row["left"] > 0.5 * before
+        last = row["left"] <= FEW_PAIRS * row["rows"] or row["left"] > 0.5 * before  # pairs of a set and a block that it is not in
         links = across(mixed, blocks, label, sets, percent) if last else with_lead(by_pivot(mixed, percent), sets, percent)
         label = joined(label, written(links, "links"))
         if last:

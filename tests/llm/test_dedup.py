@@ -39,6 +39,9 @@ def test_exact_takes_odd_rows(odd, nothing, docs):
     rows = exact_dedup.exact_dedup(docs(["a", "a", "b"], ids=[None, 3, None])).collect()
     assert sorted((r["doc_id"] is None, r["keep_id"], r["kept"]) for r in rows if r["keep_id"]) == [(False, 3, True), (True, 3, False)]
     assert [r["kept"] for r in rows if r["keep_id"] is None] == [True]
+    table = docs(["a", "a", "a", "b", "b", None, ""], ids=[4, 4, 3, None, None, None, None])
+    kept = exact_dedup.keep_one(table)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "b"), (4, "a")] and kept.columns == table.columns
 
 
 def test_hot_groups_go_by_broadcast(docs):
@@ -48,6 +51,39 @@ def test_hot_groups_go_by_broadcast(docs):
     assert sum(r["kept"] for r in rows) == 302
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_agree_and_meet_a_filled_index(spark, docs, monkeypatch, batches):
+    """Texts over several batches: the index has each text once, with its largest id, and the anti-join drops the rest."""
+    rng = random.Random(batches)
+    texts = [f"t{rng.randrange(40)}" for _ in range(200)]
+    ids = [None if rng.random() < 0.1 else rng.randrange(1000) for _ in texts]
+    held, real = [], exact_dedup.DigestIndex.append_new
+
+    def append_new(self, groups):
+        before = self.read().count()
+        real(self, groups)
+        held.append((before, groups.count(), self.read().count()))
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append_new", append_new)
+    rows = exact_dedup.exact_dedup(docs(texts, ids=ids), batches=batches).collect()
+    largest = {t: max((i for i, x in zip(ids, texts, strict=True) if x == t and i is not None), default=None) for t in texts}
+    want = sorted((i or -1, largest[t] or -1, texts.count(t), i == largest[t], sha(t)) for i, t in zip(ids, texts, strict=True))
+    assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"], r["text_sha256"]) for r in rows) == want
+    assert len(held) == batches and held[-1][2] == len(set(texts))
+    assert batches == 1 or all(0 < before < after + 1 <= before + new for before, new, after in held[1:])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_hot_groups_of_a_batch_are_split_with_a_filled_index(docs, spark, tmp_path):
+    """A text that the index holds once and a batch a thousand times is hot by the batch's count."""
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    exact_dedup.exact_dedup(docs(["hot", "b"]), index).collect()
+    found = exact_dedup.exact_dedup(docs(["hot"] * 1500 + ["c"] * 20, ids=range(10, 1530)), index)
+    assert {(r["keep_id"], r["group_size"]) for r in found.collect()} == {(0, 1500), (1529, 20)}
+    assert any(k in found._jdf.queryExecution().optimizedPlan().toString() for k in ("strategy=broadcast", "broadcast"))
+    index.drop()
+
+
 def test_the_index_outlives_its_session(spark, docs, tmp_path):
     path = f"file://{tmp_path}/index"
     first = exact_dedup.DigestIndex(spark, path, 4)
@@ -157,6 +193,33 @@ def test_substrings_take_odd_rows(odd, nothing, docs):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in found) == [(0, 0), (4, 0), (4, 0), (7, 60)]
 
 
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_texts_that_alternate_by_a_pattern_are_told_apart(docs):
+    """Words and sequences that cancel out in any polynomial over 64 bits."""
+    texts = []
+    for pick in ("alpha", "beta"), ("beta", "alpha"):
+        texts.append(" ".join(f"{w} {'u' if pick[0] == 'alpha' else 'v'}{i}" for i, w in enumerate(thue_morse(1024, *pick))))
+    same = [" ".join(thue_morse(2048, a, b)) for a, b in (("alpha", "beta"), ("beta", "alpha"))]
+    long = ["".join(thue_morse(1024, a, b)) for a, b in (("a", "b"), ("b", "a"))]
+    words, _ = word_hashes([x.encode() for x in long])
+    assert words[0] != words[1] and len({text_hash(word_hashes([x.encode()])[0]) for x in same}) == 2
+    want = brute_cut(list(enumerate([*texts, *same])))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs([*texts, *same])).collect()}
+    assert got == want and got[1][1] == 0 and got[3][1] > 0
+
+
+def test_rows_of_one_id_are_cut_by_their_texts(docs, odd, nothing):
+    shared = " ".join(f"s{i}" for i in range(60))
+    a, b = f"{shared} a", f"b {shared}"
+    found = substring_dedup.cut_documents(docs([shared, a, b, None, "", shared], ids=[1, 5, 5, 5, None, None])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=repr) == sorted([(1, shared), (5, "a"), (5, "b"), (5, None), (None, ""), (None, shared)], key=repr)
+    assert substring_dedup.cut_documents(odd).count() == len(ODD) + 1 and substring_dedup.cut_documents(nothing).count() == 0
+    assert substring_dedup.cut_documents(odd).columns == odd.columns
+
+
 # near duplicates --------------------------------------------------------------------------------------------------
 
 
@@ -254,6 +317,32 @@ def test_skipped_blocks_hold_no_pairs(monkeypatch, block):
     assert ngram_join.block_pairs(n, at, 75, len(want)) is not None and ngram_join.block_pairs(n, at, 75, 10) is None
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), min_size=1, max_size=120))
+def test_sketches_differ_in_no_more_bits_than_sets(a, b):
+    keys = [np.array(sorted(x), np.uint64) for x in (a, b)]
+    sizes = np.array([len(a), len(b)])
+    folds = ngram_join.Sketches(sizes, sizes, [ngram_join.sketch(k) for k in keys], 75).folds
+    m = folds[min(folds)]
+    assert np.bitwise_count(m[0] ^ m[1]).sum() <= len(a ^ b)
+
+
+def test_lists_with_sketches_lose_no_link():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 40, 90).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        own = base.copy()
+        own[rng.choice(90, rng.integers(0, 40), replace=False)] = rng.integers(0, 1 << 40, 1)
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 40, rng.integers(0, 30)).astype(np.uint64)])))
+    sets.sort(key=len)
+    n, at = np.array([len(x) for x in sets]), np.zeros(120, np.int64)
+    i, j = ngram_join.block_pairs(n, at, 75, allow=ngram_join.Sketches(n, n, [ngram_join.sketch(x) for x in sets], 75).allow)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert links <= found and len(found) < 2 * len(links) + 200
+
+
 @pytest.mark.parametrize("edits", [0, 8, 40])
 def test_answers_follow_from_the_middle(edits):
     """Overlaps derived from the middle's are those of a direct count, for near and for far asks."""
