@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shardframe.llm.wordhash import mix
 
 #: Bytes of text that a task turns into entries at a time.
-BATCH = 8 << 20
+BATCH = 4 << 20
 LOW = np.uint64(0xFFFFFFFF)
 
 
