@@ -63,9 +63,10 @@ class ShardEngine:
     def shard(self, name: str, df: DataFrame, replicas: bool = True) -> ShardedTable:
         """Plain rows as a sharded table: each on the shards of its route."""
         routed = self.with_route(df, name)
-        if replicas:
-            return ShardedTable(self, name, fan_out(routed))
-        return ShardedTable(self, name, routed.withColumn(SHARD, F.col(ROUTE)[0]).withColumn(REPLICA, F.lit(False)).drop(ROUTE))
+        primaries = routed.withColumn(SHARD, F.col(ROUTE)[0]).withColumn(REPLICA, F.lit(False)).drop(ROUTE)
+        if not replicas:
+            return ShardedTable(self, name, primaries, primaries=primaries)
+        return ShardedTable(self, name, fan_out(routed), primaries=primaries.where(F.col(SHARD).isNotNull()))
 
     def open(self, name: str, store: ShardStore) -> ShardedTable:
         return ShardedTable(self, name, store.read())

@@ -81,6 +81,8 @@ class RoutingStrategy(ABC):
     """A way to place keys. ``with_route`` adds the route of each row, ``resolve`` gives that of one key on the driver."""
 
     can_rebalance = True
+    #: Whether routes depend on tables of metadata, so that many keys are better looked up at once.
+    is_stored = False
 
     @abstractmethod
     def with_route(self, df: DataFrame, key: str, place: Placement, meta: Metadata) -> DataFrame: ...
@@ -171,6 +173,8 @@ def stored_or(connection: Column, replicas: Column, fallback: Column, place: Pla
 class StoredRangeStrategy(RoutingStrategy):
     """Ranges in a metadata table; a key in none goes where the hash of its aligned range's start says."""
 
+    is_stored = True
+
     @staticmethod
     def range_start(key: Column, size: int) -> Column:
         """Start of the aligned range. The division truncates, so keys below 1 fall outside their own range."""
@@ -198,7 +202,7 @@ class StoredRangeStrategy(RoutingStrategy):
 
     def after_rebalance(self, start, end, to, place, meta):
         if to is not None and start is not None:
-            meta.put_range(place.scope, start, end, to, ring_of(to, place.routed, place.replica_count))
+            meta.put_range(place.scope, start, end, to, ring_of(to, place.routed, place.replica_count), place.own.range_size)
         return place
 
 
@@ -209,6 +213,8 @@ def start_of(key: int, size: int) -> int:
 class SlotStrategy(RoutingStrategy):
     """Slots of the hash space in a metadata table; a slot that is not there goes where its own number's hash says."""
 
+    is_stored = True
+
     @staticmethod
     def slot(key: Column, size: int) -> Column:
         return F.floor(key_hash(key) / F.lit(size)).cast("long")
@@ -243,6 +249,8 @@ class SlotStrategy(RoutingStrategy):
 class MappingStrategy(RoutingStrategy):
     """A key-value mapping: a JSON list is the route, a bare name the primary; a missing key is hashed."""
 
+    is_stored = True
+
     def with_route(self, df, key, place, meta):
         k = F.concat(F.lit(place.prefix), F.col(key).cast("string"))
         found = meta.join_mapping(df.withColumn("_kv", k))

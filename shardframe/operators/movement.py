@@ -44,6 +44,14 @@ def distribute(table: ShardedTable) -> Moved:
     return Moved(table.with_rows(fan_out(plan.drop("_from")), is_placed=True), moved, moved.count())
 
 
+def on_route(table: ShardedTable) -> bool:
+    """Whether every primary is where its key's route now has it, so that look-ups may go to that shard alone. After a
+    partial move, or one that the metadata does not follow, it is not."""
+    at = table.df.where(~F.col(REPLICA)).select(table.key, SHARD)
+    routed = strategy_for(table.place).with_route(at, table.key, table.place, table.engine.meta)
+    return routed.where(~F.col(ROUTE)[0].eqNullSafe(F.col(SHARD))).isEmpty()
+
+
 def in_scope(key: str, source: str | None, start: int | None, end: int | None) -> Column:
     found = ~F.col(REPLICA)
     found = found if source is None else found & (F.col(SHARD) == source)
@@ -64,7 +72,8 @@ def rebalance_plan(table: ShardedTable, source: str | None = None, to: str | Non
 
 def rebalance(table: ShardedTable, source: str | None = None, to: str | None = None, start: int | None = None, end: int | None = None, metrics: Metrics | None = None) -> Moved:
     """Moves primaries. Where the target has a replica of the row, the two swap roles and the primary's data is kept; the
-    other replicas stay. Then the strategy updates its metadata."""
+    other replicas stay. Then the strategy updates its metadata; if that leaves rows off their keys' routes, look-ups in
+    the new table go to all shards."""
     strategy = strategy_for(table.place)
     if not strategy.can_rebalance:
         raise ValueError(f"Rebalancing is not supported for {table.place.strategy} strategy.")
@@ -89,4 +98,5 @@ def rebalance(table: ShardedTable, source: str | None = None, to: str | None = N
         table.engine.config = table.engine.config.with_table(place.table, place.own)
     if metrics:
         metrics("shards.rebalance.moved", n)
-    return Moved(table.with_rows(result), rows, n)
+    after = table.with_rows(result)
+    return Moved(table.with_rows(result, is_placed=table.is_placed and on_route(after)), rows, n)

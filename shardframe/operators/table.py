@@ -203,8 +203,10 @@ class ShardedTable:
     Scopes are filters that hold for every query. is_placed says that each row is where its key's route has it, which
     look-ups by key then use; a table that is being moved is not."""
 
-    def __init__(self, engine: Any, name: str, df: DataFrame, is_placed: bool = True, scopes: tuple[Column, ...] = ()):
+    def __init__(self, engine: Any, name: str, df: DataFrame, is_placed: bool = True, scopes: tuple[Column, ...] = (), primaries: DataFrame | None = None):
+        """primaries: df's rows that are no replicas, where there is a plan for them that does not make the replicas."""
         self.engine, self.name, self.df, self.is_placed, self.scopes = engine, name, df, is_placed, scopes
+        self.primaries = df.where(~F.col(REPLICA)) if primaries is None else primaries
         self.place = engine.config.placement(name)
 
     @property
@@ -220,7 +222,7 @@ class ShardedTable:
         return F.array_position(F.array(*map(F.lit, self.place.connections)), F.col(SHARD))
 
     def query(self, include_replicas: bool = False) -> Query:
-        df = self.df if include_replicas else self.df.where(~F.col(REPLICA))
+        df = self.df if include_replicas else self.primaries
         return Query(self, reduce(lambda d, s: d.where(s), self.scopes, df))
 
     def on_shard(self, name: str) -> Query:
@@ -228,7 +230,7 @@ class ShardedTable:
         return self.query().on_shards(name)
 
     def with_scope(self, scope: Column) -> ShardedTable:
-        return ShardedTable(self.engine, self.name, self.df, self.is_placed, (*self.scopes, scope))
+        return ShardedTable(self.engine, self.name, self.df, self.is_placed, (*self.scopes, scope), self.primaries)
 
     def with_rows(self, df: DataFrame, is_placed: bool | None = None) -> ShardedTable:
         return ShardedTable(self.engine, self.name, df, self.is_placed if is_placed is None else is_placed, self.scopes)

@@ -45,17 +45,19 @@ def route(p: str) -> str:
     return f"{p} || ',' || {ring1(p)}"
 
 
+#: The route of each order by the stored ranges: of several the one that starts last, else the hash of the aligned start.
+STORED_ROUTE = f"""(        WITH hit AS (SELECT o_orderkey AS k, arg_max(r.connection, r.start) AS c, arg_max(r.replicas, r.start) AS rep FROM orders JOIN {STORED} r ON o_orderkey BETWEEN r.start AND r."end" GROUP BY 1),
+        miss AS (SELECT o_orderkey AS k, {START.format(100).replace('k', 'o_orderkey')} AS start FROM orders ANTI JOIN hit ON o_orderkey = hit.k),
+        starts AS (SELECT k AS start, {weighted('h')} AS p FROM {hashed('start AS k FROM miss')})
+        SELECT k AS o_orderkey, CASE WHEN rep <> '' THEN c || ',' || rep ELSE {route('c')} END AS route FROM hit
+        UNION ALL SELECT miss.k, {route('p')} FROM miss JOIN starts USING (start))"""
+
 ORACLE: dict[str, str] = {
     "route_hash": f"SELECT k AS o_orderkey, (['a', 'b', 'c'])[h % 3 + 1] AS route FROM {KEYS}",
     "route_weighted": f"SELECT o_orderkey, shard AS route FROM {PLACED}",
     "route_replicas": f"SELECT o_orderkey, shard || CASE shard WHEN 's1' THEN ',s2,s3' WHEN 's2' THEN ',s3,s1' ELSE ',s1,s2' END AS route FROM {PLACED}",
     "route_range": f"SELECT o_orderkey, {route('p')} AS route FROM (SELECT o_orderkey, CASE WHEN o_orderkey <= 499 THEN 's1' WHEN o_orderkey <= 999 THEN 's2' ELSE 's3' END AS p FROM orders)",
-    "route_db_range": f"""
-        WITH hit AS (SELECT o_orderkey AS k, arg_max(r.connection, r.start) AS c, arg_max(r.replicas, r.start) AS rep FROM orders JOIN {STORED} r ON o_orderkey BETWEEN r.start AND r."end" GROUP BY 1),
-        miss AS (SELECT o_orderkey AS k, {START.format(100).replace('k', 'o_orderkey')} AS start FROM orders ANTI JOIN hit ON o_orderkey = hit.k),
-        starts AS (SELECT k AS start, {weighted('h')} AS p FROM {hashed('start AS k FROM miss')})
-        SELECT k AS o_orderkey, CASE WHEN rep <> '' THEN c || ',' || rep ELSE {route('c')} END AS route FROM hit
-        UNION ALL SELECT miss.k, {route('p')} FROM miss JOIN starts USING (start)""",
+    "route_db_range": f"SELECT * FROM {STORED_ROUTE}",
     "route_slots": f"""
         WITH own AS (SELECT k, h // 1000000 AS slot FROM {KEYS}),
         free AS (SELECT k AS slot, {weighted('h')} AS p FROM {hashed('slot AS k FROM own')})
@@ -65,14 +67,14 @@ ORACLE: dict[str, str] = {
     "route_migrating": f"SELECT k AS o_orderkey, CASE WHEN h % 3 < 2 THEN 's1,s3' ELSE 's3,s1' END AS route FROM {KEYS}",
     "route_group": f"SELECT shard, count(*) AS items, sum(l_quantity) AS quantity FROM lineitem JOIN {PLACED} p ON l_orderkey = p.o_orderkey GROUP BY shard",
     "shard_counts": f"SELECT shard, count(*) AS rows FROM {PLACED} GROUP BY shard",
-    "scan_merge": f"SELECT o_orderkey, o_totalprice, shard FROM orders JOIN {PLACED} USING (o_orderkey)",
+    "scan_merge": f"SELECT o_orderkey, o_totalprice, shard, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, shard, o_orderkey) - 1 AS place FROM orders JOIN {PLACED} USING (o_orderkey)",
     "filter_project": f"SELECT o_orderkey, o_totalprice FROM orders JOIN {PLACED} USING (o_orderkey) WHERE shard = 's1' AND o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000 AND (o_custkey < 500 OR o_custkey > 1000)",
     "where_in_keys": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (3, 5, 8, 13, 21, 34, 55, 89, 144)",
     "find_pruned": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 1234",
-    "limit_offset": f"SELECT o_orderkey, o_totalprice FROM orders JOIN {PLACED} USING (o_orderkey) ORDER BY o_totalprice DESC NULLS LAST, shard, o_orderkey LIMIT 50 OFFSET 25",
+    "limit_offset": f"SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, shard, o_orderkey) - 26 AS place FROM orders JOIN {PLACED} USING (o_orderkey) ORDER BY place LIMIT 50 OFFSET 25",
     "limit_only": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 7",
     "offset_only": "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 1000",
-    "order_multi": f"SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders JOIN {PLACED} USING (o_orderkey) ORDER BY o_orderpriority NULLS FIRST, o_totalprice DESC NULLS LAST, shard, o_orderkey LIMIT 100",
+    "order_multi": f"SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority NULLS FIRST, o_totalprice DESC NULLS LAST, shard, o_orderkey) - 1 AS place FROM orders JOIN {PLACED} USING (o_orderkey) ORDER BY place LIMIT 100",
     "paginate_page": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 10",
     "paginate_total": "SELECT count(*) AS total, 10 AS per_page, 3 AS page, ceil(count(*) / 10)::INT AS last_page FROM orders",
     "keyset_page": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 20",
@@ -111,21 +113,22 @@ ORACLE: dict[str, str] = {
         WITH p AS {PLACED}
         SELECT o_orderkey, s AS shard, s <> shard AS is_replica FROM p, (VALUES ('s1'), ('s2'), ('s3')) v(s)""",
     "insert_route": f"""
-        WITH s AS (SELECT DISTINCT {START.format(250).replace('k', 'o_orderkey')} AS start FROM orders WHERE o_orderkey < 1000)
+        WITH s AS (SELECT DISTINCT {START.format(250).replace('k', 'o_orderkey')} AS start FROM orders)
         SELECT k AS start, k + 249 AS "end", p AS connection, {ring1('p')} AS replicas FROM (SELECT k, {weighted('h')} AS p FROM {hashed('start AS k FROM s')})""",
     "insert_slots": f"""
         WITH s AS (SELECT DISTINCT h // 100000000 AS slot FROM {KEYS})
         SELECT k AS slot, p AS connection, {ring1('p')} AS replicas FROM (SELECT k, {weighted('h')} AS p FROM {hashed('slot AS k FROM s')})""",
     "insert_mapping": f"""SELECT 'o:' || o_orderkey AS k, '["' || shard || '","' || {ring1('shard')} || '"]' AS v FROM {PLACED}""",
-    "first_or_create": f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'new' END AS o_orderstatus, shard FROM orders JOIN {PLACED} USING (o_orderkey) WHERE o_orderkey < 200",
+    "first_or_create": f"SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE 'new' END AS o_orderstatus, shard FROM orders JOIN {PLACED} USING (o_orderkey)",
     "update_or_create": f"""
-        WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey < 200 THEN 'u' || o_orderkey ELSE o_orderstatus END AS o_orderstatus, shard FROM orders JOIN {PLACED} USING (o_orderkey) WHERE o_orderkey < 200 OR o_orderkey % 2 = 0)
+        WITH p AS (SELECT o_orderkey, 'u' || o_orderkey AS o_orderstatus, shard FROM orders JOIN {PLACED} USING (o_orderkey))
         SELECT o_orderkey, o_orderstatus, shard, false AS is_replica FROM p UNION ALL SELECT o_orderkey, o_orderstatus, {ring1('shard')}, true FROM p""",
     "seq_ids": """
         WITH n AS (SELECT count(*) FILTER (n_nationkey % 5 <> 0) AS n FROM nation)
         SELECT n_nationkey AS k, n_nationkey::BIGINT + 1000 AS id FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey > 0
         UNION ALL SELECT NULL, 1000 FROM nation WHERE n_nationkey = 0
         UNION ALL SELECT NULL, unnest(range(42, 42 + n)) FROM n UNION ALL SELECT -1, 41 + n FROM n""",
+    "snowflake_ids": "SELECT unnest(range(count(*))) AS place FROM orders",
     "distribute_plan": f"SELECT 's1' AS source, shard AS target, count(*) AS rows FROM {PLACED} WHERE shard <> 's1' GROUP BY shard",
     "rebalance_to": "SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 250 AND 1199 THEN 's3' ELSE 's1' END AS shard, false AS is_replica FROM orders",
     "rebalance_range": "SELECT o_orderkey, CASE WHEN o_orderkey NOT BETWEEN 100 AND 899 THEN 's1' WHEN o_orderkey <= 499 THEN 's2' ELSE 's3' END AS shard FROM orders",
@@ -141,7 +144,40 @@ ORACLE: dict[str, str] = {
         SELECT 'orders' AS "table", slot, 's2' AS connection, 's3' AS replicas FROM moved
         UNION ALL SELECT 'orders', slot, connection, replicas FROM old ANTI JOIN moved USING (slot)
         UNION ALL SELECT 'other', 7, 's3', ''""",
-    "after_rebalance": """
-        SELECT * FROM (VALUES ('orders', 1, 299, 's1', ''), ('orders', 300, 650, 's1', 's2'), ('orders', 651, 1000, 's2', 's1'), ('orders', 651, 699, 's3', ''), ('other', 1001, 9000, 's3', ''))
-        v("table", start, "end", connection, replicas)""",
+    "after_rebalance": f"""
+        WITH old AS (SELECT * FROM {STORED}), inside AS (SELECT * FROM old WHERE start BETWEEN 300 AND 650),
+        keys AS (SELECT 651 AS k UNION SELECT "end" + 1 FROM old WHERE "end" >= 650 AND "end" < (SELECT max("end") FROM inside)),
+        counts AS (SELECT k, max_by(old, old.start) AS r FROM keys JOIN old ON k BETWEEN start AND "end" GROUP BY k)
+        SELECT 'orders' AS "table", start, "end", connection, replicas FROM old WHERE start NOT BETWEEN 300 AND 650
+        UNION ALL SELECT 'orders', k, r."end", r.connection, r.replicas FROM counts WHERE r.start BETWEEN 300 AND 650
+        UNION ALL SELECT 'orders', 300, 650, 's1', 's2' UNION ALL SELECT 'other', 1001, 9000, 's3', ''""",
+    "routes_after_rebalance": f"SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 300 AND 650 THEN 's1,s2' ELSE route END AS route FROM {STORED_ROUTE}",
+    "config_after_rebalance": f"SELECT o_orderkey, {route('p')} AS route FROM (SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 400 AND 1200 THEN 's3' WHEN o_orderkey <= 499 THEN 's1' WHEN o_orderkey <= 999 THEN 's2' ELSE 's3' END AS p FROM orders)",
+    "mapping_row_moved": f"""
+        WITH p AS (SELECT o_orderkey, CASE o_orderkey WHEN 1 THEN 's3' WHEN 2 THEN 's2' WHEN 3 THEN 's1' ELSE shard END AS p FROM {PLACED})
+        SELECT 'shard:orders' || o_orderkey AS k, '["s3","' || {ring1("'s3'")} || '"]' AS v FROM p WHERE p <> 's3'
+        UNION ALL SELECT 'shard:orders' || o_orderkey, 's3' FROM p WHERE o_orderkey = 1 UNION ALL SELECT 'shard:users5', 's3'""",
+    "record_replica": f"""
+        WITH asked AS (SELECT * FROM (VALUES (650, 's2', 1), (650, 's3', 2), (2500, 's1', 3)) v(k, name, turn)),
+        ranges AS (SELECT (k - 1) // 100 * 100 + 1 AS start, name, turn FROM asked),
+        slots AS (SELECT h // 1000000000 AS slot, name, turn FROM asked JOIN {hashed('k FROM asked')} USING (k)),
+        own AS (SELECT start, list(name ORDER BY turn) AS names FROM ranges GROUP BY start),
+        cells AS (SELECT slot, list(name ORDER BY turn) AS names FROM slots GROUP BY slot),
+        keys AS (SELECT k, list(name ORDER BY turn) AS names FROM asked GROUP BY k)
+        SELECT 'range' AS kind, 'orders:' || start || ':' || (start + 99) AS place, names[1] AS connection, array_to_string(names[2:], ',') AS replicas FROM own
+        UNION ALL SELECT 'range', 'orders:' || start || ':' || "end", connection, replicas FROM {STORED} UNION ALL SELECT 'range', 'other:1001:9000', 's3', ''
+        UNION ALL SELECT 'slot', 'orders:' || slot, coalesce(s.connection, names[1]), CASE WHEN s.slot IS NULL THEN array_to_string(names[2:], ',') ELSE concat_ws(',', nullif(s.replicas, ''), array_to_string(list_filter(names, lambda x: NOT contains(s.replicas, x)), ',')) END
+            FROM cells LEFT JOIN {SLOTS} s USING (slot)
+        UNION ALL SELECT 'slot', 'orders:' || slot, connection, replicas FROM {SLOTS} ANTI JOIN cells USING (slot) UNION ALL SELECT 'slot', 'other:7', 's3', ''
+        UNION ALL SELECT 'key', 'shard:orders' || k, '["' || array_to_string(names, '","') || '"]', '' FROM keys UNION ALL SELECT 'key', 'shard:orders1', '["s3","s2"]', ''""",
+    "find_after_rebalance": f"""
+        WITH own AS (SELECT k, h // 1000000 AS slot FROM {KEYS}),
+        slots AS (SELECT own.k, CASE WHEN f.h % 2 = 1 OR own.k <= 599 THEN 's2' ELSE 's1' END AS shard FROM own JOIN {hashed('slot AS k FROM own')} f ON f.k = own.slot),
+        stored AS (SELECT o_orderkey AS k, string_split(route, ',')[1] AS p FROM {STORED_ROUTE}),
+        moved AS (SELECT 'slots' AS kind, k, shard FROM slots
+            UNION ALL SELECT 'ranges', k, CASE WHEN k BETWEEN 300 AND 650 THEN 's1' ELSE p END FROM stored
+            UNION ALL SELECT 'source', k, CASE WHEN k BETWEEN 300 AND 650 AND p = 's2' THEN 's1' ELSE p END FROM stored
+            UNION ALL SELECT 'open', k, CASE WHEN k <= 400 THEN 's3' ELSE p END FROM stored)
+        SELECT kind || ' in' AS kind, k AS o_orderkey, shard FROM moved WHERE k IN (3, 250, 299, 300, 400, 401, 599, 600, 650, 651, 660, 699, 700, 1000, 1234)
+        UNION ALL SELECT kind || ' find', k, shard FROM moved WHERE k IN (300, 660)""",
 }

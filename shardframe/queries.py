@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shardframe.config import KeyRange, ShardConfig, TableConfig
 from shardframe.engine import ShardEngine
 from shardframe.functions.ids import with_sequence_ids, with_snowflake_ids
+from shardframe.functions.numbering import dense_index
 from shardframe.functions.routing import REPLICA, ROUTE, SHARD
 from shardframe.operators import movement, relations, writes
 from shardframe.operators.table import ShardedTable
@@ -120,7 +122,8 @@ def shard_counts(spark, sf_dir):  # E5
 
 @query
 def scan_merge(spark, sf_dir):  # A3 G1 G2 H1
-    return orders(spark, sf_dir, "o_totalprice").query().order_by("o_totalprice", descending=True).get("o_orderkey", "o_totalprice", SHARD).withColumnRenamed(SHARD, "shard")
+    found = orders(spark, sf_dir, "o_totalprice").query().order_by("o_totalprice", descending=True).get("o_orderkey", "o_totalprice", SHARD)
+    return dense_index(found.withColumnRenamed(SHARD, "shard"), "place")
 
 
 @query
@@ -142,7 +145,7 @@ def find_pruned(spark, sf_dir):  # B10 C13 O3
 
 @query
 def limit_offset(spark, sf_dir):  # G3 O5
-    return orders(spark, sf_dir, "o_totalprice").query().order_by("o_totalprice", descending=True).offset(25).limit(50).get("o_orderkey", "o_totalprice")
+    return orders(spark, sf_dir, "o_totalprice").query().order_by("o_totalprice", descending=True).offset(25).limit(50).get("o_orderkey", "o_totalprice").transform(dense_index, "place")
 
 
 @query
@@ -158,7 +161,7 @@ def offset_only(spark, sf_dir):  # G4
 @query
 def order_multi(spark, sf_dir):  # G2
     q = orders(spark, sf_dir, "o_orderpriority", "o_totalprice").query()
-    return q.order_by("o_orderpriority").order_by("o_totalprice", descending=True).limit(100).get("o_orderkey", "o_orderpriority", "o_totalprice")
+    return q.order_by("o_orderpriority").order_by("o_totalprice", descending=True).limit(100).get("o_orderkey", "o_orderpriority", "o_totalprice").transform(dense_index, "place")
 
 
 @query
@@ -368,14 +371,7 @@ def replica_fanout(spark, sf_dir):  # A13
 def insert_route(spark, sf_dir):  # A12 A25
     e = engine(spark, "db_range", range_size=250)
     t = orders(spark, sf_dir, e=e)
-    writes.insert(t, read(spark, sf_dir, "orders", "o_orderkey").where("o_orderkey < 1000"))
-    return e.meta.tables["ranges"].select("start", "end", "connection", F.array_join("replicas", ",").alias("replicas"))
-
-
-@query
-def insert_ranges(spark, sf_dir):  # A12 A25: insert_route over all orders
-    e = engine(spark, "db_range", range_size=250)
-    writes.insert(orders(spark, sf_dir, e=e), read(spark, sf_dir, "orders", "o_orderkey"))
+    writes.insert(t, read(spark, sf_dir, "orders", "o_orderkey"))
     return e.meta.tables["ranges"].select("start", "end", "connection", F.array_join("replicas", ",").alias("replicas"))
 
 
@@ -394,10 +390,9 @@ def insert_mapping(spark, sf_dir):  # A12 A27
 
 
 def wanted(spark: SparkSession, sf_dir: str) -> tuple[ShardedTable, DataFrame]:
-    """Orders with even keys as the table, and all keys below 200 as candidates."""
-    e = engine(spark)
-    t = e.shard("orders", read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderkey % 2 = 0"))
-    return t, read(spark, sf_dir, "orders", "o_orderkey").where("o_orderkey < 200")
+    """Orders without those of status P as the table, and all orders as candidates."""
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    return engine(spark).shard("orders", rows.where("o_orderstatus <> 'P'")), rows.select("o_orderkey")
 
 
 @query
@@ -412,24 +407,6 @@ def update_or_create(spark, sf_dir):  # A15 K8
     return t.query(include_replicas=True).df.select("o_orderkey", "o_orderstatus", F.col(SHARD).alias("shard"), REPLICA)
 
 
-def wanted_whole(spark: SparkSession, sf_dir: str) -> tuple[ShardedTable, DataFrame]:
-    """Orders without those of status P as the table, and all orders as candidates."""
-    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
-    return engine(spark).shard("orders", rows.where("o_orderstatus <> 'P'")), rows.select("o_orderkey")
-
-
-@query
-def first_or_create_whole(spark, sf_dir):  # A14 K8
-    _, rows = writes.first_or_create(*wanted_whole(spark, sf_dir), ["o_orderkey"], {"o_orderstatus": "new"})
-    return rows.select("o_orderkey", "o_orderstatus", F.col(SHARD).alias("shard"))
-
-
-@query
-def update_or_create_whole(spark, sf_dir):  # A15 K8
-    t, _ = writes.update_or_create(*wanted_whole(spark, sf_dir), ["o_orderkey"], lambda df: df.withColumn("o_orderstatus", F.concat(F.lit("u"), "o_orderkey")))
-    return t.query(include_replicas=True).df.select("o_orderkey", "o_orderstatus", F.col(SHARD).alias("shard"), REPLICA)
-
-
 @query
 def seq_ids(spark, sf_dir):  # C16 C17 K4
     rows = read(spark, sf_dir, "nation", "n_nationkey").withColumn("id", F.when(F.col("n_nationkey") % 5 == 0, F.col("n_nationkey").cast("long") + 1000))
@@ -440,8 +417,10 @@ def seq_ids(spark, sf_dir):  # C16 C17 K4
 
 
 @query
-def snowflake_ids(spark, sf_dir):  # C15 I10 I11; depends on the clock
-    return with_snowflake_ids(read(spark, sf_dir, "orders", "o_orderkey").withColumn("id", F.lit(None).cast("long")), "id", "orders", Metadata(spark))
+def snowflake_ids(spark, sf_dir):  # C15 I10 I11; the ids depend on the clock, their places from the first one on do not
+    found = with_snowflake_ids(read(spark, sf_dir, "orders", "o_orderkey").withColumn("id", F.lit(None).cast("long")), "id", "orders", Metadata(spark))
+    least = found.agg(F.min("id")).first()[0]
+    return found.select((F.col("id") - F.lit(least)).alias("place"))
 
 
 # movement ---------------------------------------------------------------------------------------------------------
@@ -492,3 +471,58 @@ def after_rebalance(spark, sf_dir):  # A31 K3
     e = engine(spark, "db_range", meta=range_meta(spark), range_size=100)
     movement.rebalance(orders(spark, sf_dir, e=e), to="s1", start=300, end=650)
     return e.meta.tables["ranges"].select("table", "start", "end", "connection", F.array_join(F.coalesce("replicas", F.array().cast("array<string>")), ",").alias("replicas"))
+
+
+@query
+def routes_after_rebalance(spark, sf_dir):  # A31 K3: keys outside the rebalanced range keep their routes
+    e = engine(spark, "db_range", meta=range_meta(spark), range_size=100)
+    movement.rebalance(orders(spark, sf_dir, e=e), to="s1", start=300, end=650)
+    return routes(spark, sf_dir, e)
+
+
+@query
+def config_after_rebalance(spark, sf_dir):  # A32 K3
+    ranges = (KeyRange(None, 499, "s1"), KeyRange(300, 999, "s2"), KeyRange(1000, None, "s3"))
+    e = engine(spark, "range", ranges=ranges)
+    movement.rebalance(orders(spark, sf_dir, e=e), to="s3", start=400, end=1200)
+    return routes(spark, sf_dir, e)
+
+
+@query
+def mapping_row_moved(spark, sf_dir):  # A30 K2
+    rows = [("shard:orders1", "s3"), ("shard:orders2", '["s2","s1"]'), ("shard:orders3", '["s1"]'), ("shard:users5", "s3")]
+    e = engine(spark, "redis", meta=Metadata(spark, mapping=spark.createDataFrame(rows, SCHEMAS["mapping"])))
+    movement.rebalance(orders(spark, sf_dir, e=e), to="s3")
+    return e.meta.tables["mapping"]
+
+
+@query
+def record_replica(spark, sf_dir):  # A28: a replica of a key's range, slot and mapping, stored or not
+    kept = "array_join(coalesce(replicas, array()), ',') AS replicas"
+    ranges = engine(spark, "db_range", meta=range_meta(spark), range_size=100)
+    slots = engine(spark, "db_hash_range", meta=slot_meta(spark), slot_size=1_000_000_000)
+    mapping = engine(spark, "redis", meta=Metadata(spark, mapping=spark.createDataFrame([("shard:orders1", "s3")], SCHEMAS["mapping"])))
+    for key, name in ((650, "s2"), (650, "s3"), (2500, "s1")):
+        for e in (ranges, slots, mapping):
+            e.record_replica("orders", key, name)
+    mapping.record_replica("orders", 1, "s2")
+    found = ranges.meta.tables["ranges"].selectExpr("'range' AS kind", "concat(table, ':', start, ':', end) AS place", "connection", kept)
+    found = found.unionByName(slots.meta.tables["slots"].selectExpr("'slot' AS kind", "concat(table, ':', slot) AS place", "connection", kept))
+    return found.unionByName(mapping.meta.tables["mapping"].selectExpr("'key' AS kind", "k AS place", "v AS connection", "'' AS replicas"))
+
+
+@query
+def find_after_rebalance(spark, sf_dir):  # B10 A18 A19: rows are found wherever a rebalance has left them
+    keys = [3, 250, 299, 300, 400, 401, 599, 600, 650, 651, 660, 699, 700, 1000, 1234]
+    cases = [
+        ("slots", engine(spark, "db_hash_range", weights={"s1": 1, "s2": 1}), {"source": "s1", "to": "s2", "end": 599}),
+        ("ranges", engine(spark, "db_range", meta=range_meta(spark), range_size=100), {"to": "s1", "start": 300, "end": 650}),
+        ("source", engine(spark, "db_range", meta=range_meta(spark), range_size=100), {"source": "s2", "to": "s1", "start": 300, "end": 650}),
+        ("open", engine(spark, "db_range", meta=range_meta(spark), range_size=100), {"to": "s3", "end": 400}),
+    ]
+    found = []
+    for kind, e, moves in cases:
+        q = movement.rebalance(orders(spark, sf_dir, e=e), **moves).table.query()
+        rows = [q.where_in("o_orderkey", keys).get("o_orderkey", SHARD), *(q.find(k).select("o_orderkey", SHARD) for k in (300, 660))]
+        found += [r.select(F.lit(f"{kind} {how}").alias("kind"), "o_orderkey", F.col(SHARD).alias("shard")) for r, how in zip(rows, ("in", "find", "find"), strict=True)]
+    return reduce(DataFrame.unionByName, found)

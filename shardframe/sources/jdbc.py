@@ -14,6 +14,7 @@ SERVERS = {
     "pgsql": ("jdbc:postgresql://{host}:{port}/{database}", "org.postgresql.Driver"),
     "sqlsrv": ("jdbc:sqlserver://{host}:{port};databaseName={database}", "com.microsoft.sqlserver.jdbc.SQLServerDriver"),
     "sqlite": ("jdbc:sqlite:{database}", "org.sqlite.JDBC"),
+    "derby": ("jdbc:derby:{database};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"),
 }
 
 

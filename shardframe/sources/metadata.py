@@ -1,7 +1,8 @@
-"""Placement metadata: stored ranges, slots, key mapping and sequences, as tables that merges replace.
+"""Placement metadata: stored ranges, slots, key mapping and sequences, as tables of a base and what was merged since.
 
-One writer at a time changes them. Where a path is given, each table is kept under it as numbered versions, the last
-complete one counting, so that a broken write leaves the one before.
+A merge writes its own rows only; after MOST_DELTAS of them the table is written whole. One writer at a time changes
+them. Where a path is given, each table is kept under it as numbered folders, v= for a whole table and d= for a merge; the
+last complete whole one counts with the merges after it, so that a broken write leaves what was before.
 """
 
 from __future__ import annotations
@@ -24,11 +25,21 @@ SCHEMAS = {
 #: A range is looked up on cells of the table's range size times a power of this; it spans so many cells at most.
 FAN = 4096
 LEVELS = 6
+#: Merges that a read goes through before the table is written whole.
+MOST_DELTAS = 8
+#: The columns by which a merge's rows replace others.
+KEYS = {"ranges": ["table", "start", "end"], "slots": ["table", "slot"], "mapping": ["k"], "sequences": ["table"]}
+
+
+def after_first(names: str) -> Column:
+    """All of an array but its first element."""
+    return F.slice(names, 2, F.size(names))
 
 
 class Metadata:
     def __init__(self, spark: SparkSession, path: str | None = None, **tables: DataFrame):
         self.spark, self.path, self.version = spark, path, {}
+        self.deltas = dict.fromkeys(SCHEMAS, 0)
         self.tables = {name: tables.get(name) for name in SCHEMAS}
         for name, df in self.tables.items():
             if df is None:
@@ -47,23 +58,39 @@ class Metadata:
         done = []
         root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if fs.exists(root):
-            done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        self.version[name] = max(done, default=0)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/v={self.version[name]}") if done else empty
-
-    def _put(self, name: str, df: DataFrame) -> None:
+            names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+            done = sorted((int(n[2:]), n[0]) for n in names)
+        self.version[name] = max((n for n, _ in done), default=0)
+        base = max((n for n, kind in done if kind == "v"), default=0)
+        read = self.spark.read.schema(SCHEMAS[name])
+        found = read.parquet(f"{self.path}/{name}/v={base}") if base else empty
+        for n, _ in (x for x in done if x[0] > base):
+            found = self._over(name, found, read.parquet(f"{self.path}/{name}/d={n}"))
+            self.deltas[name] += 1
+        return found
+
+    def _kept(self, name: str, df: DataFrame, kind: str) -> DataFrame:
         df = df.select(*[f.name for f in self.tables[name].schema])
         if self.path is None:
-            self.tables[name] = written(df, f"meta-{name}")
-            return
+            return written(df, f"meta-{name}")
         self.version[name] = self.version.get(name, 0) + 1
-        target = f"{self.path}/{name}/v={self.version[name]}"
+        target = f"{self.path}/{name}/{kind}={self.version[name]}"
         df.write.mode("overwrite").parquet(target)
-        self.tables[name] = self.spark.read.schema(SCHEMAS[name]).parquet(target)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(target)
 
-    def _merge(self, name: str, new: DataFrame, keys: list[str]) -> None:
+    @staticmethod
+    def _over(name: str, df: DataFrame, new: DataFrame) -> DataFrame:
+        return df.join(new.select(*KEYS[name]), KEYS[name], "left_anti").select(*df.columns).unionByName(new)
+
+    def _put(self, name: str, df: DataFrame) -> None:
+        self.tables[name], self.deltas[name] = self._kept(name, df, "v"), 0
+
+    def _merge(self, name: str, new: DataFrame) -> None:
         """New rows replace those with the same keys."""
-        self._put(name, self.tables[name].join(new, keys, "left_anti").unionByName(new))
+        self.tables[name] = self._over(name, self.tables[name], self._kept(name, new, "d"))
+        self.deltas[name] += 1
+        if self.deltas[name] >= MOST_DELTAS:
+            self._put(name, self.tables[name])
 
     # look-ups of whole tables -------------------------------------------------------------------------------------
 
@@ -122,26 +149,36 @@ class Metadata:
     def merge_ranges(self, routed: DataFrame, key: str, start: Column, place: Placement) -> None:
         """One row for each aligned range of the batch; of its keys the largest one's route counts."""
         last = routed.where(F.col(key).isNotNull()).groupBy(start.alias("start")).agg(F.max_by("_route", key).alias("r"))
-        new = last.select(F.lit(place.scope).alias("table"), "start", (F.col("start") + place.own.range_size - 1).alias("end"), F.col("r")[0].alias("connection"), F.slice("r", 2, 1000).alias("replicas"))
-        self._merge("ranges", new, ["table", "start", "end"])
+        new = last.select(F.lit(place.scope).alias("table"), "start", (F.col("start") + place.own.range_size - 1).alias("end"), F.col("r")[0].alias("connection"), after_first("r").alias("replicas"))
+        self._merge("ranges", new)
 
     def merge_slots(self, routed: DataFrame, key: str, slot: Column, place: Placement) -> None:
         last = routed.where(F.col(key).isNotNull()).groupBy(slot.alias("slot")).agg(F.max_by("_route", F.col(key)).alias("r"))
-        new = last.select(F.lit(place.scope).alias("table"), "slot", F.col("r")[0].alias("connection"), F.slice("r", 2, 1000).alias("replicas"))
-        self._merge("slots", new, ["table", "slot"])
+        new = last.select(F.lit(place.scope).alias("table"), "slot", F.col("r")[0].alias("connection"), after_first("r").alias("replicas"))
+        self._merge("slots", new)
 
     def put_mapping(self, new: DataFrame) -> None:
-        self._merge("mapping", new.dropDuplicates(["k"]), ["k"])
+        self._merge("mapping", new.dropDuplicates(["k"]))
+
+    def put_range(self, scope: str, start: int, end: int | None, connection: str, replicas: list[str], size: int) -> None:
+        """Stores a range, and leaves every key outside it with the range that it had.
 
-    def put_range(self, scope: str, start: int, end: int | None, connection: str, replicas: list[str]) -> None:
-        """Stores a range; those it overlaps are cut, split or left out."""
+        Of overlapping ranges the one that starts last counts. So those that start before keep their rows: they lose to the
+        new one inside, and stand as they did outside. Those that start inside give way; where one of them counted beyond
+        the end, a piece of it is stored. Such pieces begin right after the end or after the end of another range, and what
+        counts there is looked up for all these keys in one join."""
         end = 2**63 - 1 if end is None else end
         t = self.tables["ranges"]
-        touched = (F.col("table") == scope) & (F.col("end") >= start) & (F.col("start") <= end)
-        left = t.where(touched & (F.col("start") < start)).withColumn("end", F.lit(start - 1).cast("long"))
-        right = t.where(touched & (F.col("end") > end)).withColumn("start", F.lit(min(end, 2**63 - 2) + 1).cast("long"))
-        new = self.spark.createDataFrame([(scope, start, end, connection, replicas)], SCHEMAS["ranges"])
-        self._put("ranges", t.where(~touched).unionByName(left).unionByName(right).unionByName(new))
+        own = (F.col("table") == scope) & (F.col("end") >= F.col("start"))
+        inside = own & F.col("start").between(start, end)
+        rows = t.where(~inside).unionByName(self.spark.createDataFrame([(scope, start, end, connection, replicas)], SCHEMAS["ranges"]))
+        last = t.where(inside).agg(F.max("end")).first()[0]
+        if last is not None and last > end:
+            after = t.where(own & (F.col("end") >= end) & (F.col("end") < last)).select((F.col("end") + 1).alias("k"))
+            keys = after.unionByName(self.spark.createDataFrame([(end + 1,)], "k long")).distinct()
+            counts = self.join_ranges(keys, "k", scope, size).where(F.col("_stored.start").between(start, end))
+            rows = rows.unionByName(counts.select(F.lit(scope).alias("table"), F.col("k").alias("start"), "_stored.end", "_stored.connection", "_stored.replicas"))
+        self._put("ranges", rows)
 
     def _add_replica(self, name: str, found: Column, new: DataFrame, connection: str) -> None:
         t = self.tables[name]
@@ -161,7 +198,7 @@ class Metadata:
         stored, _ = self.mapping_of(k)
         names = stored or []
         if connection not in names:
-            self.put_mapping(self.spark.createDataFrame([(k, json.dumps([*names, connection]))], SCHEMAS["mapping"]))
+            self.put_mapping(self.spark.createDataFrame([(k, json.dumps([*names, connection], separators=(",", ":")))], SCHEMAS["mapping"]))
 
     def move_slots(self, moves: DataFrame, place: Placement, ring: Callable) -> None:
         """moves: slot, to. A replica that becomes primary swaps places with the old one; a slot without replicas gets
@@ -170,12 +207,12 @@ class Metadata:
         swapped = F.transform("had", lambda r: F.when(r == F.col("to"), F.col("old")).otherwise(r))
         replicas = F.when(F.size("had") > 0, swapped).otherwise(ring(F.col("to"), place.connections, place.replica_count))
         new = moves.join(old, "slot", "left").select(F.lit(place.scope).alias("table"), "slot", F.col("to").alias("connection"), replicas.alias("replicas"))
-        self._merge("slots", written(new, "moved-slots"), ["table", "slot"])
+        self._merge("slots", new)
 
     def move_mapping(self, moves: DataFrame, place: Placement, ring: Callable) -> None:
         """moves: k, to. As for slots, but a key whose replicas do not hold the new primary gets the ring's."""
         at = self.join_mapping(moves.withColumnRenamed("k", "_kv"))
-        had, old = F.slice("_stored", 2, 1000), F.col("_stored")[0]
+        had, old = after_first("_stored"), F.col("_stored")[0]
         swapped = F.transform(had, lambda r: F.when(r == F.col("to"), old).otherwise(r))
         replicas = F.when(F.array_contains(had, F.col("to")), swapped).otherwise(ring(F.col("to"), place.connections, place.replica_count))
         self.put_mapping(written(at.select(F.col("_kv").alias("k"), F.to_json(F.concat(F.array("to"), replicas)).alias("v")), "moved-keys"))
@@ -184,5 +221,5 @@ class Metadata:
         """Reserves n numbers of the table's sequence and returns the last one given out before."""
         row = self.tables["sequences"].where(F.col("table") == table).first()
         last = row["last_id"] if row else 0
-        self._merge("sequences", self.spark.createDataFrame([(table, last + n)], SCHEMAS["sequences"]), ["table"])
+        self._merge("sequences", self.spark.createDataFrame([(table, last + n)], SCHEMAS["sequences"]))
         return last

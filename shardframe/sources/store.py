@@ -1,7 +1,8 @@
 """A sharded table in Parquet: a folder for each shard, in versions that are replaced whole.
 
 A new version is written beside the old one and counts from the moment that it is complete, so readers see one or the
-other, and a shard that loses all its rows is empty in the new one."""
+other, and a shard that loses all its rows is empty in the new one. Batches that may be run again are kept beside the
+version, each in a folder of its own that a rerun replaces; the next version takes them in."""
 
 from __future__ import annotations
 
@@ -49,12 +50,20 @@ class ShardStore:
         done = self.versions()
         if not done:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]}")
+        whole = self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]}")
+        make, fs = self._fs()
+        if not fs.exists(make(f"{self.path}/b={done[-1]}")):
+            return whole
+        return whole.unionByName(self.spark.read.schema(self.schema).parquet(f"{self.path}/b={done[-1]}").select(*self.schema.names))
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, batch: str | None = None) -> None:
+        """A batch that has a name replaces the one that was appended under it."""
         self.check(df)
         done = self.versions() or [1]
-        df.write.partitionBy(SHARD).mode("append").parquet(f"{self.path}/v={done[-1]}")
+        if batch is None:
+            df.write.partitionBy(SHARD).mode("append").parquet(f"{self.path}/v={done[-1]}")
+        else:
+            df.write.partitionBy(SHARD).mode("overwrite").parquet(f"{self.path}/b={done[-1]}/batch={batch}")
 
     def replace(self, df: DataFrame, keep: int = 1) -> None:
         """df may read the present version; ``keep`` older versions stay for readers that are under way."""
@@ -64,3 +73,4 @@ class ShardStore:
         make, fs = self._fs()
         for old in done[: max(0, len(done) - keep)]:
             fs.delete(make(f"{self.path}/v={old}"), True)
+            fs.delete(make(f"{self.path}/b={old}"), True)

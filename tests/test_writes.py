@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,8 @@ from shardframe import KeyRange, ShardConfig, ShardEngine, TableConfig
 from shardframe.checks import broke_unique_key, has_foreign_keys
 from shardframe.functions.ids import GENERATORS, generator_for, register_generator, with_sequence_ids, with_snowflake_ids
 from shardframe.operators import movement, writes
-from shardframe.sources.jdbc import jdbc_options
+from shardframe.plans.pruning import plan_of
+from shardframe.sources.jdbc import jdbc_options, read_shards, write_shards
 from shardframe.sources.metadata import SCHEMAS, Metadata
 from shardframe.sources.store import ShardStore
 from shardframe.streaming.ingest import ingest
@@ -218,3 +221,107 @@ def test_checks():
 def test_jdbc_options():
     options = jdbc_options({"driver": "pgsql", "host": "h", "port": "1", "database": "d", "username": "u"}, "t")
     assert options["url"] == "jdbc:postgresql://h:1/d" and options["dbtable"] == "t" and options["user"] == "u"
+
+
+def found_shards(table, keys):
+    return {k: [r["_shard"] for r in table.query().find(k).collect()] for k in keys}
+
+
+@pytest.mark.parametrize("strategy", ["db_range", "db_hash_range", "redis", "range"])
+@pytest.mark.parametrize("moves", [{"to": "s1", "end": 4}, {"source": "s2", "to": "s1", "start": 2, "end": 8}, {"to": "s2", "start": 5, "end": 5}])
+def test_rows_are_found_after_any_rebalance(spark, strategy, moves):
+    own = {"ranges": (KeyRange(None, 5, "s2"), KeyRange(6, None, "s3"))} if strategy == "range" else {"range_size": 4} if strategy == "db_range" else {}
+    e = engine(spark, strategy=strategy, **own)
+    t = e.shard("t", spark.createDataFrame([(i, 0) for i in range(1, 12)], "id long, value int"))
+    moved = movement.rebalance(t, **moves).table
+    want = {r["id"]: [r["_shard"]] for r in moved.df.where("not is_replica").collect()}
+    assert found_shards(moved, (3, 5)) == {k: want[k] for k in (3, 5)}
+    assert {r["id"]: [r["_shard"]] for r in moved.query().where_in("id", list(range(1, 12))).get().collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_stored_range_leaves_other_keys_alone(spark, seed):
+    """Random overlapping ranges, against the rule key by key."""
+    rng = random.Random(seed)
+    rows = {}
+    for _ in range(9):
+        a = rng.randrange(1, 60)
+        rows[a] = ("t", a, rng.choice([a, a + rng.randrange(40)]), rng.choice(["s1", "s2", "s3"]), rng.choice([[], ["s1"], None]))
+    start, end = sorted((rng.randrange(1, 60), rng.randrange(1, 60)))
+    meta = Metadata(spark, ranges=spark.createDataFrame(list(rows.values()), SCHEMAS["ranges"]))
+    e = engine(spark, meta=meta, strategy="db_range", range_size=7)
+    keys = spark.range(1, 110).withColumnRenamed("id", "k")
+    before = {r["k"]: (r["_stored"]["connection"], r["_stored"]["replicas"]) if r["_stored"] else None for r in meta.join_ranges(keys, "k", "t", 7).collect()}
+    meta.put_range("t", start, end, "new", ["x"], 7)
+    after = {r["k"]: (r["_stored"]["connection"], r["_stored"]["replicas"]) if r["_stored"] else None for r in meta.join_ranges(keys, "k", "t", 7).collect()}
+    assert after == {k: ("new", ["x"]) if start <= k <= end else v for k, v in before.items()}
+    starts = [r["start"] for r in meta.tables["ranges"].collect()]
+    assert len(starts) == len(set(starts)) and e.connection_for("t", start)[0] == "new"
+
+
+def test_metadata_is_merged_in_steps_and_comes_back(spark, tmp_path):
+    from shardframe.sources import metadata
+
+    path = f"file://{tmp_path}/meta"
+    meta = Metadata(spark, path)
+    want = {}
+    for i in range(metadata.MOST_DELTAS + 3):
+        meta.put_mapping(spark.createDataFrame([(f"k{i}", f"v{i}"), ("k", str(i))], SCHEMAS["mapping"]))
+        want |= {f"k{i}": f"v{i}", "k": str(i)}
+        if i in (2, metadata.MOST_DELTAS, metadata.MOST_DELTAS + 2):
+            for m in (meta, Metadata(spark, path)):
+                assert dict(map(tuple, m.tables["mapping"].collect())) == want
+    kinds = [p.name[0] for p in (tmp_path / "meta" / "mapping").iterdir()]
+    assert kinds.count("v") == 1 and kinds.count("d") == metadata.MOST_DELTAS + 3
+    assert meta.reserve("t", 5) == 0 and Metadata(spark, path).reserve("t", 1) == 5
+
+
+def test_all_replicas_of_a_route_are_kept(spark):
+    from shardframe.sources.metadata import after_first
+
+    row = spark.range(1).select(F.sequence(F.lit(1), F.lit(1500)).alias("r")).select(after_first("r").alias("r")).first()
+    assert row["r"] == list(range(2, 1501))
+
+
+def test_a_batch_that_runs_again_is_kept_once(spark, tmp_path):
+    e = engine(spark)
+    t = e.shard("t", spark.createDataFrame([(i, 0) for i in range(9)], "id long, value int"))
+    store = ShardStore(spark, str(tmp_path / "t"), t.df.schema)
+    store.migrate()
+    rows = t.df.select(*store.schema.names)
+    for name in ("a-0", "a-0", "a-1"):
+        store.append(rows, name)
+    assert store.read().count() == 2 * rows.count()
+    store.append(rows)
+    store.replace(store.read())
+    assert store.read().count() == 3 * rows.count()
+
+
+def test_primaries_are_read_without_making_replicas(spark):
+    t = engine(spark, replicas=2).shard("t", spark.createDataFrame([(1, 0), (None, 1)], "id long, value int"))
+    assert "Generate" not in plan_of(t.query().df) and "Generate" in plan_of(t.query(include_replicas=True).df)
+    assert [r["id"] for r in t.query().get().collect()] == [1]
+    assert t.query().get().exceptAll(t.query(include_replicas=True).df.where("not is_replica")).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from shardframe.sources import scratch
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_shards_in_databases_are_written_and_read(spark, tmp_path):
+    """Two databases of the embedded server that comes with Spark."""
+    shards = {n: {"driver": "derby", "host": "", "port": "", "database": str(tmp_path / n)} for n in ("s1", "s2")}
+    rows = spark.createDataFrame([(i, f"v{i}", "s1" if i % 3 else "s2") for i in range(1, 30)], "id long, value string, _shard string")
+    write_shards(rows, shards, "items")
+    write_shards(spark.createDataFrame([(100, "more", "s2")], rows.schema), shards, "items")
+    for how in ({}, {"key": "id", "bounds": (1, 100), "parts": 3}):
+        found = read_shards(spark, shards, "items", **how).toDF("id", "value", "_shard")
+        assert sorted(map(tuple, found.collect())) == sorted([*map(tuple, rows.collect()), (100, "more", "s2")])
+        assert found.where("_shard = 's2' and id > 50").count() == 1
