@@ -3,8 +3,9 @@
 A text's bytes are padded with spaces to a positive multiple of 192 and stored as the samples of a mono 8-bit WAV file,
 which the wave module writes and reads; that is lossless. Of the spectrum, each frame's strongest local peaks are taken,
 and each peak is paired with the next ones in time: (frequency, later frequency, distance) is a code, stored with the
-frame where it starts. The last frame has none after it, so its peaks are paired with each other at distance 0, and its
-mean level is a code of frequency 0: so texts of one frame and even ones have a fingerprint too.
+frame where it starts. The last frame has none after it: its strongest frequencies come with
+their phases at distance 0, and its mean level and energy as codes of their own, so that texts of one frame and even ones
+have a fingerprint too.
 
 The files are written to the shared folder as a column, and what is analysed is what is read back from there.
 
@@ -86,10 +87,15 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def last_codes(samples: np.ndarray) -> list[int]:
-    """The last frame's codes: its mean level, and its strongest peaks, each with the next one."""
-    top = levels(samples[-UNIT:][None, :])[0]
-    strong = [int(k) + 3 for k in np.argsort(-top, kind="stable")[:LAST_PEAKS] if top[k] > 0]
-    return [int(samples[-UNIT:].mean()) << 4, *(a << 12 | b << 4 for a, b in zip(strong, [*strong[1:], 0], strict=True))]
+    """The last frame's codes: its mean level at frequency 0, its energy above the highest one, and the phases of its
+    strongest frequencies, the lowest first of equals. The frame is taken as it is, without a window, to its edges."""
+    own = samples[-UNIT:].astype(np.float64)
+    spectrum = np.fft.rfft(own - own.mean())[1:]
+    strength = np.round(np.abs(spectrum), 6)
+    energy = int(np.log2(1 + ((own - own.mean()) ** 2).sum()) * 128)
+    strong = [int(k) for k in np.argsort(-strength, kind="stable")[:LAST_PEAKS] if strength[k] > 0]
+    phase = ((np.angle(spectrum) / np.pi + 1) * 127.5).round().astype(int)
+    return [int(own.mean()) << 4, (len(spectrum) + 1) << 12 | energy, *((k + 1) << 12 | int(phase[k]) << 4 for k in strong)]
 
 
 def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
