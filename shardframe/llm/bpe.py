@@ -2,8 +2,8 @@
 
 A byte-pair encoding works on one pre-token at a time, so a text's ids are those of its pre-tokens in order; and a
 pre-token never reaches across the space before a word. So a text is cut at its spaces, and what a word encodes to is
-kept in a bounded table. Texts with characters beyond Latin Extended-A go to the library whole, since the classes of
-rarer characters depend on the Unicode version; so do the byte-level texts' runs of white space, by pre-token.
+kept in a bounded table. The classes of characters beyond Latin Extended-A depend on the Unicode version, so a word that
+has one goes to the library whole, and the others stay with the table; runs of white space go by pre-token.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ BYTE_LEVEL = rf"{CONTRACTION}| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIG
 WORD_LEVEL = rf"{CONTRACTION}|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+"
 #: Of the characters up to U+017F only İ becomes two in lower case. str.split() takes 28 to 31 as white space, the library not.
 RARE = re.compile("[^\x00-\x1b\x20-įı-ſ]")
+#: Characters that are or once were white space beyond those.
+WHITE = "\x1c-\x1f\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+#: Where a pre-token ends whatever the characters around: before a single space between two that are no white space.
+CUT = re.compile(rf"(?<=[^{SPACE}{WHITE}])(?= [^{SPACE}{WHITE}])")
 #: A space beside other white space: there a run's pre-tokens reach across it.
 RUN = re.compile(rf" [{SPACE}]|[\t-\r\x85\xa0] ")
 
@@ -94,17 +98,29 @@ class Encoder:
         self.words, self.runs = Words(make).__getitem__, Words(pack).__getitem__
 
     def parts(self, text: str, rare, special, words, runs) -> list:
-        """The values of a text's parts in order: rare for a whole text, special for a special string, words for the
-        words of a part, runs for the pre-tokens of a part with runs of white space."""
-        if RARE.search(text):
-            return [rare(text)]
+        """The values of a text's parts in order: rare for a word with rare characters, special for a special string, words
+        for the words of a part, runs for the pre-tokens of a part with runs of white space."""
         if "<|" not in text:
-            return self.plain(text, words, runs)
+            return self.pieces(text, rare, words, runs)
         out: list = []
         for part in self.special.split(text):
-            out += [special(part)] if part in self.specials else self.plain(part, words, runs)
+            out += [special(part)] if part in self.specials else self.pieces(part, rare, words, runs)
         return out
 
+    def pieces(self, text: str, rare, words, runs) -> list:
+        if not RARE.search(text):
+            return self.plain(text, words, runs)
+        out, held = [], []
+        for piece in CUT.split(text):
+            if RARE.search(piece):
+                if held:
+                    out += self.plain("".join(held), words, runs)
+                    held = []
+                out.append(rare(piece))
+            else:
+                held.append(piece)
+        return out + (self.plain("".join(held), words, runs) if held else [])
+
     def plain(self, text: str, words, runs) -> list:
         if self.lower:
             return list(map(words, text.lower().split()))

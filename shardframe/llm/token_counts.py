@@ -1,7 +1,8 @@
 """Token counts by the whole-token shortcut.
 
-Vocabulary strings that encode alone as one token are proved so up front, by encoding each; a pre-token that is such a
-string counts 1 by a table look-up, and only the other pre-tokens are merged by the library.
+Vocabulary strings that encode alone as one token are proved so once, on the driver, by encoding each; the proof (at most
+the vocabulary's strings) is sent to the executors. A pre-token that is such a string counts 1 by a table look-up, and only
+the other pre-tokens are merged by the library.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); each input row gives one row, repeated rows and null ids
 included; an empty table gives no rows. Columns beside doc_id and text are not read.
@@ -29,9 +30,11 @@ def whole_tokens(encode: Encoder) -> set[str]:
 
 
 class Counter(Encoder):
-    def __init__(self, name: str):
+    """Counts tokens; whole holds the strings that are proved to be one token."""
+
+    def __init__(self, name: str, whole: set[str]):
         super().__init__(name)
-        self.whole = set() if self.lower else whole_tokens(self)
+        self.whole = set() if self.lower else whole  # a text in lower case is not the vocabulary's string
         self.tables(self.cost)
 
     def cost(self, piece: str) -> int:
@@ -42,15 +45,23 @@ class Counter(Encoder):
         return sum(self.parts(text, lambda t: len(self.by_library(t)), lambda s: len(self.specials[s]), self.words, self.runs))
 
 
+_proofs: dict[str, set[str]] = {}
 _counters: dict[str, Counter] = {}
 
 
+def proof(vocabulary: str) -> set[str]:
+    if vocabulary not in _proofs:
+        _proofs[vocabulary] = whole_tokens(Encoder(vocabulary))
+    return _proofs[vocabulary]
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) for each whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(proof(vocabulary))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _counters:
-            _counters[vocabulary] = Counter(vocabulary)
+            _counters[vocabulary] = Counter(vocabulary, sent.value)
         counter = _counters[vocabulary]
         for b in batches:
             n = [counter(t) for t in b.column("text").to_pylist()]
