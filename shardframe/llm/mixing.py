@@ -1,8 +1,12 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source's documents are counted by exact length. Its target is met by whole passes over the source and, for what
-remains, by a number of documents of each length: first in proportion, then by a bounded-knapsack dynamic programme over
-the words still missing. Which documents of a length are taken follows a seeded hash.
+remains, by a number of documents of each length: all but the words of a few of its longest documents in proportion, and
+those by a bounded-knapsack dynamic programme over all its lengths. Which documents of a length are taken follows a seeded
+hash of id and text.
+
+Rows are ranked by one sort of narrow rows, dealt by range, so that neither a large source nor a length that many documents
+have is one task's work; documents without an id are told apart by their texts, equal rows by a number.
 
 Defined cases: null text has size 0; sources are ordered by code point, null last; documents of size 0 are taken with 0
 words; a repeated row counts as a row of its own; an empty table gives no rows, and a corpus without words only zeros.
@@ -12,27 +16,36 @@ No document is taken more than max_repeats times. Columns beside doc_id, text an
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardframe.llm.common import WORD, numbered, written
+from shardframe.llm.common import WORD, join_groups, numbered, written
+
+#: How often the longest document's words are left to the dynamic programme.
+HELD = 4
 
-#: Words that the dynamic programme fits; what is missing beyond them goes to the longest documents that fit.
-FITTED_WORDS = 20_000
-#: Parts of a (source, length) group, by hash: the ranks in a part are counted in one task.
-HASH_PARTS = 64
+
+def in_proportion(lengths: list[int], spare: list[int], budget: int) -> list[int]:
+    """How many documents of each length come to the same share of each length's words, from the shortest on; what is left
+    of a length's share goes on to the next, so that less than one of the longest is left in the end."""
+    total, take, rest = sum(n * x for n, x in zip(spare, lengths, strict=True)), [0] * len(lengths), 0
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if lengths[i] and total:
+            words = spare[i] * lengths[i] * budget + rest
+            take[i] = min(spare[i], words // (total * lengths[i]))
+            rest = words - take[i] * total * lengths[i]
+    return take
 
 
 def fit(lengths: list[int], spare: list[int], budget: int) -> list[int]:
     """How many documents of each length to take, so that their words come as near to budget as can be."""
-    take = [0] * len(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if budget > FITTED_WORDS and 0 < lengths[i] <= budget:
-            take[i] = min(spare[i], max(0, (budget - FITTED_WORDS // 2) // lengths[i]))
-            budget -= take[i] * lengths[i]
+    longest = max((x for x, s in zip(lengths, spare, strict=True) if s), default=0)
+    take = in_proportion(lengths, spare, max(0, min(budget, sum(n * x for n, x in zip(spare, lengths, strict=True))) - HELD * longest))
+    budget -= sum(n * x for n, x in zip(take, lengths, strict=True))
     most = budget + min(budget, max((n for n, s, t in zip(lengths, spare, take, strict=True) if s > t), default=0))
     reach, steps, full = 1, [], (1 << (most + 1)) - 1  # bit n of reach: n words can be taken
-    for i, length in enumerate(lengths):
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        length = lengths[i]
         left, k = min(spare[i] - take[i], most // length if length else 0), 1
         while left > 0 and not reach >> budget & 1:
             n = min(k, left)
@@ -72,7 +85,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, max_repe
 
 
 def decided(docs: DataFrame, row: list[str], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, seed: int = 1) -> DataFrame:
-    """mix with the columns of row beside its own; they settle ties of doc_id."""
+    """mix with the columns of row beside its own; they settle ties of equal rows."""
     sized = written(
         docs.select(
             *row,
@@ -80,14 +93,15 @@ def decided(docs: DataFrame, row: list[str], weights: tuple[float, ...] = (5, 2,
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"),
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("h"),
+            F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
+            F.monotonically_increasing_id().alias("u"),
         ),
         "sized",
     )
     goal = written(targets(sized, weights, share, max_repeats), "targets")
-    parted = sized.withColumn("hb", F.pmod("h", F.lit(HASH_PARTS)))
-    parts = parted.groupBy("skey", "size", "hb").agg(F.count(F.lit(1)).alias("n"))
-    counts = parts.groupBy("skey", "size").agg(F.sum("n").alias("n"))
+    group = F.concat_ws(":", F.col("size").cast("string"), "skey")
+    placed = numbered(sized, [F.col("skey"), F.col("size"), F.col("h"), F.col("doc_id"), *map(F.col, row), F.col("u")], "at", "ranked")
+    counts = placed.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         """Of one source: a row for each of its lengths."""
@@ -96,17 +110,12 @@ def decided(docs: DataFrame, row: list[str], weights: tuple[float, ...] = (5, 2,
         passes = min(max_repeats, int(target // total)) if total else 0
         left = round(target - passes * total) if total and passes < max_repeats else 0
         lengths, n = rows["size"].tolist(), rows["n"].tolist()
-        share_of = [k * left // total if total else 0 for k in n]
-        more = fit(lengths, [k - s for k, s in zip(n, share_of, strict=True)], left - sum(s * x for s, x in zip(share_of, lengths, strict=True)))
-        return pd.DataFrame({"skey": rows["skey"], "size": rows["size"], "passes": passes, "first": [a + b for a, b in zip(share_of, more, strict=True)], "source_size": total, "target": target})
-
-    chosen = counts.join(goal, "skey").groupBy("skey").applyInPandas(choose, "skey string, size long, passes long, first long, source_size long, target double")
-    earlier = Window.partitionBy("skey", "size").orderBy("hb").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    place = before.join(written(chosen, "chosen"), ["skey", "size"])
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "hb").orderBy("h", "doc_id", *row))
-    ranked = parted.withColumn("rank", rank).join(place, ["skey", "size", "hb"])
-    extra = (F.col("before") + F.col("rank") <= F.col("first")).cast("long")
+        return pd.DataFrame({"skey": rows["skey"], "size": rows["size"], "rows": rows["n"], "start": rows["start"], "passes": passes, "first": fit(lengths, n, left), "source_size": total, "target": target})
+
+    chosen = counts.join(goal, "skey").groupBy("skey").applyInPandas(choose, "skey string, size long, rows long, start long, passes long, first long, source_size long, target double")
+    decided_by = chosen.select(group.alias("group"), "rows", "start", "passes", "first", "source_size", "target")
+    ranked = join_groups(placed.select(group.alias("group"), "at", *row, "doc_id", "size"), decided_by, "group")
+    extra = (F.col("at") - F.col("start") < F.col("first")).cast("long")
     return ranked.select(*row, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + extra)).alias("taken"))
 
 

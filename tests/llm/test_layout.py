@@ -155,6 +155,42 @@ def test_large_budgets_are_met():
     assert abs(1_234_567 - sum(t * n for t, n in zip(take, lengths, strict=True))) <= 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 400), st.integers(1, 50)), min_size=1, max_size=30, unique_by=lambda x: x[0]), st.floats(0, 1))
+def test_the_programme_is_left_a_few_of_the_longest(items, share):
+    lengths, spare = [a for a, _ in items], [b for _, b in items]
+    total = sum(a * b for a, b in items)
+    budget = int(total * share)
+    take = mixing.in_proportion(lengths, spare, budget)
+    assert all(0 <= t <= s for t, s in zip(take, spare, strict=True))
+    assert 0 <= budget - sum(t * n for t, n in zip(take, lengths, strict=True)) < max(lengths)
+    assert all(abs(t - s * budget / total) <= 2 * max(lengths) / n for t, s, n in zip(take, spare, lengths, strict=True))
+
+
+def test_the_programme_decides(docs, monkeypatch):
+    """With proportion alone a source misses its target by more than the programme does."""
+    texts = ["w " * n for n in (7, 11, 13, 17, 19, 23, 29, 31) * 20]
+    sources = ["ab"[i % 2] for i in range(len(texts))]
+
+    def missed():
+        rows = mixing.mix(docs(texts, sources=sources)).collect()
+        return max(abs(sum(r["taken"] for r in rows if r["target"] == t) - t) for t in {r["target"] for r in rows})
+
+    assert missed() <= 1
+    monkeypatch.setattr(mixing, "fit", mixing.in_proportion)
+    assert missed() > 1
+
+
+def test_equal_rows_and_rows_without_ids_are_ranked_apart(docs):
+    """A length that most documents have, without ids or with one id and text: as many are taken as fit."""
+    texts, ids = ["same text"] * 300 + [f"x{i} y" for i in range(300)] + ["b " * 40] * 10, [5] * 300 + [None] * 300 + list(range(10))
+    rows = mixing.mix(docs(texts, ids=ids, sources=["a"] * 600 + ["b"] * 10)).collect()
+    goal = {r["source_size"]: r["target"] for r in rows}
+    assert len(rows) == 610 and set(goal) == {1200, 400}
+    for size, target in goal.items():
+        assert abs(sum(r["taken"] for r in rows if r["source_size"] == size) - target) <= (1 if size == 1200 else 20)
+
+
 def test_mixing_takes_odd_rows(odd, nothing, docs):
     assert mixing.mix(odd).count() == len(ODD) + 1 and mixing.mix(nothing).count() == 0
     rows = mixing.mix(docs([None, ""], sources=["a", None])).collect()
