@@ -5,6 +5,9 @@ already seen in its batch, and of a key that several of its units have it sends
 all rows is an entry for each batch, and such units get their answer at once. The other keys are dealt by ranges of the
 key, in packed arrays of a few bytes a key. Where a range is gathered, keys of two or more units are sent back to the
 units that asked, dealt by unit.
+
+The ranges grow with the input, a task's batch does not. So beyond WIDE ranges the keys are dealt twice, to groups of
+ranges first and from there, in batches again, to the ranges: else a row would hold a key or two.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from shardframe.llm.wordhash import mix
 
 #: Bytes of text that a task turns into entries at a time.
 BATCH = 4 << 20
+#: Ranges that a batch is dealt to at once.
+WIDE = 1024
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -77,13 +82,74 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
 def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.uint16, marked: bool = False) -> DataFrame:
     """unit and keys (little-endian 64-bit, sorted): the keys of each unit that another unit has too.
 
-    units(texts) yields (unit, keys, marks) of each text, keys without repeats. With marked, a key counts only if a unit
-    that has it marks it. high is the type of a key's upper part as sent: with its range and 32 lower bits it identifies
+    units(texts) yields (unit, keys, marks) of each text, keys without repeats. With marked, keys that no
+    unit marks are left out, but for those that units of one batch share. high is the type of a key's upper part as sent: with its range and 32 lower bits it identifies
     the key, so that other keys pass for it rarely; callers that need all 64 bits check again.
     """
     bits = np.dtype(high).itemsize * 8 - marked
     upper = np.uint64((1 << bits) - 1)
     flag = np.uint64(1 << bits)
+    each = -(-ranges // WIDE)  # ranges of a group
+
+    def deal(key: np.ndarray, unit: np.ndarray, mark: np.ndarray, reps: np.ndarray, rep_mark: np.ndarray, whole: bool) -> Iterator[tuple]:
+        """Rows of keys with their units, and of keys that several units have: by range, or with whole by group of ranges
+        with all of the key's bits."""
+        kind, kept, top = (np.dtype("<u8"), LOW, np.uint64(1 << 32)) if whole else (np.dtype(high), upper, flag)
+        at, rep_at = range_of(key, ranges), range_of(reps, ranges)
+        if whole:
+            at, rep_at = at // each, rep_at // each
+        order = order_by(at, ranges)
+        key, unit, mark, at = key[order], unit[order], mark[order], at[order]
+        again = order_by(rep_at, ranges)
+        reps, rep_mark, rep_at = reps[again], rep_mark[again], rep_at[again]
+
+        def above(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+            found = (keys >> np.uint64(32)) & kept
+            return (found | np.where(marks, top, np.uint64(0)) if marked else found).astype(kind)
+
+        low, high_part, rep_low, rep_high = (key & LOW).astype("<u4"), above(key, mark), (reps & LOW).astype("<u4"), above(reps, rep_mark)
+        run = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (at[1:] != at[:-1])])) if len(unit) else np.zeros(0, np.int64)
+        run_size, run_unit, run_at = np.diff(np.append(run, len(unit))).astype(np.uint32), unit[run], at[run]
+        found = np.union1d(at, rep_at)  # those that have a row
+        bounds, run_bounds, rep_bounds = (zip(np.searchsorted(x, found), np.searchsorted(x, found, "right"), strict=True) for x in (at, run_at, rep_at))
+        for r, (a, b), (c, d), (e, f) in zip(found.tolist(), bounds, run_bounds, rep_bounds, strict=True):
+            yield r, False, run_unit[c:d].tobytes(), run_size[c:d].tobytes(), low[a:b].tobytes(), high_part[a:b].tobytes(), rep_low[e:f].tobytes(), rep_high[e:f].tobytes()
+
+    def opened(rows: Iterable[tuple], kind: np.dtype) -> tuple[np.ndarray, ...]:
+        """The arrays that rows of deal hold: low, high, unit, and low and high of the keys of several units."""
+        parts = [(np.frombuffer(lo, "<u4"), np.frombuffer(hi, kind), np.repeat(np.frombuffer(u, np.int64), np.frombuffer(n, np.uint32)), np.frombuffer(m_lo, "<u4"), np.frombuffer(m_hi, kind)) for u, n, lo, hi, m_lo, m_hi in rows]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From groups of ranges to ranges: the rows that a task gets of a group are put together first."""
+        held: dict[int, list[tuple]] = {}
+        size: dict[int, int] = {}
+
+        def flush(group: int) -> pa.RecordBatch:
+            low, above, unit, m_low, m_above = opened(held.pop(group), np.dtype("<u8"))
+            size.pop(group)
+
+            def whole(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+                return lo.astype(np.uint64) | ((hi & LOW) << np.uint64(32))
+
+            def marks(hi: np.ndarray) -> np.ndarray:
+                return hi > LOW
+
+            order = np.argsort(unit, kind="stable")
+            key, unit, mark = whole(low, above)[order], unit[order], marks(above)[order]
+            return packed(list(deal(key, unit, mark, whole(m_low, m_above), marks(m_above), False)))
+
+        for b in batches:
+            for at, reply, *row in zip(*(b.column(c).to_pylist() for c in FIELDS), strict=True):
+                if reply:
+                    yield packed([(at, True, *row)])
+                    continue
+                held.setdefault(at, []).append(tuple(row))
+                size[at] = size.get(at, 0) + sum(map(len, row))
+                if size[at] >= BATCH:
+                    yield flush(at)
+        for group in list(held):
+            yield flush(group)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in batches_of(batches):
@@ -99,7 +165,7 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
             size = np.fromiter(map(len, keys), np.int64, len(keys))
             unit = np.repeat(np.array(ids, np.int64), size)
             key = np.concatenate(keys)
-            mark = np.concatenate(marks) if marked else None
+            mark = np.concatenate(marks) if marked else np.ones(len(key), bool)
             del keys, marks
             place = np.argsort(key)
             same = key[place][1:] == key[place][:-1]
@@ -107,29 +173,12 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
             more[place[1:][same]] = True
             more[place[:-1][same]] = True
             lone = np.flatnonzero(~more)
-            rows: list[tuple] = []
-            at = range_of(key[lone], ranges)
-            order = order_by(at, ranges)
-            lone, at = lone[order], at[order]
-            k, u = key[lone], unit[lone]
-            above = (k >> np.uint64(32)) & upper
-            if marked:
-                above = above | np.where(mark[lone], flag, np.uint64(0))
-            low, above = (k & LOW).astype("<u4"), above.astype(high)
-            run = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (at[1:] != at[:-1])])) if len(u) else np.zeros(0, np.int64)
-            run_size, run_unit, run_at = np.diff(np.append(run, len(u))).astype(np.uint32), u[run], at[run]
             several = np.flatnonzero(more)
-            all_keys, all_marks = key[several], mark[several] if marked else np.ones(len(several), bool)
+            all_keys, all_marks = key[several], mark[several]
             reps, inverse = np.unique(all_keys, return_inverse=True)
             rep_mark = np.zeros(len(reps), bool)
             np.logical_or.at(rep_mark, inverse, all_marks)
-            rep_at = range_of(reps, ranges)
-            rep_above = (((reps >> np.uint64(32)) & upper) | (np.where(rep_mark, flag, np.uint64(0)) if marked else np.uint64(0))).astype(high)
-            rep_low = (reps & LOW).astype("<u4")
-            found = np.union1d(at, rep_at)  # the ranges that have a row
-            bounds, run_bounds, rep_bounds = (zip(np.searchsorted(x, found), np.searchsorted(x, found, "right"), strict=True) for x in (at, run_at, rep_at))
-            for r, (a, b), (c, d), (e, f) in zip(found.tolist(), bounds, run_bounds, rep_bounds, strict=True):
-                rows.append((r, False, run_unit[c:d].tobytes(), run_size[c:d].tobytes(), low[a:b].tobytes(), above[a:b].tobytes(), rep_low[e:f].tobytes(), rep_above[e:f].tobytes()))
+            rows = list(deal(key[lone], unit[lone], mark[lone], reps, rep_mark, each > 1))
             trimmed = (all_keys & LOW) | (((all_keys >> np.uint64(32)) & upper) << np.uint64(32)) | (range_of(all_keys, ranges).astype(np.uint64) << np.uint64(48))
             for h, who, sizes, own in by_home(unit[several], trimmed, ranges):
                 rows.append((h, True, who, sizes, own, None, None, None))
@@ -138,20 +187,16 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
     def answer(table: pa.Table) -> pa.Table:
         at = table["at"][0].as_py()
         out: list[tuple] = []
-        low, above, who, many = [], [], [], []
-        for r in table.select(FIELDS[1:]).to_batches():
-            for reply, ids, sizes, lo, hi, many_lo, many_hi in zip(*(r.column(c).to_pylist() for c in FIELDS[1:]), strict=True):
-                if reply:
-                    out.append((at, ids, sizes, lo))
-                    continue
-                low.append(np.frombuffer(lo, "<u4"))
-                above.append(np.frombuffer(hi, high))
-                who.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.uint32)))
-                many.append((np.frombuffer(many_lo, "<u4"), np.frombuffer(many_hi, high)))
-        if low:
-            n = sum(map(len, low))
-            lows, highs = np.concatenate(low + [m[0] for m in many]).astype(np.uint64), np.concatenate(above + [m[1] for m in many]).astype(np.uint64)
-            unit = np.concatenate(who)
+        asked = []
+        for reply, *row in zip(*(table[c].to_pylist() for c in FIELDS[1:]), strict=True):
+            if reply:
+                out.append((at, *row[:3]))
+            else:
+                asked.append(row)
+        if asked:
+            low, above, unit, m_low, m_above = opened(asked, np.dtype(high))
+            n = len(low)
+            lows, highs = np.concatenate([low, m_low]).astype(np.uint64), np.concatenate([above, m_above]).astype(np.uint64)
             key = lows | ((highs & upper) << np.uint64(32))
             place = np.argsort(key)
             ordered = key[place]
@@ -171,6 +216,9 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
         return gathered(table, "keys")
 
     asked = docs.select("text").mapInArrow(ask, SCHEMA)
+    if each > 1:
+        told = F.when(F.col("reply"), F.xxhash64("at")).otherwise(F.pmod(F.spark_partition_id(), F.lit(each)))  # a group is several tasks' work
+        asked = asked.withColumn("_to", told).repartition(ranges, "reply", "at", "_to").drop("_to").mapInArrow(refine, SCHEMA)
     replies = asked.groupBy("at").applyInArrow(answer, REPLY)
     return replies.groupBy("at").applyInArrow(gather, "unit long, keys binary")
 

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shardframe.llm import exact_dedup, ngram_join, substring_dedup
+from shardframe.llm import exact_dedup, exchange, ngram_join, substring_dedup
 from shardframe.llm.components import components
 from shardframe.llm.wordhash import text_hash, window_hashes, word_hashes
 from tests.llm.conftest import ODD
@@ -97,6 +97,39 @@ def test_the_index_outlives_its_session(spark, docs, tmp_path):
     assert "Exchange" not in join._jdf.queryExecution().executedPlan().toString()
 
 
+# exchange ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("marked", [False, True])
+@pytest.mark.parametrize("wide", [1024, 16, 4])
+def test_shared_keys_are_the_same_however_they_are_dealt(docs, monkeypatch, marked, wide):
+    """Keys of two units or more (one of which marks them), dealt at once or by groups of ranges."""
+    monkeypatch.setattr(exchange, "WIDE", wide)
+    monkeypatch.setattr(exchange, "BATCH", 2000)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 400).astype(np.uint64)
+    units = {f"u{i}": (i + 1, np.unique(rng.choice(pool, 30)), None) for i in range(60)}
+    units = {t: (u, k, rng.random(len(k)) < 0.5) for t, (u, k, _) in units.items()}
+    texts = [*units, *list(units)[:20]]
+    table = docs([texts[i] for i in rng.permutation(len(texts))]).repartition(5)
+    found = exchange.shared_keys(table, lambda own: (units[t] for t in own), 61, np.uint8 if marked else np.uint16, marked).collect()
+    have, by_mark = defaultdict(set), set()
+    for u, keys, marks in units.values():
+        for k, m in zip(keys.tolist(), marks.tolist(), strict=True):
+            have[k].add(u)
+            by_mark |= {k} if m else set()
+    bits = 39 if marked else 48
+
+    def sent(k):
+        return (k & ((1 << bits) - 1)) | ((k >> 32) * 61 >> 32) << 48
+
+    shared = {u: {sent(k) for k in keys.tolist() if len(have[k]) > 1} for u, keys, _ in units.values()}
+    want = {u: {sent(k) for k in keys.tolist() if len(have[k]) > 1 and (not marked or k in by_mark)} for u, keys, _ in units.values()}
+    got = {r["unit"]: set(np.frombuffer(r["keys"], "<u8").tolist()) for r in found}
+    assert len(got) > 50 and all(want[u] <= got.get(u, set()) <= shared[u] for u in want)
+    assert marked or got == {u: k for u, k in want.items() if k}
+
+
 # hashes -----------------------------------------------------------------------------------------------------------
 
 
