@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shardframe.llm import mixing, packing, training_order
+from shardframe.llm import langid, mixing, packing, training_order
 from tests.llm.conftest import ODD
 
 
@@ -252,6 +252,40 @@ def test_training_order_takes_odd_rows(odd, nothing):
 # pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_takes_odd_rows(spark, docs, nothing, tmp_path):
+    """Null, empty and very long texts, repeated rows, null ids, clashing columns, and an empty table, stage by stage."""
+    words = "the house of the water and the road to the sea with all of the people in it".split()
+    texts = [*ODD, *(" ".join(np.random.default_rng(i).permutation(words)) + f" number {i}" for i in range(30))]
+    texts += [texts[20], texts[20] + " more", texts[21], "the house of the water " * 4000]
+    ids = [*range(len(texts) - 4), None, None, 21, 77]
+    langs = ["en" if t and t.startswith("the") or i > 11 else None for i, t in enumerate(texts)]
+    table = docs(texts, ids=ids, langs=langs, sources=["a", None, "b"] * (len(texts) // 3) + ["a"] * (len(texts) % 3))
+    table = table.unionByName(table.where("doc_id = 25"))
+    for name, rows in (("odd", table), ("nothing", nothing)):
+        columns, left = rows.columns, [rows.count()]
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, rows, "").write.parquet(str(tmp_path / name / stage))
+            rows = spark.read.parquet(str(tmp_path / name / stage))
+            left.append(rows.count())
+            assert stage == "packing" or rows.columns == columns
+            if stage == "language_id":
+                assert all(any(c.isalpha() for c in r["text"]) for r in rows.select("text").collect())
+            if stage == "exact_dedup":
+                assert rows.select("text").distinct().count() == left[-1]
+        assert left[0] == 0 or left[1] > 30 and left[1] > left[2] > left[3] > 0 < left[5]
+        assert left[0] or left == [0] * 6
+
+
+def test_accepted_rows_keep_their_columns(odd, docs, nothing):
+    texts = ["the house of the water and the road " * 3] * 40
+    model = langid.fit(docs(texts, langs=["en", "de"] * 20))
+    for rows in (odd, nothing):
+        kept = langid.accepted(rows, model)
+        verdict = langid.predict(rows, model)
+        assert kept.columns == rows.columns and kept.count() == verdict.where("not rejected").count()
+    assert langid.accepted(odd, langid.fit(nothing)).count() == 0
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     from tests.llm.test_dedup import brute_join
 
