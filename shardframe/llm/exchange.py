@@ -23,6 +23,8 @@ from shardframe.llm.wordhash import mix
 
 #: Bytes of text that a task turns into entries at a time.
 BATCH = 4 << 20
+#: Parts of a range that are sorted one after another: the values of a key's three upper bits as sent.
+SLICES = 8
 #: Ranges that a batch is dealt to at once.
 WIDE = 1024
 LOW = np.uint64(0xFFFFFFFF)
@@ -184,6 +186,25 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
                 rows.append((h, True, who, sizes, own, None, None, None))
             yield packed(rows)
 
+    def several_have(low: np.ndarray, above: np.ndarray, unit: np.ndarray, m_low: np.ndarray, m_above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, key) for the keys that another unit has too, among those that come with a unit."""
+        n = len(low)
+        if not n:
+            return unit, np.zeros(0, np.uint64)
+        lows, highs = np.concatenate([low, m_low]).astype(np.uint64), np.concatenate([above, m_above]).astype(np.uint64)
+        key = lows | ((highs & upper) << np.uint64(32))
+        place = np.argsort(key)
+        ordered = key[place]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        real = place < n  # the others are several units' already
+        own = unit[np.minimum(place, n - 1)]
+        least, most = np.where(real, own, np.iinfo(np.int64).min), np.where(real, own, np.iinfo(np.int64).max)
+        good = np.minimum.reduceat(least, first) != np.maximum.reduceat(most, first)
+        if marked:
+            good &= np.bitwise_or.reduceat(highs[place] & flag, first) > 0
+        good = np.repeat(good, np.diff(np.append(first, len(ordered)))) & real
+        return unit[place[good]], key[place[good]]
+
     def answer(table: pa.Table) -> pa.Table:
         at = table["at"][0].as_py()
         out: list[tuple] = []
@@ -195,21 +216,13 @@ def shared_keys(docs: DataFrame, units: Callable, ranges: int, high: type = np.u
                 asked.append(row)
         if asked:
             low, above, unit, m_low, m_above = opened(asked, np.dtype(high))
-            n = len(low)
-            lows, highs = np.concatenate([low, m_low]).astype(np.uint64), np.concatenate([above, m_above]).astype(np.uint64)
-            key = lows | ((highs & upper) << np.uint64(32))
-            place = np.argsort(key)
-            ordered = key[place]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            real = place < n  # entries of one unit each
-            least = np.where(real, unit[np.minimum(place, n - 1)], np.iinfo(np.int64).min) if n else np.full(len(place), np.iinfo(np.int64).min)
-            most = np.where(real, least, np.iinfo(np.int64).max)
-            good = np.minimum.reduceat(least, first) != np.maximum.reduceat(most, first)
-            if marked:
-                good &= np.bitwise_or.reduceat(highs[place] & flag, first) > 0
-            good = np.repeat(good, np.diff(np.append(first, len(ordered)))) & real
-            found = place[good]
-            out += list(by_home(unit[found], key[found] | (np.uint64(at) << np.uint64(48)), ranges))
+            units, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for k in range(SLICES):  # by the keys' upper bits, so that only a slice's arrays are wide
+                x, y = (np.flatnonzero((h.astype(np.uint32) & int(upper)) >> (bits - 3) == k) for h in (above, m_above))
+                own_units, own_keys = several_have(low[x], above[x], unit[x], m_low[y], m_above[y])
+                units.append(own_units)
+                keys.append(own_keys | (np.uint64(at) << np.uint64(48)))
+            out += list(by_home(np.concatenate(units), np.concatenate(keys), ranges))
         return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["at", "units", "sizes", "keys"])
 
     def gather(table: pa.Table) -> pa.Table:
