@@ -1,48 +1,57 @@
 """Training-order materialisation: token sequences in a keyed random order, in shards with records of one size.
 
-Every sequence has a place from 0 in corpus order. A keyed Feistel network permutes the numbers below a power of four;
-walking its cycle until the number is below the count of sequences permutes the places themselves, so each task computes
-its sequences' slots alone, without a sort or a table of the order. Rows are then dealt by shard range and written in slot
-order: slot s is record s mod shard_rows of shard s div shard_rows, so a reader starts anywhere.
+The documents' ids, each closed by the end id, are a stream, which every task cuts into sequences of one length. Every
+sequence has a place from 0 in corpus order. A keyed Feistel network permutes the numbers below a power of four; walking
+its cycle until the number is below the count of sequences permutes the places themselves, so each task computes its
+sequences' slots alone, without a sort or a table of the order. Records are then dealt by shard range and written in slot
+order through Spark's file writer, so to any file system that Spark writes to: slot s is record s mod shard_rows of shard
+s div shard_rows, at byte (s mod shard_rows) * stride of that shard's one file, and a reader starts anywhere.
+
+A record is a header (big-endian: slot, the id of the document that it begins in, how many of that document's ids come
+before, the number of ids that are not filling, and whether the document's id is null), the ids (little-endian, 16 bits or
+32 if the vocabulary needs them), and two closing bytes.
+
+A broken run is resumed by running it again with the same documents, parameters and path: the sequences, which are written
+first, are read again if they are complete, and shards whose file is there are left out. Files appear whole.
 
 Defined cases: null text counts as empty, which is the end id alone; each input row is written, repeated rows and ids too;
-an empty table gives no rows. The last sequence of a document is filled up with the end id; n_tokens is its own length.
+an empty table makes no shards. The last sequence of a task is filled up with the end id; n_tokens is its own length.
 Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardframe.llm.bpe import byte_encoder
-from shardframe.llm.common import scratch_path, texts, written
+from shardframe.llm.common import scratch_path, small_batches, texts
+from shardframe.llm.wordhash import mix
 
 ROUNDS = 6
-
-
-def mixed_bits(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+HEADER = ">qqqIH"
+CLOSING = "\n\n"
+SEQUENCES = "part int, at long, doc_id long, start long, n_tokens int, ids binary"
 
 
 def permuted(places: np.ndarray, count: int, key: int) -> np.ndarray:
     """A keyed permutation of the numbers below count."""
     half = np.uint64(max(1, -(-max(1, count - 1).bit_length() // 2)))
     mask = (np.uint64(1) << half) - np.uint64(1)
-    keys = mixed_bits(np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key % 2**64))
+    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key % 2**64))
 
     def network(x: np.ndarray) -> np.ndarray:
         left, right = x >> half, x & mask
         for k in keys:
-            left, right = right, left ^ (mixed_bits(right + k) & mask)
+            left, right = right, left ^ (mix(right + k) & mask)
         return (left << half) | right
 
     x = network(places.astype(np.uint64))
@@ -53,109 +62,136 @@ def permuted(places: np.ndarray, count: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def token_sequences(docs: DataFrame, length: int, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, piece, n_tokens, ids (length little-endian 16-bit ids), part, at (the sequence's place in its task)."""
+class Layout:
+    """Where records are: ids of ``width`` bytes, records of ``stride`` bytes, ``shard_rows`` of them in a shard."""
+
+    def __init__(self, vocabulary: str, length: int, shard_rows: int):
+        self.code = "H" if byte_encoder(vocabulary, "I").library.get_vocab_size() <= 1 << 16 else "I"
+        self.width = byte_encoder(vocabulary, self.code).width
+        self.length, self.shard_rows = length, shard_rows
+        self.stride = struct.calcsize(HEADER) + length * self.width + len(CLOSING)
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_encoder(vocabulary, "H"), np.array([end_id], "<u2").tobytes()
-        if encode.library.get_vocab_size() > 1 << 16:
-            raise ValueError(f"{vocabulary} has ids beyond 16 bits")
-        part, at = TaskContext.get().partitionId(), 0
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
-        for b in batches:
-            out: list[list] = [[] for _ in kinds]
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encode(text) + end
-                for k, start in enumerate(range(0, len(ids), 2 * length)):
-                    own = ids[start : start + 2 * length]
-                    for column, value in zip(out, (doc_id, k, len(own) // 2, own + end * (length - len(own) // 2), part, at), strict=True):
-                        column.append(value)
-                    at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["doc_id", "piece", "n_tokens", "ids", "part", "at"])
 
-    return texts(docs).mapInArrow(cut, "doc_id long, piece int, n_tokens int, ids binary, part int, at long")
+def token_sequences(docs: DataFrame, layout: Layout, vocabulary: str, end_id: int) -> DataFrame:
+    """part, at (the sequence's place in its task), doc_id and start (the document that it begins in, and that one's ids
+    before), n_tokens, ids."""
+    size, code = layout.length * layout.width, layout.code
 
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = byte_encoder(vocabulary, code), np.array([end_id], f"<u{layout.width}").tobytes()
+        part, at, held, first = TaskContext.get().partitionId(), 0, bytearray(), None
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = [x.split()[0] for x in SEQUENCES.split(", ")]
 
-def materialise(docs: DataFrame, path: str, length: int = 1024, shard_rows: int = 32_768, key: int = 20_240_601, vocabulary: str = "byte_bpe_50k.json", end_id: int = 50_256) -> int:
-    """Writes the shards under path (one folder and file each) and returns the number of sequences.
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
-    A task that is lost is run again and writes the same records."""
-    rows = written(token_sequences(docs, length, vocabulary, end_id), "sequences")
+        for b in batches:
+            rows = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids, done = encode(text) + end, 0
+                while done < len(ids):
+                    if not held:
+                        first = (doc_id, done // layout.width)
+                    took = ids[done : done + size - len(held)]
+                    held += took
+                    done += len(took)
+                    if len(held) == size:
+                        rows.append((part, at, *first, layout.length, bytes(held)))
+                        at += 1
+                        held.clear()
+            yield made(rows)
+        if held:
+            n = len(held) // layout.width
+            yield made([(part, at, *first, n, bytes(held) + end * (layout.length - n))])
+
+    return texts(docs).mapInArrow(cut, SEQUENCES)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """The shards' files: path, length, content, shard. Without content in the query, files are listed only."""
+    return spark.read.format("binaryFile").load(path)
+
+
+def materialise(docs: DataFrame, path: str, layout: Layout, key: int, vocabulary: str, end_id: int) -> str:
+    """Writes the shards under path, in a folder that its parameters name, and returns that folder. Each shard is one task's
+    work and one file; a task that is lost is run again and writes the same records."""
+    spark = docs.sparkSession
+    cut = hashlib.sha256(repr((layout.length, vocabulary, end_id)).encode()).hexdigest()[:12]
+    own = hashlib.sha256(repr((layout.length, vocabulary, end_id, layout.shard_rows, key)).encode()).hexdigest()[:12]
+    cut_path, shard_path = f"{path.rstrip('/')}/sequences-{cut}", f"{path.rstrip('/')}/shards-{own}"
+    if not exists(spark, f"{cut_path}/_SUCCESS"):
+        with small_batches(spark):
+            token_sequences(docs, layout, vocabulary, end_id).write.mode("overwrite").options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}).parquet(cut_path)
+    rows = spark.read.schema(SEQUENCES).parquet(cut_path)
     sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each task
-    parts = sorted(sizes)
-    firsts = np.zeros(max(parts, default=0) + 1, np.int64)
-    firsts[parts] = np.cumsum([0] + [sizes[p] for p in parts])[:-1]
+    firsts = np.zeros(max(sizes, default=0) + 1, np.int64)
+    firsts[sorted(sizes)] = np.cumsum([0] + [sizes[p] for p in sorted(sizes)])[:-1]
     count = sum(sizes.values())
-    sent = docs.sparkSession.sparkContext.broadcast(firsts)
+    if not count:
+        return shard_path
+    sent, shard_rows = spark.sparkContext.broadcast(firsts), layout.shard_rows
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress  # on its way to the shard
         for b in batches:
             slot = permuted(sent.value[b.column("part").to_numpy()] + b.column("at").to_numpy(), count, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), *(b.column(c) for c in ("doc_id", "piece", "n_tokens", "ids"))], ["shard", "slot", "doc_id", "piece", "n_tokens", "ids"])
-
-    slots = rows.mapInArrow(assign, "shard long, slot long, doc_id long, piece int, n_tokens int, ids binary")
-    shards = max(1, -(-count // shard_rows))
-    dealt = slots.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return count
-
-
-SHARD_SCHEMA = "slot long, doc_id long, piece int, n_tokens int, ids binary, shard long"
-
-
-def read_shards(spark: SparkSession, path: str, first_slot: int = 0, shard_rows: int | None = None) -> DataFrame:
-    """The records from first_slot on; with shard_rows, only the shards that hold them are opened. Order by slot to read
-    in training order."""
-    df = spark.read.schema(SHARD_SCHEMA).parquet(path).where(F.col("slot") >= first_slot)
-    return df.where(F.col("shard") >= first_slot // shard_rows) if shard_rows else df
-
-
-def export_bin(spark: SparkSession, path: str, folder: str, shards: int) -> DataFrame:
-    """Writes each shard as folder/shard-NNNNNN.bin, records end to end, where folder is a mount that all executors share.
-
-    Files appear whole by a rename; a shard whose file is there is skipped, so a broken run is resumed by running again.
-    Returns shard and records."""
-
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, shard, n, done = None, -1, 0, []
-
-        def close() -> None:
-            if shard >= 0:
-                if out is not None:
-                    out.close()
-                    os.replace(f"{target}.part-{TaskContext.get().taskAttemptId()}", target)
-                done.append((shard, n))
+            packed = pa.array([pack(x.as_buffer()) for x in b.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot), *(b.column(c) for c in ("doc_id", "start", "n_tokens")), packed], ["shard", "slot", "doc_id", "start", "n_tokens", "ids"])
 
+    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for s, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if s != shard:
-                    close()
-                    shard, n = s, 0
-                    target = f"{folder}/shard-{s:06d}.bin"
-                    out = None if os.path.exists(target) else open(f"{target}.part-{TaskContext.get().taskAttemptId()}", "wb")  # noqa: SIM115
-                if out is not None:
-                    out.write(ids)
-                n += 1
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in (0, 1)], ["shard", "records"])
-
-    rows = read_shards(spark, path).select("shard", "slot", "ids").repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
-    return rows.mapInArrow(write, "shard long, records long")
-
-
-def training_order(docs: DataFrame, path: str | None = None, length: int = 1024, shard_rows: int = 32_768, **options) -> DataFrame:
-    """Materialises docs and reports what the shards hold: doc_id, piece, slot, shard, place in the shard, n_tokens,
-    record_bytes and ids_crc32 (of the sequence's own ids)."""
-    spark = docs.sparkSession
-    path = path or scratch_path(spark, "shards")
-    materialise(docs, path, length, shard_rows, **options)
-    return read_shards(spark, path).select(
-        "doc_id",
-        "piece",
-        "slot",
-        "shard",
-        (F.col("slot") % shard_rows).alias("place"),
-        F.col("n_tokens").cast("long").alias("n_tokens"),
-        F.octet_length("ids").cast("long").alias("record_bytes"),
-        F.crc32(F.expr("substring(ids, 1, 2 * n_tokens)")).alias("ids_crc32"),
+            fields = zip(*(b.column(c).to_pylist() for c in ("slot", "doc_id", "start", "n_tokens", "ids")), strict=True)
+            made = [struct.pack(HEADER, slot, doc_id or 0, start, n, doc_id is None) + unpack(ids) for slot, doc_id, start, n, ids in fields]
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("slot"), pa.array(made, pa.binary())], ["shard", "slot", "record"])
+
+    slots = rows.mapInArrow(assign, "shard int, slot long, doc_id long, start long, n_tokens int, ids binary")
+    if exists(spark, shard_path):
+        whole = F.least(F.lit(shard_rows), F.lit(count) - F.col("shard") * shard_rows) * layout.stride
+        done = files_of(spark, shard_path).where(F.col("length") == whole).select(F.col("shard").cast("int").alias("shard")).distinct()
+        slots = slots.join(done, "shard", "left_anti")
+    dealt = slots.repartitionById(-(-count // shard_rows), F.col("shard")).mapInArrow(records, "shard int, slot long, record binary")
+    lines = dealt.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("record"))
+    writer = lines.write.partitionBy("shard").mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    with small_batches(spark):
+        writer.option("lineSep", CLOSING).text(shard_path)
+    return shard_path
+
+
+def read_records(spark: SparkSession, folder: str, layout: Layout, first_slot: int = 0) -> DataFrame:
+    """The records from first_slot on, as they lie in the files: shard, place in the shard, byte_offset, and what the record
+    says: slot, doc_id, start, n_tokens, ids (n_tokens of them). Shards before first_slot's are not opened. Order by shard
+    and place to read in training order."""
+    if not exists(spark, folder):
+        schema = "shard int, place long, byte_offset long, slot long, doc_id long, start long, n_tokens long, ids binary"
+        return spark.createDataFrame([], schema)
+    n, width = layout.stride, layout.stride - len(CLOSING)
+    each = F.expr(f"posexplode(transform(sequence(0, cast(length div {n} as int) - 1), i -> substring(content, i * {n} + 1, {width})))").alias("place", "record")
+
+    def number(at: int, size: int):
+        return F.conv(F.hex(F.substring("record", at + 1, size)), 16, -10).cast("long")
+
+    files = files_of(spark, folder).where(F.col("shard") >= first_slot // layout.shard_rows)
+    rows = files.select(F.col("shard").cast("int").alias("shard"), each).select("shard", F.col("place").cast("long").alias("place"), "record")
+    own = rows.select(
+        "shard", "place", (F.col("place") * n).alias("byte_offset"), number(0, 8).alias("slot"),
+        F.when(number(28, 2) == 0, number(8, 8)).alias("doc_id"), number(16, 8).alias("start"), number(24, 4).alias("n_tokens"), "record",
+    )
+    ids = F.substring("record", F.lit(struct.calcsize(HEADER) + 1), (F.col("n_tokens") * layout.width).cast("int"))
+    return own.select(*own.columns[:-1], ids.alias("ids")).where(F.col("shard") * F.lit(layout.shard_rows).cast("long") + F.col("place") >= first_slot)
+
+
+def training_order(docs: DataFrame, path: str | None = None, length: int = 2048, shard_rows: int = 4096, key: int = 20_240_601, vocabulary: str = "byte_bpe_50k.json", end_id: int = 50_256) -> DataFrame:
+    """Materialises docs and reports what the shards' files hold, read back: slot, shard, place in the shard, byte_offset,
+    record_bytes, doc_id and start (where the record begins), n_tokens, ids_crc32."""
+    spark, layout = docs.sparkSession, Layout(vocabulary, length, shard_rows)
+    folder = materialise(docs, path or scratch_path(spark, "training-order"), layout, key, vocabulary, end_id)
+    return read_records(spark, folder, layout).select(
+        "slot", "shard", "place", "byte_offset", F.lit(layout.stride).cast("long").alias("record_bytes"), "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )

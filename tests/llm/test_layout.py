@@ -223,29 +223,81 @@ def test_the_network_permutes(count):
     assert (training_order.permuted(np.arange(count)[::-1], count, 7) == found[::-1]).all()
 
 
+def stream_of(texts, ids=None):
+    """The stream of all ids, and for each of its places the document and the place in it."""
+    stream, origin = [], []
+    for i, t in zip(ids or range(len(texts)), texts, strict=True):
+        own = ids_of(t, "byte_bpe_50k.json", 50256)
+        stream += own
+        origin += [(i, k) for k in range(len(own))]
+    return stream, origin
+
+
 def test_training_order(spark, docs, tmp_path):
     texts = [*ODD, *(f"text number {i} " * (i % 40) for i in range(60))]
+    ids = [None if i == 5 else i for i in range(len(texts))]
     path = f"file://{tmp_path}/shards"
-    table = docs(texts)
+    table = docs(texts, ids=ids).coalesce(1)
     rows = training_order.training_order(table, path, length=32, shard_rows=100).collect()
+    stream, origin = stream_of(texts, ids)
+    count = -(-len(stream) // 32)
+    assert sorted(r["slot"] for r in rows) == list(range(count)) and count > 1000
+    place = np.argsort(training_order.permuted(np.arange(count), count, 20_240_601))  # by slot
+    for r in rows:
+        at = 32 * int(place[r["slot"]])
+        assert (r["shard"], r["place"]) == divmod(r["slot"], 100) and r["byte_offset"] == r["place"] * r["record_bytes"]
+        assert (r["doc_id"], r["start"]) == origin[at] and r["n_tokens"] == len(stream[at : at + 32])
+        assert r["ids_crc32"] == crc(stream[at : at + 32], "<u2")
+    layout = training_order.Layout("byte_bpe_50k.json", 32, 100)
+    (folder,) = tmp_path.glob("shards/shards-*")
+    files = sorted(folder.glob("shard=*/part-*"), key=lambda f: int(f.parent.name[6:]))
+    data = b"".join(f.read_bytes() for f in files)
+    assert len(files) == -(-count // 100) and len(data) == count * layout.stride
+    for slot in (0, 1, 99, 100, count - 1):  # by seeking alone
+        record = data[slot * layout.stride : (slot + 1) * layout.stride]
+        at = 32 * int(place[slot])
+        own = np.frombuffer(record[30 : 30 + 64], "<u2").tolist()
+        assert own == (stream[at : at + 32] + [50256] * 32)[:32] and record[-2:] == b"\n\n"
+    rest = training_order.read_records(spark, f"file://{folder}", layout, 150).orderBy("shard", "place").collect()
+    assert [r["slot"] for r in rest] == list(range(150, count))
+
+
+def test_a_broken_run_is_resumed(docs, tmp_path, monkeypatch):
+    """Missing shards are written again, the others are left as they are, and the sequences are not made again."""
+    table = docs([f"text number {i} " * (i % 40) for i in range(80)])
+    options = {"path": f"file://{tmp_path}/out", "length": 16, "shard_rows": 50}
+    want = sorted(map(tuple, training_order.training_order(table, **options).collect()))
+    (folder,) = tmp_path.glob("out/shards-*")
+    shards = sorted(folder.glob("shard=*"))
+    for f in shards[1].iterdir():
+        f.unlink()
+    stamps = {f: f.stat().st_mtime_ns for s in (shards[0], *shards[2:]) for f in s.glob("part-*")}
+    monkeypatch.setattr(training_order, "token_sequences", None)
+    assert sorted(map(tuple, training_order.training_order(table, **options).collect())) == want and len(shards) > 4
+    assert {f: f.stat().st_mtime_ns for f in stamps} == stamps
+
+
+def test_training_order_over_many_tasks(docs):
+    texts = [f"text number {i} " * (i % 40) for i in range(90)]
+    rows = training_order.training_order(docs(texts).repartition(7), length=16, shard_rows=64).collect()
     whole = {i: ids_of(t, "byte_bpe_50k.json", 50256) for i, t in enumerate(texts)}
-    assert len(rows) == sum(-(-len(x) // 32) for x in whole.values())
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    for r in rows:
-        own = whole[r["doc_id"]][32 * r["piece"] : 32 * r["piece"] + 32]
-        assert (r["n_tokens"], r["ids_crc32"], r["record_bytes"]) == (len(own), crc(own, "<u2"), 64)
-        assert (r["shard"], r["place"]) == divmod(r["slot"], 100)
-    rest = training_order.read_shards(spark, path, 150, 100).orderBy("slot").collect()
-    assert [r["slot"] for r in rest] == list(range(150, len(rows)))
-    (tmp_path / "bin").mkdir()
-    for _ in range(2):
-        assert training_order.export_bin(spark, path, str(tmp_path / "bin"), 4).count() == -(-len(rows) // 100)
-    data = np.frombuffer(b"".join(p.read_bytes() for p in sorted((tmp_path / "bin").iterdir())), "<u2").reshape(-1, 32)
-    assert len(data) == len(rows) and all((data[r["slot"]] == np.frombuffer(r["ids"], "<u2")).all() for r in rest)
+    assert sum(r["n_tokens"] for r in rows) == sum(map(len, whole.values()))
+    inside = [r for r in rows if r["start"] + r["n_tokens"] <= len(whole[r["doc_id"]])]
+    assert len(inside) > 100
+    assert all(r["ids_crc32"] == crc(whole[r["doc_id"]][r["start"] : r["start"] + r["n_tokens"]], "<u2") for r in inside)
+
+
+def test_wide_vocabularies_have_wide_ids(monkeypatch):
+    assert (training_order.Layout("byte_bpe_50k.json", 8, 1).width, training_order.Layout("byte_bpe_50k.json", 8, 1).stride) == (2, 48)
+    encoder = training_order.byte_encoder("byte_bpe_50k.json", "I")
+    monkeypatch.setattr(encoder, "library", type("L", (), {"get_vocab_size": lambda self: 100_000})())
+    assert (training_order.Layout("byte_bpe_50k.json", 8, 1).width, training_order.Layout("byte_bpe_50k.json", 8, 1).stride) == (4, 64)
 
 
 def test_training_order_takes_odd_rows(odd, nothing):
-    assert training_order.training_order(odd).where("doc_id = 7").count() == 2
+    rows = training_order.training_order(odd, length=64).collect()
+    assert sum(r["n_tokens"] for r in rows) == sum(len(ids_of(t, "byte_bpe_50k.json", 50256)) for t in [*ODD, "same text here"])
     assert training_order.training_order(nothing).count() == 0
 
 
