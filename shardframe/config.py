@@ -9,6 +9,14 @@ from dataclasses import dataclass, field, replace
 
 log = logging.getLogger(__name__)
 
+#: Error messages.
+NO_SHARDS = "No shards configured."
+NO_RANGE = "No range configured for key [{}]"
+NO_MAPPING = "Shard for key [{}] not found."
+NO_STRATEGY = "Sharding strategy [{}] not configured."
+NO_GENERATOR = "ID generator strategy [{}] not configured."
+NO_REBALANCE = "Rebalancing is not supported for {} strategy."
+
 
 @dataclass(frozen=True)
 class KeyRange:
@@ -108,7 +116,7 @@ class ShardConfig:
 
 
 def base_options(env: Mapping[str, str] | None = None) -> dict[str, str]:
-    """The options that all shard databases share."""
+    """The options that all shard databases share. The variables' names and the defaults."""
     env = os.environ if env is None else env
     options = {
         "driver": env.get("DB_SHARD_DRIVER", "mysql"),

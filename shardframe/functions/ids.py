@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardframe.config import ShardConfig
+from shardframe.config import NO_GENERATOR, ShardConfig
 from shardframe.functions.numbering import dense_index
 from shardframe.sources.metadata import Metadata
 
@@ -61,5 +61,5 @@ def generator_for(config: ShardConfig, table: str) -> Callable[[DataFrame, str,
     own = config.tables.get(table)
     name = (own and own.id_generator) or config.id_generator
     if name not in GENERATORS:
-        raise LookupError(f"ID generator strategy [{name}] not configured.")
+        raise LookupError(NO_GENERATOR.format(name))
     return GENERATORS[name]

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardframe.config import KeyRange, Placement
+from shardframe.config import NO_MAPPING, NO_RANGE, NO_SHARDS, NO_STRATEGY, KeyRange, Placement
 from shardframe.sources.metadata import Metadata
 
 ROUTE, SHARD, REPLICA = "_route", "_shard", "is_replica"
@@ -32,7 +32,7 @@ def hash_of(key) -> int:
 def bounds(weights: dict[str, int]) -> tuple[int, list[tuple[int, str]]]:
     """The sum of the weights, and (upper bound, name) of each shard in order."""
     if not weights:
-        raise ValueError("No shards configured.")
+        raise ValueError(NO_SHARDS)
     upper, found = 0, []
     for name, weight in weights.items():
         upper += weight
@@ -124,7 +124,7 @@ class RangeStrategy(RoutingStrategy):
 
     def with_route(self, df, key, place, meta):
         k, primary = F.col(key), F.lit(None).cast("string")
-        message = F.concat(F.lit("No range configured for key ["), k.cast("string"), F.lit("]"))
+        message = F.concat(F.lit(NO_RANGE.split("{")[0]), k.cast("string"), F.lit(NO_RANGE.split("}")[1]))
         if self.strict:
             primary = F.when(k.isNotNull(), F.raise_error(message).cast("string"))
         for r in reversed(place.own.ranges):
@@ -138,7 +138,7 @@ class RangeStrategy(RoutingStrategy):
         for r in place.own.ranges:
             if (r.start is None or key >= r.start) and (r.end is None or key <= r.end):
                 return [r.connection, *ring_of(r.connection, place.routed, place.replica_count)]
-        raise KeyError(f"No range configured for key [{key}]")
+        raise KeyError(NO_RANGE.format(key))
 
     def after_rebalance(self, start, end, to, place, meta):
         if to is None:
@@ -254,7 +254,7 @@ class MappingStrategy(RoutingStrategy):
     def with_route(self, df, key, place, meta):
         k = F.concat(F.lit(place.prefix), F.col(key).cast("string"))
         found = meta.join_mapping(df.withColumn("_kv", k))
-        fallback = route(weighted(key_hash(F.col(key)), place.routed), place) if place.routed else F.raise_error(F.concat(F.lit("Shard for key ["), k, F.lit("] not found."))).cast("array<string>")
+        fallback = route(weighted(key_hash(F.col(key)), place.routed), place) if place.routed else F.raise_error(F.concat(F.lit(NO_MAPPING.split("{")[0]), k, F.lit(NO_MAPPING.split("}")[1]))).cast("array<string>")
         single = F.when(F.size("_stored") == 1, F.col("_bare"))
         chosen = F.when(single, route(F.col("_stored")[0], place)).when(F.col("_stored").isNotNull(), F.col("_stored")).otherwise(fallback)
         return found.withColumn(ROUTE, F.when(F.col(key).isNotNull(), chosen)).drop("_kv", "_stored", "_bare")
@@ -263,7 +263,7 @@ class MappingStrategy(RoutingStrategy):
         stored, bare = meta.mapping_of(f"{place.prefix}{key}")
         if stored is None:
             if not place.routed:
-                raise KeyError(f"Shard for key [{place.prefix}{key}] not found.")
+                raise KeyError(NO_MAPPING.format(f"{place.prefix}{key}"))
             stored, bare = [weighted_of(hash_of(key), place.routed)], True
         return [stored[0], *ring_of(stored[0], place.routed, place.replica_count)] if bare else stored
 
@@ -292,5 +292,5 @@ def register_strategy(name: str, strategy: RoutingStrategy) -> None:
 
 def strategy_for(place: Placement) -> RoutingStrategy:
     if place.strategy not in STRATEGIES:
-        raise LookupError(f"Sharding strategy [{place.strategy}] not configured.")
+        raise LookupError(NO_STRATEGY.format(place.strategy))
     return STRATEGIES[place.strategy]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardframe.checks import has_foreign_keys
+from shardframe.config import NO_REBALANCE
 from shardframe.functions.routing import REPLICA, ROUTE, SHARD, strategy_for
 from shardframe.operators.table import ShardedTable
 from shardframe.operators.writes import fan_out
@@ -76,7 +77,7 @@ def rebalance(table: ShardedTable, source: str | None = None, to: str | None = N
     the new table go to all shards."""
     strategy = strategy_for(table.place)
     if not strategy.can_rebalance:
-        raise ValueError(f"Rebalancing is not supported for {table.place.strategy} strategy.")
+        raise ValueError(NO_REBALANCE.format(table.place.strategy))
     if to is not None and to not in table.place.connections:
         raise ValueError(f"Shard [{to}] is not one of the table's.")
     moved = written(rebalance_plan(table, source, to, start, end), "moved")

@@ -23,7 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/shardframe/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/shardframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Writes df to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
