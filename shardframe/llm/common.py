@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardframe.sources.scratch import shared_dir
+from shardframe.sources import scratch
+from shardframe.sources.scratch import scratch_path  # noqa: F401
 
 #: Words, as the contracts state them: runs of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/shardframe/{label}-{uuid.uuid4().hex}"
-
-
 #: Rows that are handed to Python at a time: texts of some kilobytes make batches of a few megabytes.
 ARROW_ROWS = 1000
 
@@ -35,13 +31,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    with small_batches(spark):
-        df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, with small batches for Python."""
+    with small_batches(df.sparkSession):
+        return scratch.written(df, label)
 
 
 def drop_scratch(df: DataFrame) -> None:
@@ -74,24 +67,6 @@ def bounded_sample(docs: DataFrame, rows: int, seed: int) -> DataFrame:
     return docs.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def numbered(df: DataFrame, order: list, column: str, label: str) -> DataFrame:
-    """Adds the row's place (from 0) in a global order, without gathering the rows in one task.
-
-    Rows are dealt by range and sorted within their partitions; a partition's first place is the number of rows before."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), label)
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy(part.alias("_part")).count().collect()  # a number for each partition, whatever the rows
-    before, starts = 0, []
-    for r in sorted(sizes):
-        starts.append((r[0], before))
-        before += r[1]
-    first = spark.createDataFrame(starts, "_part long, _first long")
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn(column, F.col("_first") + at).drop("_part", "_at", "_first")
-
-
 #: A key is hot from this share of all rows on: so there are at most a thousand hot keys.
 HOT_SHARE = 1000
 

@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardframe.llm.common import WORD, join_groups, numbered, written
+from shardframe.functions.numbering import dense_index
+from shardframe.llm.common import WORD, join_groups, written
 
 #: How often the longest document's words are left to the dynamic programme.
 HELD = 4
@@ -68,7 +69,7 @@ def fit(lengths: list[int], spare: list[int], budget: int) -> list[int]:
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeats: int) -> DataFrame:
     """skey, total, target of each source; targets above max_repeats times the total give their excess to the others."""
     own = sized.groupBy("skey", "source").agg(F.sum("size").alias("total"))
-    at = numbered(own, [F.col("source").isNull(), F.col("source")], "at", "sources")
+    at = dense_index(own, "at", [F.col("source").isNull(), F.col("source")])
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int")).cast("double")
     table = written(at.select("skey", "total", weight.alias("weight")), "weights")
     whole = share * (table.agg(F.sum("total")).first()[0] or 0)
@@ -100,7 +101,7 @@ def decided(docs: DataFrame, row: list[str], weights: tuple[float, ...] = (5, 2,
     )
     goal = written(targets(sized, weights, share, max_repeats), "targets")
     group = F.concat_ws(":", F.col("size").cast("string"), "skey")
-    placed = numbered(sized, [F.col("skey"), F.col("size"), F.col("h"), F.col("doc_id"), *map(F.col, row), F.col("u")], "at", "ranked")
+    placed = dense_index(sized, "at", [F.col("skey"), F.col("size"), F.col("h"), F.col("doc_id"), *map(F.col, row), F.col("u")])
     counts = placed.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
