@@ -44,7 +44,7 @@ def hashes_of(own: np.ndarray, first: np.ndarray, last: np.ndarray, lane: int) -
     size = last - first
     data = np.concatenate([own, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(own) + 1,), "<u8", data, 0, (1,))  # the 8 bytes from each place on
-    h = mix(size.astype(np.uint64) + ODD[0] * np.uint64(lane + 1))
+    h = mix(size.astype(np.uint64) + np.uint64(int(ODD[0]) * (lane + 1) % 2**64))
     left, at, who = size, first, slice(None)
     while len(at):
         h[who] = pair(h[who], eight[at] & MASKS[np.minimum(left, 8)])
