@@ -42,6 +42,8 @@ BLOCK = 64
 FEW_PAIRS = 4
 #: Entries of a list's part.
 PART_ROWS = 4096
+#: Entries of a part where entries are compared by their sketches: two parts are a task's work, each pair of parts is one.
+OUTSIDE_ROWS = 128
 #: Bytes of keys in a part of a family, or of its asks.
 PART_BYTES = 256 << 10
 #: Cut families whose number of parts is sent to every task; beyond it they are joined.
@@ -378,14 +380,14 @@ def blocks_of(mixed: DataFrame) -> DataFrame:
 def outside_pairs(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The asks of sets outside their lists' largest blocks, of different components, that blocks and sketches leave.
 
-    Of a list with more than PART_ROWS such sets, each pair of parts is a task's work."""
+    Of a list with more than OUTSIDE_ROWS such sets, each pair of parts is a task's work."""
     size = outside.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    parts = F.ceil(F.col("rows") / PART_ROWS).cast("int")
+    parts = F.ceil(F.col("rows") / OUTSIDE_ROWS).cast("int")
     dealt = join_groups(outside.select("key", "unit", "n", "place", "component"), size.withColumn("parts", parts).where("rows > 1"), "key").where("parts is not null")
     cut = dealt.withColumn("part", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cut = cut.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).join(sketched(sets), "unit")
     load = size.agg(F.sum(F.col("rows") * parts)).first()[0] or 0
-    buckets = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(load // PART_ROWS))
+    buckets = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(load // OUTSIDE_ROWS))
 
     def pair(table: pa.Table) -> pa.Table:
         unit, n, place, component, part, shared, key, low, high = (table[c].to_numpy() for c in ("unit", "n", "place", "component", "part", "shared", "key", "low", "high"))
