@@ -52,6 +52,11 @@ STORED_ROUTE = f"""(        WITH hit AS (SELECT o_orderkey AS k, arg_max(r.conne
         SELECT k AS o_orderkey, CASE WHEN rep <> '' THEN c || ',' || rep ELSE {route('c')} END AS route FROM hit
         UNION ALL SELECT miss.k, {route('p')} FROM miss JOIN starts USING (start))"""
 
+#: All orders on the shards of their routes.
+STORED_SHARDS = f"""
+    WITH p AS {PLACED}, r AS (SELECT o_orderkey, shard, false AS is_replica FROM p UNION ALL SELECT o_orderkey, {ring1('shard')}, true FROM p)
+    SELECT shard, is_replica, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM r GROUP BY shard, is_replica"""
+
 ORACLE: dict[str, str] = {
     "route_hash": f"SELECT k AS o_orderkey, (['a', 'b', 'c'])[h % 3 + 1] AS route FROM {KEYS}",
     "route_weighted": f"SELECT o_orderkey, shard AS route FROM {PLACED}",
@@ -180,4 +185,20 @@ ORACLE: dict[str, str] = {
             UNION ALL SELECT 'open', k, CASE WHEN k <= 400 THEN 's3' ELSE p END FROM stored)
         SELECT kind || ' in' AS kind, k AS o_orderkey, shard FROM moved WHERE k IN (3, 250, 299, 300, 400, 401, 599, 600, 650, 651, 660, 699, 700, 1000, 1234)
         UNION ALL SELECT kind || ' find', k, shard FROM moved WHERE k IN (300, 660)""",
+    "parse_definitions": """
+        WITH d AS (SELECT string_split(unnest(string_split('s1:db1:3306:shards;s2:db2::shards;bad::3306:x;s3:db3:4400:other', ';')), ':') AS p)
+        SELECT p[1] AS name, p[2] AS host, coalesce(nullif(p[3], ''), '4406') AS port, p[4] AS database, 'mysql' AS driver, 'app' AS username, 1::BIGINT AS weight, p[1] IN ('s2', 's3') AS migrating
+        FROM d WHERE p[1] <> '' AND p[2] <> '' AND p[4] <> ''""",
+    "explain_routes": f"""SELECT 'o_orderkey' AS "column", k::BIGINT AS k, 'sales' AS "group", 'hash' AS strategy, {weighted('h')} AS connection, {ring1(weighted('h'))} AS replicas FROM {hashed('n_nationkey AS k FROM nation')}""",
+    "cursor_scan": f"SELECT row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, shard, o_orderkey) - 1 AS place, o_orderkey, o_totalprice FROM orders JOIN {PLACED} USING (o_orderkey) ORDER BY place LIMIT 100",
+    "rebalance_rules": "SELECT s AS strategy, s <> 'hash' AS can_rebalance, CASE WHEN s = 'hash' THEN 'Rebalancing is not supported for ' || s || ' strategy.' END AS error FROM (VALUES ('hash'), ('range'), ('db_range'), ('db_hash_range'), ('redis')) v(s)",
+    "rebalance_metrics": "SELECT 'shards.rebalance.moved' AS name, count(*) AS n FROM orders WHERE o_orderkey BETWEEN 250 AND 1199",
+    "foreign_keys": """
+        WITH fk AS (SELECT * FROM (VALUES ('lineitem', 'orders'), ('lineitem', 'part'), ('orders', 'customer'), ('customer', 'nation')) v(a, b))
+        SELECT t AS "table", t IN (SELECT a FROM fk) OR t IN (SELECT b FROM fk) AS tied FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events')) v(t)""",
+    "broken_keys": """
+        SELECT t AS message, contains(lower(t), 'duplicate') OR contains(lower(t), 'unique constraint') AS broke
+        FROM (VALUES ('Duplicate entry 7 for key PRIMARY'), ('UNIQUE constraint failed: items.id'), ('duplicate key value violates unique constraint'), ('syntax error at or near'), ('deadlock found')) v(t)""",
+    "store_shards": STORED_SHARDS,
+    "stream_ingest": STORED_SHARDS,
 }

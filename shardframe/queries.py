@@ -8,14 +8,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardframe.config import KeyRange, ShardConfig, TableConfig
+from shardframe.checks import broke_unique_key, has_foreign_keys
+from shardframe.config import KeyRange, ShardConfig, TableConfig, parse_migrating, parse_shards, parse_weights
 from shardframe.engine import ShardEngine
 from shardframe.functions.ids import with_sequence_ids, with_snowflake_ids
 from shardframe.functions.numbering import dense_index
-from shardframe.functions.routing import REPLICA, ROUTE, SHARD
+from shardframe.functions.routing import REPLICA, ROUTE, SHARD, strategy_for
 from shardframe.operators import movement, relations, writes
 from shardframe.operators.table import ShardedTable
 from shardframe.sources.metadata import SCHEMAS, Metadata
+from shardframe.sources.scratch import scratch_path
+from shardframe.sources.store import ShardStore
+from shardframe.streaming.ingest import ingest
 
 WEIGHTS = {"s1": 2, "s2": 1, "s3": 1}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,3 +530,95 @@ def find_after_rebalance(spark, sf_dir):  # B10 A18 A19: rows are found wherever
         rows = [q.where_in("o_orderkey", keys).get("o_orderkey", SHARD), *(q.find(k).select("o_orderkey", SHARD) for k in (300, 660))]
         found += [r.select(F.lit(f"{kind} {how}").alias("kind"), "o_orderkey", F.col(SHARD).alias("shard")) for r, how in zip(rows, ("in", "find", "find"), strict=True)]
     return reduce(DataFrame.unionByName, found)
+
+
+# set-up and checks ------------------------------------------------------------------------------------------------
+
+DEFINITIONS = "s1:db1:3306:shards;s2:db2::shards;bad::3306:x;s3:db3:4400:other"
+
+
+@query
+def parse_definitions(spark, sf_dir):  # A1 A7 A8 A9 A10
+    env = {"DB_PORT": "4406", "DB_USERNAME": "app", "DB_SHARD_MIGRATIONS": "s2;s3"}
+    weights, migrating = parse_weights(DEFINITIONS, env), parse_migrating(None, env)
+    rows = [(n, o["host"], o["port"], o["database"], o["driver"], o["username"], weights[n], n in migrating) for n, o in parse_shards(DEFINITIONS, env).items()]
+    return spark.createDataFrame(rows, "name string, host string, port string, database string, driver string, username string, weight long, migrating boolean")
+
+
+@query
+def explain_routes(spark, sf_dir):  # A21 C9 C10 C13 C14: keys are explained one by one
+    e = engine(spark)
+    keys = [r[0] for r in read(spark, sf_dir, "nation", "n_nationkey").collect()]
+    found = [e.explain_route("orders", k) for k in keys]
+    rows = [(e.key("orders"), k, f["group"], f["strategy"], f["connection"], ",".join(f["replicas"])) for k, f in zip(keys, found, strict=True)]
+    return spark.createDataFrame(rows, "column string, k long, group string, strategy string, connection string, replicas string")
+
+
+@query
+def cursor_scan(spark, sf_dir):  # A4: rows come to the client in order, a partition at a time
+    rows = orders(spark, sf_dir, "o_totalprice").query().order_by("o_totalprice", descending=True).limit(100).lazy()
+    return spark.createDataFrame([(i, r["o_orderkey"], r["o_totalprice"]) for i, r in enumerate(rows)], "place long, o_orderkey long, o_totalprice double")
+
+
+@query
+def rebalance_rules(spark, sf_dir):  # C11 C12 K1
+    found = []
+    for name in ("hash", "range", "db_range", "db_hash_range", "redis"):
+        e, error = engine(spark, name), None
+        if not strategy_for(e.config.placement("orders")).can_rebalance:
+            try:
+                movement.rebalance(piled(spark, sf_dir, e), to="s2")
+            except ValueError as x:
+                error = str(x)
+        found.append((name, error is None, error))
+    return spark.createDataFrame(found, "strategy string, can_rebalance boolean, error string")
+
+
+@query
+def rebalance_metrics(spark, sf_dir):  # K6 E3
+    counted = []
+    e = engine(spark, "db_range", meta=range_meta(spark), range_size=100)
+    movement.rebalance(piled(spark, sf_dir, e), source="s1", to="s3", start=250, end=1199, metrics=lambda name, n: counted.append((name, n)))
+    return spark.createDataFrame(counted, "name string, n long")
+
+
+@query
+def foreign_keys(spark, sf_dir):  # D14 L8
+    keys = {"lineitem": ("orders", "part"), "orders": ("customer",), "customer": ("nation",)}
+    config = ShardConfig(WEIGHTS, {t: TableConfig(foreign_keys=k) for t, k in keys.items()})
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    return spark.createDataFrame([(n, has_foreign_keys(config, n)) for n in names], "table string, tied boolean")
+
+
+@query
+def broken_keys(spark, sf_dir):  # L7
+    texts = ["Duplicate entry 7 for key PRIMARY", "UNIQUE constraint failed: items.id", "duplicate key value violates unique constraint", "syntax error at or near", "deadlock found"]
+    return spark.createDataFrame([(t, broke_unique_key(RuntimeError(t))) for t in texts], "message string, broke boolean")
+
+
+def stored(spark: SparkSession, sf_dir: str, e: ShardEngine) -> ShardStore:
+    """An empty store for orders' keys."""
+    store = ShardStore(spark, scratch_path(spark, "orders-store"), read(spark, sf_dir, "orders", "o_orderkey").schema)
+    e.migrate({"orders": store})
+    return store
+
+
+def shards_of(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.col(SHARD).alias("shard"), REPLICA).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
+@query
+def store_shards(spark, sf_dir):  # A20 A33
+    e = engine(spark)
+    store = stored(spark, sf_dir, e)
+    store.append(orders(spark, sf_dir, e=e).df.select(*store.schema.names))
+    return shards_of(e.open("orders", store).query(include_replicas=True).df)
+
+
+@query
+def stream_ingest(spark, sf_dir):  # streaming: routed, fanned out and stored, micro-batch by micro-batch
+    e = engine(spark)
+    store = stored(spark, sf_dir, e)
+    stream = spark.readStream.schema(read(spark, sf_dir, "orders", "o_orderkey").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    ingest(stream, e.open("orders", store), store, scratch_path(spark, "orders-checkpoint")).awaitTermination()
+    return shards_of(store.read())
