@@ -1,13 +1,15 @@
 """Placement metadata: stored ranges, slots, key mapping and sequences, as tables of a base and what was merged since.
 
-A merge writes its own rows only; after MOST_DELTAS of them the table is written whole. One writer at a time changes
-them. Where a path is given, each table is kept under it as numbered folders, v= for a whole table and d= for a merge; the
-last complete whole one counts with the merges after it, so that a broken write leaves what was before.
+A merge writes its own rows only; after MOST_DELTAS of them the table is written whole. Where a path is given, each table
+is kept under it as numbered folders, v= for a whole table and d= for a merge; the last complete whole one counts with the
+merges after it, so that a broken write leaves what was before. Several writers may share a path: each claims the next
+number by making a file that must not be there, waits for the lower ones and reads them before it makes its rows.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,8 @@ FAN = 4096
 LEVELS = 6
 #: Merges that a read goes through before the table is written whole.
 MOST_DELTAS = 8
+#: Seconds after which a claim without a table is taken for a broken write.
+DEAD_AFTER = 600
 #: The columns by which a merge's rows replace others.
 KEYS = {"ranges": ["table", "start", "end"], "slots": ["table", "slot"], "mapping": ["k"], "sequences": ["table"]}
 
@@ -61,7 +65,7 @@ class Metadata:
             names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
             done = sorted((int(n[2:]), n[0]) for n in names)
         self.version[name] = max((n for n, _ in done), default=0)
-        base = max((n for n, kind in done if kind == "v"), default=0)
+        base, self.deltas[name] = max((n for n, kind in done if kind == "v"), default=0), 0
         read = self.spark.read.schema(SCHEMAS[name])
         found = read.parquet(f"{self.path}/{name}/v={base}") if base else empty
         for n, _ in (x for x in done if x[0] > base):
@@ -69,28 +73,54 @@ class Metadata:
             self.deltas[name] += 1
         return found
 
-    def _kept(self, name: str, df: DataFrame, kind: str) -> DataFrame:
-        df = df.select(*[f.name for f in self.tables[name].schema])
+    def _under_way(self, name: str, before: int) -> bool:
+        """Whether another writer has claimed a lower number lately and not written it yet."""
+        jvm, fs = self._fs()
+        make = jvm.org.apache.hadoop.fs.Path
+        for s in fs.listStatus(make(f"{self.path}/{name}")):
+            kind, _, n = s.getPath().getName().partition("=")
+            if kind == "claim" and int(n) < before and time.time() - s.getModificationTime() / 1000 < DEAD_AFTER:
+                if not any(fs.exists(make(f"{self.path}/{name}/{k}={n}/_SUCCESS")) for k in "vd"):
+                    return True
+        return False
+
+    def _claim(self, name: str) -> int:
+        """The next number of the table, which no other writer has. Lower ones are waited for, and read."""
+        jvm, fs = self._fs()
+        self.tables[name] = self._load(name)
+        n = self.version.get(name, 0) + 1
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/claim={n}")):
+            n += 1
+        while self._under_way(name, n):
+            time.sleep(0.1)
+        self.tables[name] = self._load(name)
+        return n
+
+    def _kept(self, name: str, kind: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What make gives of the table as it is, stored."""
+        columns = [f.name for f in self.tables[name].schema]
         if self.path is None:
-            return written(df, f"meta-{name}")
-        self.version[name] = self.version.get(name, 0) + 1
-        target = f"{self.path}/{name}/{kind}={self.version[name]}"
-        df.write.mode("overwrite").parquet(target)
+            return written(make(self.tables[name]).select(*columns), f"meta-{name}")
+        n = self._claim(name)
+        target = f"{self.path}/{name}/{kind}={n}"
+        make(self.tables[name]).select(*columns).write.mode("overwrite").parquet(target)
+        self.version[name] = n
         return self.spark.read.schema(SCHEMAS[name]).parquet(target)
 
     @staticmethod
     def _over(name: str, df: DataFrame, new: DataFrame) -> DataFrame:
         return df.join(new.select(*KEYS[name]), KEYS[name], "left_anti").select(*df.columns).unionByName(new)
 
-    def _put(self, name: str, df: DataFrame) -> None:
-        self.tables[name], self.deltas[name] = self._kept(name, df, "v"), 0
+    def _put(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        self.tables[name], self.deltas[name] = self._kept(name, "v", make), 0
 
-    def _merge(self, name: str, new: DataFrame) -> None:
-        """New rows replace those with the same keys."""
-        self.tables[name] = self._over(name, self.tables[name], self._kept(name, new, "d"))
+    def _merge(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """The rows that make gives replace those with the same keys."""
+        new = self._kept(name, "d", make)
+        self.tables[name] = self._over(name, self.tables[name], new)
         self.deltas[name] += 1
         if self.deltas[name] >= MOST_DELTAS:
-            self._put(name, self.tables[name])
+            self._put(name, lambda t: t)
 
     # look-ups of whole tables -------------------------------------------------------------------------------------
 
@@ -150,15 +180,15 @@ class Metadata:
         """One row for each aligned range of the batch; of its keys the largest one's route counts."""
         last = routed.where(F.col(key).isNotNull()).groupBy(start.alias("start")).agg(F.max_by("_route", key).alias("r"))
         new = last.select(F.lit(place.scope).alias("table"), "start", (F.col("start") + place.own.range_size - 1).alias("end"), F.col("r")[0].alias("connection"), after_first("r").alias("replicas"))
-        self._merge("ranges", new)
+        self._merge("ranges", lambda _: new)
 
     def merge_slots(self, routed: DataFrame, key: str, slot: Column, place: Placement) -> None:
         last = routed.where(F.col(key).isNotNull()).groupBy(slot.alias("slot")).agg(F.max_by("_route", F.col(key)).alias("r"))
         new = last.select(F.lit(place.scope).alias("table"), "slot", F.col("r")[0].alias("connection"), after_first("r").alias("replicas"))
-        self._merge("slots", new)
+        self._merge("slots", lambda _: new)
 
     def put_mapping(self, new: DataFrame) -> None:
-        self._merge("mapping", new.dropDuplicates(["k"]))
+        self._merge("mapping", lambda _: new.dropDuplicates(["k"]))
 
     def put_range(self, scope: str, start: int, end: int | None, connection: str, replicas: list[str], size: int) -> None:
         """Stores a range, and leaves every key outside it with the range that it had.
@@ -168,22 +198,24 @@ class Metadata:
         the end, a piece of it is stored. Such pieces begin right after the end or after the end of another range, and what
         counts there is looked up for all these keys in one join."""
         end = 2**63 - 1 if end is None else end
-        t = self.tables["ranges"]
         own = (F.col("table") == scope) & (F.col("end") >= F.col("start"))
         inside = own & F.col("start").between(start, end)
-        rows = t.where(~inside).unionByName(self.spark.createDataFrame([(scope, start, end, connection, replicas)], SCHEMAS["ranges"]))
-        last = t.where(inside).agg(F.max("end")).first()[0]
-        if last is not None and last > end:
+
+        def make(t: DataFrame) -> DataFrame:
+            rows = t.where(~inside).unionByName(self.spark.createDataFrame([(scope, start, end, connection, replicas)], SCHEMAS["ranges"]))
+            last = t.where(inside).agg(F.max("end")).first()[0]
+            if last is None or last <= end:
+                return rows
             after = t.where(own & (F.col("end") >= end) & (F.col("end") < last)).select((F.col("end") + 1).alias("k"))
             keys = after.unionByName(self.spark.createDataFrame([(end + 1,)], "k long")).distinct()
             counts = self.join_ranges(keys, "k", scope, size).where(F.col("_stored.start").between(start, end))
-            rows = rows.unionByName(counts.select(F.lit(scope).alias("table"), F.col("k").alias("start"), "_stored.end", "_stored.connection", "_stored.replicas"))
-        self._put("ranges", rows)
+            return rows.unionByName(counts.select(F.lit(scope).alias("table"), F.col("k").alias("start"), "_stored.end", "_stored.connection", "_stored.replicas"))
+
+        self._put("ranges", make)
 
     def _add_replica(self, name: str, found: Column, new: DataFrame, connection: str) -> None:
-        t = self.tables[name]
         more = F.when(found, F.array_union(F.coalesce("replicas", F.array().cast("array<string>")), F.array(F.lit(connection)))).otherwise(F.col("replicas"))
-        self._put(name, t.withColumn("replicas", more) if not t.where(found).isEmpty() else t.unionByName(new))
+        self._put(name, lambda t: t.unionByName(new) if t.where(found).isEmpty() else t.withColumn("replicas", more))
 
     def add_range_replica(self, scope: str, start: int, end: int, connection: str) -> None:
         """Adds the replica to the stored range; one that is missing is stored with the name as its primary."""
@@ -207,7 +239,7 @@ class Metadata:
         swapped = F.transform("had", lambda r: F.when(r == F.col("to"), F.col("old")).otherwise(r))
         replicas = F.when(F.size("had") > 0, swapped).otherwise(ring(F.col("to"), place.connections, place.replica_count))
         new = moves.join(old, "slot", "left").select(F.lit(place.scope).alias("table"), "slot", F.col("to").alias("connection"), replicas.alias("replicas"))
-        self._merge("slots", new)
+        self._merge("slots", lambda _: new)
 
     def move_mapping(self, moves: DataFrame, place: Placement, ring: Callable) -> None:
         """moves: k, to. As for slots, but a key whose replicas do not hold the new primary gets the ring's."""
@@ -219,7 +251,12 @@ class Metadata:
 
     def reserve(self, table: str, n: int) -> int:
         """Reserves n numbers of the table's sequence and returns the last one given out before."""
-        row = self.tables["sequences"].where(F.col("table") == table).first()
-        last = row["last_id"] if row else 0
-        self._merge("sequences", self.spark.createDataFrame([(table, last + n)], SCHEMAS["sequences"]))
-        return last
+        last = []
+
+        def make(t: DataFrame) -> DataFrame:
+            row = t.where(F.col("table") == table).first()
+            last.append(row["last_id"] if row else 0)
+            return self.spark.createDataFrame([(table, last[0] + n)], SCHEMAS["sequences"])
+
+        self._merge("sequences", make)
+        return last[0]

@@ -276,6 +276,29 @@ def test_metadata_is_merged_in_steps_and_comes_back(spark, tmp_path):
     assert meta.reserve("t", 5) == 0 and Metadata(spark, path).reserve("t", 1) == 5
 
 
+def test_writers_that_share_a_path_lose_nothing(spark, tmp_path, monkeypatch):
+    """Two sessions' metadata, neither of which has seen the other's merges, and a claim that was never written."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from shardframe.sources import metadata
+
+    path = f"file://{tmp_path}/meta"
+    one, two = Metadata(spark, path), Metadata(spark, path)
+    given = []
+    for i in range(3):
+        for m in (one, two):
+            given.append(m.reserve("t", 10))
+            m.put_mapping(spark.createDataFrame([(f"k{len(given)}", "s1")], SCHEMAS["mapping"]))
+    assert given == [0, 10, 20, 30, 40, 50] and Metadata(spark, path).tables["mapping"].count() == 6
+    with ThreadPoolExecutor(4) as pool:
+        more = list(pool.map(lambda m: m.reserve("t", 1), [Metadata(spark, path) for _ in range(4)]))
+    assert sorted(more) == [60, 61, 62, 63]
+    monkeypatch.setattr(metadata, "DEAD_AFTER", 0.5)
+    (tmp_path / "meta" / "sequences" / "claim=99").write_text("")
+    one.version["sequences"] = 98
+    assert two.reserve("t", 1) == 64 and one.reserve("t", 1) == 65
+
+
 def test_all_replicas_of_a_route_are_kept(spark):
     from shardframe.sources.metadata import after_first
 
