@@ -5,12 +5,17 @@ least the threshold's share of those, so the other units are done, and those lef
 
 Their order is global: shingles of one unit alone first, then the shared ones from the rarest on, as a table of counters
 of fixed size has them (any one order is right; a good one keeps passages of many documents out of the index). Two sets
-over the threshold meet in the first (size - least overlap + 1) places of both, so only those are indexed. A list of the index is sorted by size and
-position and cut into blocks: a set skips the blocks whose sizes or positions rule out the overlap. In a long list the sets
-are compared with one of them at a time; sets that turn out similar to it form a component, and their answers follow from its
-answer: only sets of other components are compared with them afterwards. When few pairs between components are left, or a
-round has hardly made them fewer, all of those are tried whose bounds and parity sketches allow the overlap, so that no link
-is lost.
+over the threshold meet in the first (size - least overlap + 1) places of both, so only those are indexed. A list of the
+index is sorted by size and position and cut into blocks: a set skips the blocks whose sizes or positions rule out the
+overlap. If few pairs are left, all of them are compared, and the list is done. Else each of its sets is paired with the
+list's most central one, whose shingles are the most common, and links make components.
+
+What is open then lies between the components of a list. In further rounds the sets ask the most central set of another
+component, until few pairs are left or a round has hardly made them fewer. Then each set outside its list's largest
+component asks that component as a family, unless the bounds of the family's block rule it out; and sets outside are
+compared with each other if blocks and parity sketches allow. A family's answers derive from one: the asks are counted
+against its middle, and a member's overlap is the middle's, less what the member lacks of it, and what it has beside it;
+members whose difference cannot make up the overlap are skipped. So no link between components is lost.
 
 Defined cases: words are taken after lower-casing A-Z only; null text counts as empty, has an empty set, links with nothing
 and is its own component; with fewer words than the shingle's, the whole sequence is the one shingle. Each input row gives
