@@ -45,6 +45,8 @@ SHORT = 4
 BLOCK = 64
 #: Few: pairs for each entry of a list.
 FEW_PAIRS = 4
+#: Pairs of an entry and a component that it is not in, for each entry of the open lists, that are left to the last round.
+LAST_PAIRS = 64
 #: Entries of a list's part.
 PART_ROWS = 4096
 #: Entries of a part where entries are compared by their sketches: two parts are a task's work, each pair of parts is one.
@@ -318,10 +320,11 @@ def compared(members: DataFrame, asks: DataFrame, sets: DataFrame, percent: int)
     own = members.groupBy("family").agg(F.sum(8 * F.col("n")).alias("own"))
     loads = written(own.join(asks.groupBy("family").agg(F.sum(8 * F.col("n")).alias("asked")), "family"), "loads")
     loads = loads.select("family", "own", "asked", F.ceil((F.col("own") + 1) / PART_BYTES).alias("own_parts"), F.ceil((F.col("asked") + 1) / PART_BYTES).alias("ask_parts"))
-    total = loads.agg(F.sum(F.col("own") * F.col("ask_parts") + F.col("asked") * F.col("own_parts"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // PART_BYTES))
-    cut = loads.where("own_parts > 1 or ask_parts > 1").select("family", "own_parts", "ask_parts")
-    cut = F.broadcast(cut) if cut.count() <= SENT_FAMILIES else cut.hint("merge")
+    is_cut = (F.col("own_parts") > 1) | (F.col("ask_parts") > 1)
+    row = loads.agg(F.sum(F.col("own") * F.col("ask_parts") + F.col("asked") * F.col("own_parts")).alias("total"), F.count_if(is_cut).alias("cut")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((row["total"] or 0) // PART_BYTES))
+    cut = loads.where(is_cut).select("family", "own_parts", "ask_parts")
+    cut = F.broadcast(cut) if row["cut"] <= SENT_FAMILIES else cut.hint("merge")
 
     def dealt(rows: DataFrame, is_ask: bool) -> DataFrame:
         at = rows.join(cut, "family", "left").na.fill(1, ["own_parts", "ask_parts"])
@@ -457,7 +460,7 @@ def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *mo
         row = of_list.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows").cast("double") * F.col("blocks") - F.col("main") * F.col("blocks")).alias("left")).first()
         if not row["rows"]:
             return rows, label
-        last = row["left"] <= FEW_PAIRS * row["rows"] or row["left"] > 0.5 * before  # pairs of a set and a block that it is not in
+        last = row["left"] <= LAST_PAIRS * row["rows"] or row["left"] > 0.5 * before  # pairs of a set and a block that it is not in
         links = across(mixed, blocks, label, sets, percent) if last else with_lead(by_pivot(mixed, percent), sets, percent)
         label = joined(label, written(links, "links"))
         if last:

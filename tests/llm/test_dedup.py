@@ -425,7 +425,7 @@ def spread_family(seed, n, edits):
     return texts
 
 
-@pytest.mark.parametrize("limits", [{}, {"PART_ROWS": 8}, {"PART_BYTES": 4000}, {"PART_BYTES": 4000, "SENT_FAMILIES": 0, "PART_ROWS": 8, "OUTSIDE_ROWS": 4}, {"FEW_PAIRS": 0}, {"SHORT": 2, "BLOCK": 3, "FEW_PAIRS": 1000}])
+@pytest.mark.parametrize("limits", [{}, {"LAST_PAIRS": 0, "PART_ROWS": 8}, {"PART_BYTES": 4000, "SENT_FAMILIES": 0, "OUTSIDE_ROWS": 4, "FEW_PAIRS": 0}, {"SHORT": 2, "BLOCK": 3, "FEW_PAIRS": 1000}])
 def test_the_method_decides(docs, monkeypatch, limits):
     """A family whose sets are near a middle that is not among them: links are found by leads, by blocks, or by derived
     answers, as the limits have it, and by nothing else."""
