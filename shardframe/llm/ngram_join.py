@@ -50,7 +50,7 @@ LAST_PAIRS = 64
 #: Entries of a list's part.
 PART_ROWS = 4096
 #: Entries of a part where entries are compared by their sketches: two parts are a task's work, each pair of parts is one.
-OUTSIDE_ROWS = 128
+OUTSIDE_ROWS = 64
 #: Bytes of keys in a part of a family, or of its asks.
 PART_BYTES = 256 << 10
 #: Cut families whose number of parts is sent to every task; beyond it they are joined.
