@@ -172,13 +172,14 @@ def read_records(spark: SparkSession, folder: str, layout: Layout, first_slot: i
         schema = "shard int, place long, byte_offset long, slot long, doc_id long, start long, n_tokens long, ids binary"
         return spark.createDataFrame([], schema)
     n, width = layout.stride, layout.stride - len(CLOSING)
-    each = F.expr(f"posexplode(transform(sequence(0, cast(length div {n} as int) - 1), i -> substring(content, i * {n} + 1, {width})))").alias("place", "record")
+    places = F.expr(f"explode(sequence(0, cast(length div {n} as int) - 1))").alias("place")  # a file's bytes are held once, in generated code
 
     def number(at: int, size: int):
         return F.conv(F.hex(F.substring("record", at + 1, size)), 16, -10).cast("long")
 
     files = files_of(spark, folder).where(F.col("shard") >= first_slot // layout.shard_rows)
-    rows = files.select(F.col("shard").cast("int").alias("shard"), each).select("shard", F.col("place").cast("long").alias("place"), "record")
+    rows = files.select(F.col("shard").cast("int").alias("shard"), "content", places)
+    rows = rows.select("shard", F.col("place").cast("long").alias("place"), F.expr(f"substring(content, place * {n} + 1, {width})").alias("record"))
     own = rows.select(
         "shard", "place", (F.col("place") * n).alias("byte_offset"), number(0, 8).alias("slot"),
         F.when(number(28, 2) == 0, number(8, 8)).alias("doc_id"), number(16, 8).alias("start"), number(24, 4).alias("n_tokens"), "record",
