@@ -318,11 +318,11 @@ def compared(members: DataFrame, asks: DataFrame, sets: DataFrame, percent: int)
     each pair of parts is a task's work; the number of tasks follows from the bytes to send."""
     spark = sets.sparkSession
     own = members.groupBy("family").agg(F.sum(8 * F.col("n")).alias("own"))
-    loads = written(own.join(asks.groupBy("family").agg(F.sum(8 * F.col("n")).alias("asked")), "family"), "loads")
+    loads = own.join(asks.groupBy("family").agg(F.sum(8 * F.col("n")).alias("asked")), "family")
     loads = loads.select("family", "own", "asked", F.ceil((F.col("own") + 1) / PART_BYTES).alias("own_parts"), F.ceil((F.col("asked") + 1) / PART_BYTES).alias("ask_parts"))
     is_cut = (F.col("own_parts") > 1) | (F.col("ask_parts") > 1)
     row = loads.agg(F.sum(F.col("own") * F.col("ask_parts") + F.col("asked") * F.col("own_parts")).alias("total"), F.count_if(is_cut).alias("cut")).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((row["total"] or 0) // PART_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((row["total"] or 0) // (8 * PART_BYTES)))
     cut = loads.where(is_cut).select("family", "own_parts", "ask_parts")
     cut = F.broadcast(cut) if row["cut"] <= SENT_FAMILIES else cut.hint("merge")
 
@@ -366,7 +366,7 @@ def with_lead(asks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def mixed_lists(lists: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     """key, unit, n, place, weight, component of the lists that hold more than one component, and p: in each turn the set of
     the largest weight in another of the list's components."""
-    at = written(lists.select("key", "unit", "n", "place", "weight").join(label, "unit"), "open-lists")
+    at = lists.select("key", "unit", "n", "place", "weight").join(label, "unit")
     middle = F.max_by(F.struct("unit", "n", "place", "component"), F.struct(F.xxhash64("component", F.lit(turn)), "weight", "unit"))
     kinds = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), middle.alias("p"))
     return written(join_groups(at, kinds.where("x <> y").select("key", "rows", "p"), "key").where("p is not null"), "mixed-lists")
@@ -455,7 +455,7 @@ def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *mo
     lists, turn, before = found.where("open"), 0, float("inf")
     while True:
         mixed = mixed_lists(lists, label, turn)
-        blocks = written(blocks_of(mixed), "blocks")
+        blocks = blocks_of(mixed)
         of_list = blocks.groupBy("key").agg(F.sum("c").alias("rows"), F.max("c").alias("main"), F.count(F.lit(1)).alias("blocks"))
         row = of_list.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows").cast("double") * F.col("blocks") - F.col("main") * F.col("blocks")).alias("left")).first()
         if not row["rows"]:

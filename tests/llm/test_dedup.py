@@ -444,10 +444,14 @@ def test_the_method_is_not_bypassed(docs, monkeypatch):
     assert len(set(got.values())) == 70
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [10**6, 8, 0])
+def test_components(spark, monkeypatch, most):
+    from shardframe.llm import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", most)
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (5, 5), (20, 21), (21, 20)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
-    path = [(i, i + 1) for i in range(60)]
+    path = [(i, i + 1) for i in range(60)] if most else [(i, i + 1) for i in range(12)]
     assert {r["component"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()} == {0}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
