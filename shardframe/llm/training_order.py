@@ -21,22 +21,27 @@ Columns beside doc_id and text are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardframe.llm.bpe import byte_encoder
 from shardframe.llm.common import scratch_path, small_batches, texts
 from shardframe.llm.wordhash import mix
 
 ROUNDS = 6
+#: Fixed value: the string of the end id; in a text it stands for that id.
+END = "<|endoftext|>"
 HEADER = ">qqqIH"
 CLOSING = "\n\n"
 SEQUENCES = "part int, at long, doc_id long, start long, n_tokens int, ids binary"
@@ -62,12 +67,24 @@ def permuted(places: np.ndarray, count: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def encoding(vocabulary: str) -> tiktoken.Encoding:
+    """A vocabulary of ranks with the end string as its one special token; one per process and vocabulary."""
+    if vocabulary not in _encodings:
+        with open(public_tokenizers.path(vocabulary), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _encodings[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: len(ranks)})
+    return _encodings[vocabulary]
+
+
 class Layout:
     """Where records are: ids of ``width`` bytes, records of ``stride`` bytes, ``shard_rows`` of them in a shard."""
 
     def __init__(self, vocabulary: str, length: int, shard_rows: int):
-        self.code = "H" if byte_encoder(vocabulary, "I").library.get_vocab_size() <= 1 << 16 else "I"
-        self.width = byte_encoder(vocabulary, self.code).width
+        self.code = "H" if encoding(vocabulary).n_vocab <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         self.length, self.shard_rows = length, shard_rows
         self.stride = struct.calcsize(HEADER) + length * self.width + len(CLOSING)
 
@@ -78,7 +95,7 @@ def token_sequences(docs: DataFrame, layout: Layout, vocabulary: str, end_id: in
     size, code = layout.length * layout.width, layout.code
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_encoder(vocabulary, code), np.array([end_id], f"<u{layout.width}").tobytes()
+        encode, end = encoding(vocabulary).encode, np.array([end_id], f"<u{layout.width}").tobytes()
         part, at, held, first = TaskContext.get().partitionId(), 0, bytearray(), None
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         names = [x.split()[0] for x in SEQUENCES.split(", ")]
@@ -89,7 +106,7 @@ def token_sequences(docs: DataFrame, layout: Layout, vocabulary: str, end_id: in
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids, done = encode(text) + end, 0
+                ids, done = np.array(encode(text, allowed_special="all"), f"<u{layout.width}").tobytes() + end, 0
                 while done < len(ids):
                     if not held:
                         first = (doc_id, done // layout.width)
@@ -188,7 +205,7 @@ def read_records(spark: SparkSession, folder: str, layout: Layout, first_slot: i
     return own.select(*own.columns[:-1], ids.alias("ids")).where(F.col("shard") * F.lit(layout.shard_rows).cast("long") + F.col("place") >= first_slot)
 
 
-def training_order(docs: DataFrame, path: str | None = None, length: int = 2048, shard_rows: int = 4096, key: int = 20_240_601, vocabulary: str = "byte_bpe_50k.json", end_id: int = 50_256) -> DataFrame:
+def training_order(docs: DataFrame, path: str | None = None, length: int = 2048, shard_rows: int = 4096, key: int = 20_240_601, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 50_256) -> DataFrame:
     """Materialises docs and reports what the shards' files hold, read back: slot, shard, place in the shard, byte_offset,
     record_bytes, doc_id and start (where the record begins), n_tokens, ids_crc32."""
     spark, layout = docs.sparkSession, Layout(vocabulary, length, shard_rows)

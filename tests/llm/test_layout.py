@@ -248,7 +248,7 @@ def test_training_order(spark, docs, tmp_path):
         assert (r["shard"], r["place"]) == divmod(r["slot"], 100) and r["byte_offset"] == r["place"] * r["record_bytes"]
         assert (r["doc_id"], r["start"]) == origin[at] and r["n_tokens"] == len(stream[at : at + 32])
         assert r["ids_crc32"] == crc(stream[at : at + 32], "<u2")
-    layout = training_order.Layout("byte_bpe_50k.json", 32, 100)
+    layout = training_order.Layout("byte_bpe_50k.tiktoken", 32, 100)
     (folder,) = tmp_path.glob("shards/shards-*")
     files = sorted(folder.glob("shard=*/part-*"), key=lambda f: int(f.parent.name[6:]))
     data = b"".join(f.read_bytes() for f in files)
@@ -289,10 +289,10 @@ def test_training_order_over_many_tasks(docs):
 
 
 def test_wide_vocabularies_have_wide_ids(monkeypatch):
-    assert (training_order.Layout("byte_bpe_50k.json", 8, 1).width, training_order.Layout("byte_bpe_50k.json", 8, 1).stride) == (2, 48)
-    encoder = training_order.byte_encoder("byte_bpe_50k.json", "I")
-    monkeypatch.setattr(encoder, "library", type("L", (), {"get_vocab_size": lambda self: 100_000})())
-    assert (training_order.Layout("byte_bpe_50k.json", 8, 1).width, training_order.Layout("byte_bpe_50k.json", 8, 1).stride) == (4, 64)
+    name = "byte_bpe_50k.tiktoken"
+    assert (training_order.Layout(name, 8, 1).width, training_order.Layout(name, 8, 1).stride) == (2, 48)
+    monkeypatch.setitem(training_order._encodings, name, type("Wide", (), {"n_vocab": 100_000})())
+    assert (training_order.Layout(name, 8, 1).width, training_order.Layout(name, 8, 1).stride) == (4, 64)
 
 
 def test_training_order_takes_odd_rows(odd, nothing):
