@@ -31,9 +31,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, with small batches for Python."""
-    with small_batches(df.sparkSession):
+def written(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back, with small batches for Python. few is for narrow tables: they are
+    written as an eighth of the shuffle's partitions, or four files a core if those are more."""
+    spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    with small_batches(spark):
         return scratch.written(df, label)
 
 
@@ -76,7 +80,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 
     Hot keys (a thousandth of all rows or more, so a thousand keys at most) are joined by broadcast and the others by
     sort-merge, so that no task gets a hot key's rows."""
-    groups = written(groups, "groups")
+    groups = written(groups, "groups", few=True)
     total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     is_hot = F.col("rows") * HOT_SHARE >= max(total, HOT_SHARE * HOT_SHARE)
     others = [c for c in groups.columns if c not in (key, "rows")]

@@ -49,22 +49,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Up to ONE_TASK links are one task's work. Of more, each round points every node to its smallest neighbour and contracts the links; the number of components that still
     have links at least halves. Rounds are written to the shared folder, so that a lost executor repeats one of them."""
-    left = written(links.where("a <> b").select("a", "b").distinct(), "links")
+    left = written(links.where("a <> b").select("a", "b").distinct(), "links", few=True)
     label: DataFrame | None = None
     while True:
         if left.count() <= ONE_TASK:
-            last = written(in_one_task(left), "components")
+            last = written(in_one_task(left), "components", few=True)
             if label is None:
                 return last
             return label.join(last.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = written(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")), "step")
+        to = written(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")), "step", few=True)
         label = (
             to.withColumnRenamed("to", "component")
             if label is None
             else label.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         )
-        label = written(label, "labels")
+        label = written(label, "labels", few=True)
         at_a, at_b = to.select(F.col("node").alias("a"), F.col("to").alias("to_a")), to.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         moved = left.join(at_a, "a").join(at_b, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct()
-        left = written(moved, "links")
+        left = written(moved, "links", few=True)

@@ -93,11 +93,11 @@ def decided(docs: DataFrame, row: list[str], index: DigestIndex | None = None, b
     rows = written(digests(docs, row), "digests")
     counted = []
     for batch in in_batches(rows, batches):
-        counted.append(written(by_digest(batch), "digest-groups"))  # written, as the optimizer would put the anti-join first
+        counted.append(written(by_digest(batch), "digest-groups", few=True))  # written, as the optimizer would put the anti-join first
         own.append_new(counted[-1])
     sizes = reduce(DataFrame.unionByName, counted).groupBy("digest").agg(F.sum("group_size").alias("group_size"))
     kept = own.read().select("digest", "keep_id").hint("merge")
-    groups = written(sizes.join(kept, "digest").withColumn("rows", F.col("group_size")), "decisions")
+    groups = written(sizes.join(kept, "digest").withColumn("rows", F.col("group_size")), "decisions", few=True)
     if index is None:
         own.drop()
     return join_groups(rows, groups, "digest")

@@ -71,7 +71,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, max_repe
     own = sized.groupBy("skey", "source").agg(F.sum("size").alias("total"))
     at = dense_index(own, "at", [F.col("source").isNull(), F.col("source")])
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int")).cast("double")
-    table = written(at.select("skey", "total", weight.alias("weight")), "weights")
+    table = written(at.select("skey", "total", weight.alias("weight")), "weights", few=True)
     whole = share * (table.agg(F.sum("total")).first()[0] or 0)
     rate = 0.0
     while True:  # each pass caps a source at least; the rate only rises
@@ -99,7 +99,7 @@ def decided(docs: DataFrame, row: list[str], weights: tuple[float, ...] = (5, 2,
         ),
         "sized",
     )
-    goal = written(targets(sized, weights, share, max_repeats), "targets")
+    goal = written(targets(sized, weights, share, max_repeats), "targets", few=True)
     group = F.concat_ws(":", F.col("size").cast("string"), "skey")
     placed = dense_index(sized, "at", [F.col("skey"), F.col("size"), F.col("h"), F.col("doc_id"), *map(F.col, row), F.col("u")])
     counts = placed.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"))

@@ -369,7 +369,7 @@ def mixed_lists(lists: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     at = lists.select("key", "unit", "n", "place", "weight").join(label, "unit")
     middle = F.max_by(F.struct("unit", "n", "place", "component"), F.struct(F.xxhash64("component", F.lit(turn)), "weight", "unit"))
     kinds = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows"), middle.alias("p"))
-    return written(join_groups(at, kinds.where("x <> y").select("key", "rows", "p"), "key").where("p is not null"), "mixed-lists")
+    return written(join_groups(at, kinds.where("x <> y").select("key", "rows", "p"), "key").where("p is not null"), "mixed-lists", few=True)
 
 
 def by_pivot(mixed: DataFrame, percent: int) -> DataFrame:
@@ -424,12 +424,12 @@ def across(mixed: DataFrame, blocks: DataFrame, label: DataFrame, sets: DataFram
     """Links between the components that meet in a list, so that none is lost: each set outside its list's largest block
     asks that block's component, unless the block's bounds rule it out, and the others outside that sketches allow."""
     largest = blocks.groupBy("key").agg(F.max(F.struct("c", "component", "least_n", "most_n", "most_at", "most_rest")).alias("main"), F.sum("c").alias("rows"))
-    outside = written(join_groups(mixed.drop("p"), largest, "key").where("component <> main.component"), "outside")
+    outside = written(join_groups(mixed.drop("p"), largest, "key").where("component <> main.component"), "outside", few=True)
     most = F.least("main.most_at", "place") + F.least("main.most_rest", F.col("n") - F.col("place"))
     able = outside.where((F.col("main.most_n") * 100 >= percent * F.col("n")) & (F.col("main.least_n") * percent <= 100 * F.col("n")) & (most * (100 + percent) >= (F.col("n") + F.col("main.least_n")) * percent))
-    asks = written(able.select(F.col("main.component").alias("family"), "unit", "n").distinct(), "asks")
+    asks = written(able.select(F.col("main.component").alias("family"), "unit", "n").distinct(), "asks", few=True)
     members = label.withColumnRenamed("component", "family").join(asks.select("family").distinct(), "family").join(sets.select("unit", "n"), "unit")
-    pairs = written(outside_pairs(outside, sets, percent), "outside-pairs")
+    pairs = written(outside_pairs(outside, sets, percent), "outside-pairs", few=True)
     return compared(members.select("family", "unit", "n"), asks, sets, percent).unionByName(with_lead(pairs, sets, percent))
 
 
@@ -438,7 +438,7 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     at = links.join(label.select(F.col("unit").alias("a"), F.col("component").alias("x")), "a").join(label.select(F.col("unit").alias("b"), F.col("component").alias("y")), "b")
     to = components(at.select(F.col("x").alias("a"), F.col("y").alias("b")))
     new = label.join(to.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return written(new.select("unit", F.coalesce("to", "component").alias("component")), "label")
+    return written(new.select("unit", F.coalesce("to", "component").alias("component")), "label", few=True)
 
 
 def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -450,7 +450,7 @@ def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *mo
     near = shared.join(sizes, "unit").where(F.octet_length("keys") / 8 * 100 >= percent * F.col("n"))
     sets = written(near, "sets")
     found = written(candidates(index_entries(sets, ranges, percent), percent), "candidates")
-    first = written(with_lead(found.where("not open").select("family", "unit").distinct(), sets, percent), "links")
+    first = written(with_lead(found.where("not open").select("family", "unit").distinct(), sets, percent), "links", few=True)
     label = joined(sets.select("unit", F.col("unit").alias("component")), first)
     lists, turn, before = found.where("open"), 0, float("inf")
     while True:
@@ -462,7 +462,7 @@ def links_and_components(docs: DataFrame, width: int = 5, percent: int = 75, *mo
             return rows, label
         last = row["left"] <= LAST_PAIRS * row["rows"] or row["left"] > 0.5 * before  # pairs of a set and a block that it is not in
         links = across(mixed, blocks, label, sets, percent) if last else with_lead(by_pivot(mixed, percent), sets, percent)
-        label = joined(label, written(links, "links"))
+        label = joined(label, written(links, "links", few=True))
         if last:
             return rows, label
         lists, turn, before = mixed, turn + 1, row["left"]
@@ -488,7 +488,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     of_component = of_unit.groupBy(F.coalesce("component", "unit").alias("component")).agg(F.min("first").alias("first"))
     full = of_component.select(F.col("first.doc_id").alias("_doc_id"), F.col("first._digest").alias("_kept"), F.lit(True).alias("_full"))
     empty = rows.where("n_shingles = 0").select(F.col("doc_id").alias("_doc_id"), F.col("_digest").alias("_kept"), F.lit(False).alias("_full")).distinct()
-    kept = written(full.unionByName(empty), "kept")
+    kept = written(full.unionByName(empty), "kept", few=True)
     found = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_digest") == F.col("_kept")))
     alone = F.col("doc_id").isNull() & F.col("_full")
     return found.where(~alone).unionByName(found.where(alone).dropDuplicates(["_digest"])).select(*docs.columns)
