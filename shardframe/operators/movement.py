@@ -13,7 +13,7 @@ from shardframe.config import NO_REBALANCE
 from shardframe.functions.routing import REPLICA, ROUTE, SHARD, strategy_for
 from shardframe.operators.table import ShardedTable
 from shardframe.operators.writes import fan_out
-from shardframe.sources.scratch import written
+from shardframe.sources.scratch import unsent, written
 
 Metrics = Callable[[str, int], None]
 
@@ -81,18 +81,18 @@ def rebalance(table: ShardedTable, source: str | None = None, to: str | None = N
     if to is not None and to not in table.place.connections:
         raise ValueError(f"Shard [{to}] is not one of the table's.")
     moved = written(rebalance_plan(table, source, to, start, end), "moved")
+    n = moved.count()
     keys = moved.select(F.col(table.key).alias("_k"), "_from", "_to")
-    primaries = table.df.where(~F.col(REPLICA)).join(keys.select("_k"), F.col(table.key) == F.col("_k"), "left_anti")
+    primaries = table.df.where(~F.col(REPLICA)).join(unsent(keys.select("_k"), n), F.col(table.key) == F.col("_k"), "left_anti")
     replicas = table.df.where(REPLICA)
     new = moved.withColumn(SHARD, F.col("_to")).select(*table.df.columns)
     taken = (F.col(table.key) == F.col("_k")) & (F.col(SHARD) == F.col("_to"))
-    others = replicas.join(keys, taken, "left_anti")
-    held = replicas.select(F.col(table.key).alias("_k"), F.col(SHARD).alias("_to"))
+    others = replicas.join(unsent(keys, n), taken, "left_anti")
+    held = replicas.select(F.col(table.key).alias("_k"), F.col(SHARD).alias("_to")).hint("merge")  # as many as the table has
     swapped = moved.join(held, (F.col(table.key) == held["_k"]) & (moved["_to"] == held["_to"]), "left_semi")
     back = swapped.withColumn(SHARD, F.col("_from")).withColumn(REPLICA, F.lit(True)).select(*table.df.columns)
     result = primaries.unionByName(others).unionByName(new).unionByName(back)
     rows = moved.select(table.key, "_from", "_to")
-    n = rows.count()
     strategy.on_moved(rows, primaries.select(table.key), table.key, table.place, table.engine.meta)
     place = strategy.after_rebalance(start, end, to, table.place, table.engine.meta)
     if place is not table.place:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardframe.config import Placement
-from shardframe.sources.scratch import written
+from shardframe.sources.scratch import unsent, written
 
 SCHEMAS = {
     "ranges": "table string, start long, end long, connection string, replicas array<string>",
@@ -109,7 +109,7 @@ class Metadata:
 
     @staticmethod
     def _over(name: str, df: DataFrame, new: DataFrame) -> DataFrame:
-        return df.join(new.select(*KEYS[name]), KEYS[name], "left_anti").select(*df.columns).unionByName(new)
+        return df.join(unsent(new.select(*KEYS[name]), new.count()), KEYS[name], "left_anti").select(*df.columns).unionByName(new)
 
     def _put(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
         self.tables[name], self.deltas[name] = self._kept(name, "v", make), 0
@@ -154,10 +154,12 @@ class Metadata:
         return df.join(own.select(F.col("slot").alias("_slot"), F.struct("connection", "replicas").alias("_stored")), "_slot", "left")
 
     def join_mapping(self, df: DataFrame) -> DataFrame:
-        """Adds ``_stored``, the list of names, and ``_bare``, whether it is one name and no list."""
+        """Adds ``_stored``, the list of names, and ``_bare``, whether it is one name and no list. The mapping can have a row
+        for each key, so it is not broadcast."""
         names = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array(F.regexp_replace("v", '^"|"$', "")))
         own = self.tables["mapping"].dropDuplicates(["k"])
-        return df.join(own.select(F.col("k").alias("_kv"), names.alias("_stored"), (~F.col("v").startswith("[")).alias("_bare")), "_kv", "left")
+        own = own.select(F.col("k").alias("_kv"), names.alias("_stored"), (~F.col("v").startswith("[")).alias("_bare"))
+        return df.join(own.hint("merge"), "_kv", "left")
 
     # look-ups of one key ------------------------------------------------------------------------------------------
 

@@ -223,6 +223,22 @@ def test_jdbc_options():
     assert options["url"] == "jdbc:postgresql://h:1/d" and options["dbtable"] == "t" and options["user"] == "u"
 
 
+@pytest.mark.parametrize("strategy", ["db_range", "redis"])
+def test_many_moved_rows_are_not_broadcast(spark, strategy):
+    """Their files are small, the rows are not: the driver's memory must not grow with them."""
+    e = engine(spark, strategy=strategy)
+    rows = spark.range(120_000).select("id", F.lit(0).alias("value"), F.lit("s1").alias("_shard"), (F.col("id") < 0).alias("is_replica"))
+    moved = movement.rebalance(e.table("t", rows), to="s2")
+    assert moved.count == moved.table.df.where("_shard = 's2' and not is_replica").count() == 120_000
+    assert "BroadcastHashJoin" not in plan_of(moved.table.df)
+    if strategy == "redis":
+        assert e.meta.tables["mapping"].where("v like '[\"s2\",%'").count() == 120_000
+        assert "BroadcastHashJoin" not in plan_of(e.meta.tables["mapping"])
+        assert "BroadcastHashJoin" not in plan_of(e.with_route(rows.select("id"), "t"))
+    few = movement.rebalance(moved.table, to="s3", end=9)
+    assert few.count == 10 and few.table.df.where("_shard = 's3'").count() == 10 and "BroadcastHashJoin" in plan_of(few.table.df)
+
+
 def found_shards(table, keys):
     return {k: [r["_shard"] for r in table.query().find(k).collect()] for k in keys}
 
