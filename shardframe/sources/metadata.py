@@ -12,6 +12,7 @@ import json
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +85,30 @@ class Metadata:
                     return True
         return False
 
+    def _made(self, name: str, n: int) -> bool:
+        """Makes the file that claims the number, unless it is there. Hadoop's local file system looks before it makes a file,
+        so that two writers can both make it; there the operating system's own exclusive call does it."""
+        jvm, fs = self._fs()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs.mkdirs(root)
+        at = fs.resolvePath(root).toUri()
+        try:
+            if at.getScheme() == "file":
+                open(f"{at.getPath()}/claim={n}", "x").close()
+                return True
+            return fs.createNewFile(jvm.org.apache.hadoop.fs.Path(root, f"claim={n}"))
+        except FileExistsError:
+            return False
+        except Py4JJavaError as x:  # made by another writer after createNewFile had looked
+            if x.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+
     def _claim(self, name: str) -> int:
         """The next number of the table, which no other writer has. Lower ones are waited for, and read."""
-        jvm, fs = self._fs()
         self.tables[name] = self._load(name)
         n = self.version.get(name, 0) + 1
-        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/claim={n}")):
+        while not self._made(name, n):
             n += 1
         while self._under_way(name, n):
             time.sleep(0.1)

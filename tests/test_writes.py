@@ -315,6 +315,17 @@ def test_writers_that_share_a_path_lose_nothing(spark, tmp_path, monkeypatch):
     assert two.reserve("t", 1) == 64 and one.reserve("t", 1) == 65
 
 
+def test_a_number_is_claimed_by_one_writer_only(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    writers = [Metadata(spark, f"file://{tmp_path}/meta") for _ in range(8)]
+    monkeypatch.setattr(Metadata, "_load", lambda self, name: None)  # as if none had seen another's merge
+    monkeypatch.setattr(Metadata, "_under_way", lambda self, name, before: False)
+    with ThreadPoolExecutor(len(writers)) as pool:
+        found = list(pool.map(lambda m: [m._claim("slots") for _ in range(12)], writers))
+    assert sorted(n for own in found for n in own) == list(range(1, 97))
+
+
 def test_all_replicas_of_a_route_are_kept(spark):
     from shardframe.sources.metadata import after_first
 
