@@ -45,6 +45,7 @@ class Metadata:
     def __init__(self, spark: SparkSession, path: str | None = None, **tables: DataFrame):
         self.spark, self.path, self.version = spark, path, {}
         self.deltas = dict.fromkeys(SCHEMAS, 0)
+        self.counted: dict[tuple[str, int], int] = {}
         self.tables = {name: tables.get(name) for name in SCHEMAS}
         for name, df in self.tables.items():
             if df is None:
@@ -70,7 +71,7 @@ class Metadata:
         read = self.spark.read.schema(SCHEMAS[name])
         found = read.parquet(f"{self.path}/{name}/v={base}") if base else empty
         for n, _ in (x for x in done if x[0] > base):
-            found = self._over(name, found, read.parquet(f"{self.path}/{name}/d={n}"))
+            found = self._over(name, found, read.parquet(f"{self.path}/{name}/d={n}"), n)
             self.deltas[name] += 1
         return found
 
@@ -119,6 +120,7 @@ class Metadata:
         """What make gives of the table as it is, stored."""
         columns = [f.name for f in self.tables[name].schema]
         if self.path is None:
+            self.version[name] = self.version.get(name, 0) + 1
             return written(make(self.tables[name]).select(*columns), f"meta-{name}")
         n = self._claim(name)
         target = f"{self.path}/{name}/{kind}={n}"
@@ -126,9 +128,12 @@ class Metadata:
         self.version[name] = n
         return self.spark.read.schema(SCHEMAS[name]).parquet(target)
 
-    @staticmethod
-    def _over(name: str, df: DataFrame, new: DataFrame) -> DataFrame:
-        return df.join(unsent(new.select(*KEYS[name]), new.count()), KEYS[name], "left_anti").select(*df.columns).unionByName(new)
+    def _over(self, name: str, df: DataFrame, new: DataFrame, n: int) -> DataFrame:
+        """df with the rows of the merge of that number, which are counted once."""
+        rows = self.counted.get((name, n))
+        if rows is None:
+            rows = self.counted[name, n] = new.count()
+        return df.join(unsent(new.select(*KEYS[name]), rows), KEYS[name], "left_anti").select(*df.columns).unionByName(new)
 
     def _put(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
         self.tables[name], self.deltas[name] = self._kept(name, "v", make), 0
@@ -136,7 +141,7 @@ class Metadata:
     def _merge(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
         """The rows that make gives replace those with the same keys."""
         new = self._kept(name, "d", make)
-        self.tables[name] = self._over(name, self.tables[name], new)
+        self.tables[name] = self._over(name, self.tables[name], new, self.version[name])
         self.deltas[name] += 1
         if self.deltas[name] >= MOST_DELTAS:
             self._put(name, lambda t: t)
